@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permafield.llm import bpe, common, packing, store, warc
+from permafield.llm import ann, bpe, common, linededup, neardup, packing, quality, secrets, store, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,46 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rules of the URL filter as (verdict, host/path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word of all documents, with its component and whether it is kept."""
+    lines = linededup.judge_lines(_table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "component_id", "kept")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    common.small_batches(spark)
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("key")
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    judged = urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by their 2-word shingles."""
+    common.small_batches(spark, 400)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    common.small_batches(spark)
+    return secrets.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 ids."""
     common.small_batches(spark)
@@ -55,6 +95,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
+    "op2_quality": op2_quality,
+    "op3_urls": op3_urls,
+    "op4_neardup": op4_neardup,
+    "op5_secrets": op5_secrets,
+    "op6_nearest": op6_nearest,
     "op7_packing": op7_packing,
     "op8_store": op8_store,
     "op9_warc": op9_warc,
