@@ -184,7 +184,7 @@ def pareto_unc(obs: DataFrame, tail: DataFrame, cnt: DataFrame, n_perm: int, lea
     Two passes: shapes are pooled by a median, then every element is fitted on its own.
     """
     shapes = gpd_shapes(tail)
-    joined = obs.select("element_id", F.abs("t").cast("double").alias("stat")).join(tail, "element_id").join(cnt.select("element_id", "cnt"), "element_id")
+    joined = obs.select("element_id", F.abs("t").cast("double").alias("stat")).join(tail.select("element_id", "top"), "element_id").join(cnt.select("element_id", "cnt"), "element_id")
 
     def run(batches):
         for pdf in batches:
