@@ -228,7 +228,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all columns; rows that repeat a kept id go too, but one."""
+    """One document of each component, with all columns. Of rows that repeat an id one stays; rows without an id all stay."""
     gone = near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(materialise(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
-    return left
+    repeated = materialise(docs.groupBy(F.col(id_col).alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1 and _many is not null").select("_many"), "repeated")
+    if repeated.isEmpty():
+        return left
+    of_many = F.col(id_col) == F.col("_many")
+    return left.join(repeated, of_many, "left_anti").unionByName(left.join(repeated, of_many, "left_semi").dropDuplicates([id_col]))

@@ -107,4 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: Only near duplicates can be written in SQL as they are; the other operators' tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_neardup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+cc(id, comp) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.id, min(c.comp) FROM cc c JOIN e ON e.a = c.id JOIN recurring.cc k ON k.id = e.b WHERE c.comp < k.comp GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, comp AS component_id, d.doc_id = comp AS kept FROM documents d JOIN cc ON cc.id = d.doc_id LEFT JOIN n USING (doc_id)""",
+}
