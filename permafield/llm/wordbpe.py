@@ -4,49 +4,75 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Words that one worker remembers: those met twice or more, and those met once lately (about 100 MB together).
-OFTEN, ONCE = 250_000, 150_000
+#: Words that one worker remembers: those met twice or more, and those met once lately (about 150 MB together).
+OFTEN, ONCE = 400_000, 300_000
+
+#: A full stop or comma before white space and not after a Latin letter or digit: the pattern may take it with its neighbours.
+_JOINED = re.compile(r"(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])[.,][ \n]")
 
 
 class WordEncoder:
     """``encode(text)`` returns the ids as little-endian uint32 bytes, equal to the library's ``encode`` of the whole text.
 
     The tokenizer's pattern drops white space and no match, normalisation or merge reaches across it, so a text's
-    ids are those of its pieces between ``" "`` and ``"\\n"``. Pieces go to the library in batches; texts with one
-    of the added tokens' strings go to it whole. ``check`` refuses a tokenizer of another kind.
+    ids are those of its pieces between ``" "`` and ``"\\n"``. New pieces go to the library in batches; texts with one
+    of the added tokens' strings go to it whole. Texts in Latin-1, on which its normaliser does no more than lower the
+    case, are lowered at once, their words' full stops and commas are cut off, and the library skips the normaliser.
+    ``check`` refuses a tokenizer of another kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
         self.check()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.often: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
+        #: Of lowered Latin-1 words, and of other pieces.
+        self.often: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.once: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def check(self) -> None:
         probe = ["it's a 'Test' of", "Große Öfen,", "ÇA-VA?", "12 34"]
         parts = [x for p in probe for w in p.split(" ") for x in self.whole(w)]
-        if self.whole(" \n".join(probe)) != parts:
+        bare = self.bare.encode(" ".join(probe).lower(), add_special_tokens=False).ids
+        if not self.whole(" \n".join(probe)) == parts == bare:
             raise ValueError("this tokenizer's ids depend on white space; encode whole texts instead")
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def latin(text: str) -> bool:
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.added is not None and "<|" in text and self.added.search(text):
             return np.asarray(self.whole(text), "<u4").tobytes()
+        plain = self.latin(text)
+        if plain:
+            text = text.lower()
+            if not _JOINED.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         words = text.replace("\n", " ").split(" ")
-        often, once = self.often, self.once
+        often = self.often[not plain]
         got = list(map(often.get, words))
         if None in got:
+            once = self.once[not plain]
             if len(often) > OFTEN:
                 often.clear()
             if len(once) > ONCE:
@@ -57,10 +83,11 @@ class WordEncoder:
                     often[w] = once.pop(w)
                 else:
                     new.append(w)
+            tokenizer = self.bare if plain else self.tokenizer
             for k in range(0, len(new), 20_000):
                 part = new[k : k + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    once[w] = np.asarray(e.ids, "<u4").tobytes()
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    once[w] = array("I", e.ids).tobytes()
             got = [g if g is not None else once[w] if w in once else often[w] for w, g in zip(words, got)]
         return b"".join(got)
 
