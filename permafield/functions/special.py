@@ -13,7 +13,7 @@ _inv = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 
 
 def gammaln(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def gammainc_upper(a, x) -> np.ndarray:
@@ -110,14 +110,14 @@ def betainv(p, a, b) -> np.ndarray:
 
 
 def normal_sf(z) -> np.ndarray:
-    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(np.asarray(z, float) / math.sqrt(2)), float)
 
 
 def normal_ppf(p) -> np.ndarray:
     """Inverse normal distribution function, with -inf and inf at 0 and 1."""
     p = np.asarray(p, float)
     inside = (p > 0) & (p < 1)
-    value = _inv(np.where(inside, p, 0.5)).astype(float)
+    value = np.asarray(_inv(np.where(inside, p, 0.5)), float)
     return np.where(inside, value, np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, np.nan)))
 
 
