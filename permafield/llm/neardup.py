@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from permafield.llm.common import connected_components, drop_written, materialis
 #: 2 * ROWS minima each from 2 * SIDE * ROWS minima in all. At a similarity of 0.8 a pair meets in a table with a
 #: probability of (1 - (1 - 0.8**ROWS)**SIDE)**2 = 0.998; at 0.85 of 0.9999.
 SIDE, ROWS = 10, 3
+#: Rounds of further pivots, and pivots that a document meets in each; what they leave open is compared in full.
+ROUNDS, TRIALS = 3, 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -176,14 +178,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, t, node, component`` of the members of buckets that hold more than one component."""
+    labelled = shared.join(found, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(several, "key")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked at ``100 * intersection >= percent * union`` of their n-word shingle sets:
     ``doc_id, n_shingles, component_id`` (the smallest id reachable), ``kept`` (the document is that one).
 
-    Equal sets are one class from the start. In every bucket of every table the members are compared with one pivot (the
-    smallest id: the same one in most tables, so few pairs); what that leaves in several components within a bucket is then
-    compared across the components, so no link that a bucket holds is lost and no group is expanded into all its pairs.
-    Links are verified on the full sets. Joins on hot buckets or pivots can be split; minima are pre-aggregated.
+    Equal sets are one class from the start. In every bucket of every table the members are compared with one pivot, then for a
+    few rounds with pivots from the bucket's largest component; documents that are in one component by then need no comparison
+    with each other. What stays in several components within a bucket is compared across them in full, so no component that the
+    buckets' links give is missed, and no group of copies is expanded into all its pairs. Links are verified on the full sets.
+    Joins on hot buckets or pivots can be split; minima are pre-aggregated.
 
     Null texts and texts without words: no shingles, linked with nothing. Null ids: in no component, kept. Rows with one id
     are one document for linking. Other columns are not read.
@@ -191,35 +201,52 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sig = materialise(signatures(docs, n, id_col, text_col), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min_by(F.struct("left", "right"), "doc_id").alias("k"), F.min("doc_id").alias("node"))
     tables = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t")
-    spread = classes.select("node", "n_shingles", "k", tables)
     i, j = F.floor(F.col("t") / SIDE).cast("int"), F.col("t") % SIDE
-    keyed = spread.select("node", F.col("n_shingles").cast("long").alias("size"), F.xxhash64("t", F.get(F.col("k.left"), i), F.get(F.col("k.right"), j)).alias("key"))
-    keyed = keyed.repartition("key")
+    keyed = classes.select("node", "k", tables).select("node", "t", F.xxhash64("t", F.get(F.col("k.left"), i), F.get(F.col("k.right"), j)).alias("key")).repartition("key")
     many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
     shared = materialise(keyed.join(many.select("key", "pivot"), "key"), "shared")  # members of buckets with two classes or more
 
+    # First the smallest id of every bucket: the same pivot in most tables, so few pairs.
     star = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    involved = shared.select(F.col("node").alias("doc_id")).distinct()
+    involved = materialise(shared.select(F.col("node").alias("doc_id")).distinct(), "involved")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(involved, "doc_id", "left_semi")
     sets = materialise(_sets(texts, n).dropDuplicates(["node"]), "sets")
+    tested = star
     links = materialise(_verified(star, sets, percent), "links")
     found = connected_components(links)
 
-    labelled = shared.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = materialise(labelled.join(open_, "key"), "open")
-    x = rest.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where(f"ca < cb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = materialise(_verified(across, sets, percent), "links")
-    if more.isEmpty():
-        final = found
-    else:
-        final = connected_components(links.unionByName(more))
-    drop_written(sets)
-    drop_written(rest)
-    drop_written(star)
+    # Then, in buckets that still hold several components, pivots from the largest of them, others in every round.
+    for turn in range(ROUNDS):
+        rest = materialise(_open(shared, found), "open")
+        if rest.isEmpty():
+            break
+        sizes = rest.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
+        ranked = rest.join(sizes, "component")
+        best = ranked.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.struct(-F.col("members"), F.col("component"), F.xxhash64("node", "key", F.lit(turn)))).alias("p"))
+        met = rest.join(best, "key").where("component <> p.component").select("node", F.col("p.node").alias("other"), F.xxhash64("key", F.lit(turn)).alias("order"))
+        few = met.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("order"))).where(F.col("r") <= TRIALS)
+        pairs = few.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tested = tested.unionByName(pairs)
+        more = materialise(_verified(pairs, sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = connected_components(links)
+
+    # Last all that is left to compare: members of one bucket in different components, each pair in the first table it shares.
+    rest = materialise(_open(shared, found), "open")
+    own = classes.select("node", F.col("n_shingles").alias("size"), "k")
+    rest = rest.join(own, "node")
+    x, y = (rest.select("key", F.col("node").alias(p), F.col("size").alias(f"s{p}"), F.col("component").alias(f"c{p}"), F.col("k").alias(f"k{p}"), *(["t"] if p == "a" else [])) for p in "ab")
+    same = lambda side: F.array_position(F.zip_with(f"ka.{side}", f"kb.{side}", lambda p, q: p == q), True) - 1
+    first = F.col("t") == same("left") * SIDE + same("right")
+    size = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & size & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialise(_verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+    final = found if more.isEmpty() else connected_components(links.unionByName(more))
+    for written in (sets, rest, shared):
+        drop_written(written)
 
     of_class = classes.select("n_shingles", "fa", "fb", "node").join(final, "node", "left").select("n_shingles", "fa", "fb", F.coalesce("component", "node").alias("component_id"))
     done = sig.select("doc_id", "n_shingles", "fa", "fb").join(of_class, ["n_shingles", "fa", "fb"], "left")
