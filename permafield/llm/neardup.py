@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from permafield.llm.common import connected_components, drop_written, materialise
 
-#: Sub-keys in each of the two collections, and minima in a sub-key. Tables are keyed by pairs: SIDE * SIDE tables of
-#: 2 * ROWS minima each from 2 * SIDE * ROWS minima in all. At a similarity of 0.8 a pair meets in a table with a
-#: probability of (1 - (1 - 0.8**ROWS)**SIDE)**2 = 0.998; at 0.85 of 0.9999.
-SIDE, ROWS = 10, 3
+#: Hash collections, sub-keys in each, and minima in a sub-key. Tables are keyed by pairs of sub-keys of two different
+#: collections: 150 tables of 6 minima each from 60 minima in all. At a similarity of 0.8 a pair of documents meets in no table
+#: with a probability of 8e-5 (two collections or more must hold an equal sub-key), at 0.85 of 1e-6.
+COLLECTIONS, SIDE, ROWS = 4, 5, 3
+KEYS = COLLECTIONS * SIDE
+TABLES = [(i, j) for i in range(KEYS) for j in range(i + 1, KEYS) if i // SIDE != j // SIDE]
 #: Rounds of further pivots, and pivots that a document meets in each; what they leave open is compared in full.
 ROUNDS, TRIALS = 3, 6
 
@@ -24,7 +26,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
 _RANDOM = np.random.Generator(np.random.Philox(41))
-_MASKS = _RANDOM.integers(0, 2**64, 2 * SIDE * ROWS, dtype=np.uint64)
+_MASKS = _RANDOM.integers(0, 2**64, KEYS * ROWS, dtype=np.uint64)
 _PLACE = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -109,8 +111,8 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, fa, fb`` (a fingerprint of the set), ``left`` and ``right`` (the sub-keys; null without words)."""
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, fa long, fb long, left array<long>, right array<long>").fields])
+    """``doc_id, n_shingles, fa, fb`` (a fingerprint of the set) and ``subkeys`` (null without words)."""
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, fa long, fb long, subkeys array<long>").fields])
 
     def run(batches):
         for b in batches:
@@ -119,10 +121,10 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
             count = len(offsets) - 1
             full = np.flatnonzero(np.diff(starts))
             sizes, fa, fb = np.zeros(count, np.int64), np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-            keys = np.zeros((len(full), 2 * SIDE), np.uint64)
+            keys = np.zeros((len(full), KEYS), np.uint64)
             if len(full):
                 at = starts[full]
-                for k in range(2 * SIDE):
+                for k in range(KEYS):
                     for r in range(ROWS):
                         least = np.minimum.reduceat(h ^ _MASKS[k * ROWS + r], at)
                         keys[:, k] = mix(keys[:, k] * np.uint64(3) + least)
@@ -132,11 +134,9 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                     fa[d] = mix(own).sum(dtype=np.uint64)
                     fb[d] = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
             held = np.zeros(count + 1, np.int32)
-            held[1:] = np.cumsum((np.diff(starts) > 0) * SIDE)
-            lists = []
-            for side in (keys[:, :SIDE], keys[:, SIDE:]):
-                lists.append(pa.ListArray.from_arrays(pa.array(held), pa.array(np.ascontiguousarray(side).reshape(-1).view(np.int64)), mask=pa.array(np.diff(starts) == 0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), *lists], names=out.names)
+            held[1:] = np.cumsum((np.diff(starts) > 0) * KEYS)
+            lists = pa.ListArray.from_arrays(pa.array(held), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(np.diff(starts) == 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), lists], names=out.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     are one document for linking. Other columns are not read.
     """
     sig = materialise(signatures(docs, n, id_col, text_col), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min_by(F.struct("left", "right"), "doc_id").alias("k"), F.min("doc_id").alias("node"))
-    tables = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t")
-    i, j = F.floor(F.col("t") / SIDE).cast("int"), F.col("t") % SIDE
-    keyed = classes.select("node", "k", tables).select("node", "t", F.xxhash64("t", F.get(F.col("k.left"), i), F.get(F.col("k.right"), j)).alias("key")).repartition("key")
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min_by("subkeys", "doc_id").alias("k"), F.min("doc_id").alias("node"))
+    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in TABLES])
+    spread = classes.select("node", "k", F.posexplode(tables).alias("t", "p"))
+    keyed = spread.select("node", "t", F.xxhash64("t", F.get("k", F.col("p.i")), F.get("k", F.col("p.j"))).alias("key")).repartition("key")
     many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
     shared = materialise(keyed.join(many.select("key", "pivot"), "key"), "shared")  # members of buckets with two classes or more
 
@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     own = classes.select("node", F.col("n_shingles").alias("size"), "k")
     rest = rest.join(own, "node")
     x, y = (rest.select("key", F.col("node").alias(p), F.col("size").alias(f"s{p}"), F.col("component").alias(f"c{p}"), F.col("k").alias(f"k{p}"), *(["t"] if p == "a" else [])) for p in "ab")
-    same = lambda side: F.array_position(F.zip_with(f"ka.{side}", f"kb.{side}", lambda p, q: p == q), True) - 1
-    first = F.col("t") == same("left") * SIDE + same("right")
+    both = F.zip_with("ka", "kb", lambda p, q: p == q)
+    first = F.col("t") == F.array_position(F.transform(tables, lambda p: F.get(both, p["i"]) & F.get(both, p["j"])), True) - 1
     size = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent
     across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & size & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(_verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
