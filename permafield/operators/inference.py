@@ -15,6 +15,8 @@ from permafield.functions import special, tails
 
 #: Most maxima that are sent to every task: one for each permutation.
 MOST_NULL = 5_000_000
+#: Rows up to which groups are ranked in one window each, and groups that are done one by one beyond that.
+WINDOW_ROWS, FEW_GROUPS = 1_000_000, 64
 
 
 def clean_stat(c: Column, f_map: bool = False) -> Column:
@@ -198,16 +200,26 @@ def pareto_unc(obs: DataFrame, tail: DataFrame, cnt: DataFrame, n_perm: int, lea
 def fdr(p: DataFrame, by: list[str] | None = None, col: str = "p") -> DataFrame:
     """``q``: Benjamini-Hochberg values, in each group of ``by``. NaN and null p do not count.
 
-    Ranks are taken over ranges: a global sort, positions from the sizes of its parts, and minima carried back over the parts, so
-    no window holds all rows when there is no group.
+    Ranks are taken over ranges: positions from the sizes of the ranges before, and minima carried back over those after, so no
+    window holds all rows. Groups of small data are windows of their own; a few groups of large data are done one by one.
     """
     ok = p.where(F.col(col).isNotNull() & ~F.isnan(col))
     if by:
+        groups = ok.select(*by).distinct().limit(FEW_GROUPS + 1).collect() if ok.count() > WINDOW_ROWS else []
+        if 0 < len(groups) <= FEW_GROUPS:
+            out = None
+            for g in groups:
+                own = ok
+                for b in by:
+                    own = own.where(F.col(b).eqNullSafe(F.lit(g[b])))
+                own = fdr(own, None, col)
+                out = own if out is None else out.unionByName(own)
+            return out
         w = Window.partitionBy(*by)
         ranked = ok.withColumn("_v", F.col(col) * F.count("*").over(w) / F.row_number().over(w.orderBy(col)))
         return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(w.orderBy(col).rowsBetween(0, Window.unboundedFollowing)))).drop("_v")
     total = ok.count()
-    parts = max(1, min(1000, total // 500_000 + 1))
+    parts = max(1, min(1000, total // (WINDOW_ROWS // 2) + 1))
     split = ok.stat.approxQuantile(col, [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
     part = sum([F.when(F.col(col) > v, 1).otherwise(0) for v in split], F.lit(0))
     own = ok.withColumn("_part", part)

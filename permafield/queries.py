@@ -668,15 +668,21 @@ def param_vs_perm_corr(spark, d):
     return draw_maxima(spark, d).agg(F.corr("t_max", "t_min").alias("c")).select(r("c", 6).alias("c"))
 
 
+@query(f"WITH {CNT}, g AS (SELECT *, cnt / CAST(n AS DOUBLE) AS p FROM ct) SELECT round(avg(p), 6) AS mean_p, count(*) FILTER (p <= 0.05) AS hits FROM g")
+def p_summary(spark, d):
+    p = inference.count_unc(inference.exceedances(draws(spark, d), first_draw(spark, d)))
+    return p.agg(r(F.avg("p"), 6).alias("mean_p"), F.count_if(F.col("p") <= 0.05).alias("hits"))
+
+
 @query()
 def parametric_p(spark, d):
     t = inference.parametric_p(observed(spark, d), "t", df2=23.0)
     return inference.z_equivalent(t, "p_param").select("element_id", r("t").alias("t"), r("p_param", 6).alias("p_param"), r("z").alias("z"))
 
 
-@query(f"WITH {DRAW} SELECT element_id, CASE WHEN t > 0 THEN 'P' WHEN t < 0 THEN 'N' ELSE '0' END AS mask, round(greatest(t, 0), 6) AS f FROM dr WHERE perm_id < 20")
+@query(f"WITH {DRAW} SELECT element_id, CASE WHEN t > 0 THEN 'P' WHEN t < 0 THEN 'N' ELSE '0' END AS mask, round(greatest(t, 0), 6) AS f FROM dr")
 def sign_masks(spark, d):
-    return inference.sign_masks(draws(spark, d).where("perm_id < 20")).select("element_id", "mask", r(inference.clean_stat(F.col("t"), True), 6).alias("f"))
+    return inference.sign_masks(draws(spark, d)).select("element_id", "mask", r(inference.clean_stat(F.col("t"), True), 6).alias("f"))
 
 
 RES = f"WITH {DRAW}, nl AS (SELECT perm_id, max(t) AS t_max FROM dr GROUP BY 1), c AS (SELECT element_id, sum(CAST(s * t >= s * t0 AS INT)) / CAST(count(*) AS DOUBLE) AS p_unc FROM dr JOIN fd USING (element_id) GROUP BY 1), f AS (SELECT element_id, t0, s, p_unc, (SELECT count(*) FROM nl WHERE t_max >= 3*abs(t0)) / CAST((SELECT count(*) FROM nl) AS DOUBLE) AS p_fwe, p_unc * count(*) OVER w / row_number() OVER (w ORDER BY p_unc, element_id) AS v, row_number() OVER (w ORDER BY p_unc, element_id) AS i FROM c JOIN fd USING (element_id) WINDOW w AS (PARTITION BY s)), g AS (SELECT *, min(v) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p_fdr FROM f)"

@@ -78,7 +78,7 @@ def test_pareto_beats_counting():
     assert few[0] == 0.002 and not fitted[0]
 
 
-def test_moments_and_steps(spark):
+def test_moments_and_steps(spark, monkeypatch):
     m = tails.moments([1, 2, 4, 9])
     assert m[:3] == pytest.approx((4, 12.6666667, 1.3309377))
     row = inference.moments(spark.createDataFrame([(float(v),) for v in (1, 2, 4, 9)], "t_max double")).first()
@@ -88,6 +88,11 @@ def test_moments_and_steps(spark):
     df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)] + [(999, float("nan"))], "element_id int, p double")
     got = inference.fdr(df).orderBy("element_id").toPandas()
     assert len(got) == 400 and np.allclose(got["q"], tails.bh_adjust(p))
+    monkeypatch.setattr(inference, "WINDOW_ROWS", 60)
+    split = inference.fdr(df).orderBy("element_id").toPandas()
+    assert np.allclose(split["q"], tails.bh_adjust(p))
+    two = inference.fdr(df.withColumn("sign", F.col("element_id") % 2), ["sign"]).where("sign = 1").orderBy("element_id").toPandas()
+    assert np.allclose(two["q"], tails.bh_adjust(p[1::2]))
     assert np.isnan(tails.bh_adjust([np.nan, 0.1])).tolist() == [True, False]
     assert tails.bh_conjunction(np.array([2.0, 3.0]), special.normal_sf, 2) == pytest.approx(tails.bh_adjust(special.normal_sf(np.array([2.0, 3.0])) ** 2))
 
