@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -204,7 +206,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     spread = classes.select("node", "k", F.posexplode(tables).alias("t", "p"))
     keyed = spread.select("node", "t", F.xxhash64("t", F.get("k", F.col("p.i")), F.get("k", F.col("p.j"))).alias("key")).repartition("key")
     many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
-    shared = materialise(keyed.join(many.select("key", "pivot"), "key"), "shared")  # members of buckets with two classes or more
+    # The hash table is of the buckets' side, a row for each key, so the many members need no sort.
+    shared = materialise(keyed.join(many.select("key", "pivot").hint("shuffle_hash"), "key"), "shared")  # members of buckets with two classes or more
 
     # First the smallest id of every bucket: the same pivot in most tables, so few pairs.
     star = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
@@ -236,13 +239,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     # Last all that is left to compare: members of one bucket in different components, each pair in the first table it shares.
     rest = materialise(_open(shared, found), "open")
-    own = classes.select("node", F.col("n_shingles").alias("size"), "k")
-    rest = rest.join(own, "node")
-    x, y = (rest.select("key", F.col("node").alias(p), F.col("size").alias(f"s{p}"), F.col("component").alias(f"c{p}"), F.col("k").alias(f"k{p}"), *(["t"] if p == "a" else [])) for p in "ab")
-    both = F.zip_with("ka", "kb", lambda p, q: p == q)
-    first = F.col("t") == F.array_position(F.transform(tables, lambda p: F.get(both, p["i"]) & F.get(both, p["j"])), True) - 1
-    size = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & size & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    own = classes.select("node", F.col("n_shingles").alias("size"), *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(KEYS)])
+    rest = materialise(rest.join(own, "node"), "open")
+    x, y = (rest.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p in "xy")
+    # A pair's first table (i, j): no equal sub-key before i, and none from the collection after i's up to j.
+    number = lambda f: F.get(F.array(*[F.lit(f(i, j)) for i, j in TABLES]), F.col("x_t"))
+    x = x.withColumns({"x_i": number(lambda i, j: i), "x_j": number(lambda i, j: j), "x_later": number(lambda i, j: (i // SIDE + 1) * SIDE)})
+    differ = [F.col(f"x_k{k}") != F.col(f"y_k{k}") for k in range(KEYS)]
+    none_before = [(F.col("x_i") <= k) | differ[k] for k in range(KEYS - SIDE)]
+    none_between = [(F.col("x_later") > k) | (F.col("x_j") <= k) | differ[k] for k in range(SIDE, KEYS)]
+    first = reduce(lambda p, q: p & q, none_before + none_between)
+    size = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent
+    across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & size & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     more = materialise(_verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
     final = found if more.isEmpty() else connected_components(links.unionByName(more))
     for written in (sets, rest, shared):
