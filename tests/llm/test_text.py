@@ -237,3 +237,15 @@ def test_decoding_in_parts_is_whole_decoding():
             at += len(t) + 1
         assert all(any(a <= s and e <= b + 1 or s <= a and b <= e for s, e in spans) for a, b in tagged)
         assert bool(spans) == bool(tagged)
+
+
+def test_words_of_one_kind_have_the_same_features():
+    rng = random.Random(12)
+    seen = {}
+    for _ in range(30_000):
+        t = "".join(rng.choice("abcdeABéß*#!.,'9-") for _ in range(rng.randint(1, 9))) if rng.random() < 0.7 else rng.choice("abAE") * rng.randint(1, 30) + rng.choice(["", ".", "***", "!!"])
+        kind = secrets.word_kind(t)
+        if kind is not None:
+            features = tuple(map(sorted, secrets.token_features(t)))
+            assert seen.setdefault(kind, (t, features))[1] == features, (t, seen[kind][0])
+    assert len(seen) > 300
