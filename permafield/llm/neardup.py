@@ -240,8 +240,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # Last all that is left to compare: members of one bucket in different components, each pair in the first table it shares.
     rest = materialise(_open(shared, found), "open")
     own = classes.select("node", F.col("n_shingles").alias("size"), *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(KEYS)])
-    rest = materialise(rest.join(own, "node"), "open")
-    x, y = (rest.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p in "xy")
+    # A bucket's largest component stands on one side only: its members need no comparison with each other, nor a look at it.
+    members = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = members.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
+    rest = materialise(rest.join(own, "node").join(top, "key"), "open")
+    x, y = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p, side in (("x", rest.where("component <> top")), ("y", rest)))
     # A pair's first table (i, j): no equal sub-key before i, and none from the collection after i's up to j.
     number = lambda f: F.get(F.array(*[F.lit(f(i, j)) for i, j in TABLES]), F.col("x_t"))
     x = x.withColumns({"x_i": number(lambda i, j: i), "x_j": number(lambda i, j: j), "x_later": number(lambda i, j: (i // SIDE + 1) * SIDE)})
@@ -250,7 +253,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     none_between = [(F.col("x_later") > k) | (F.col("x_j") <= k) | differ[k] for k in range(SIDE, KEYS)]
     first = reduce(lambda p, q: p & q, none_before + none_between)
     size = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent
-    across = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & size & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("x_top")) | (F.col("x_component") < F.col("y_component")))
+    across = x.join(y, (F.col("x_key") == F.col("y_key")) & apart & size & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     more = materialise(_verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
     final = found if more.isEmpty() else connected_components(links.unionByName(more))
     for written in (sets, rest, shared):
