@@ -15,6 +15,10 @@ BINS = BANDS * ROWS
 #: Every line has the bands of those shingles whose hash has its lowest bits clear (one in SAMPLE); lines of up to SHORT characters,
 #: of which that would leave few, have those of all their shingles as well. Either set of bands has the probabilities above.
 SAMPLE, SHORT = 4, 160
+#: Rounds of further pivots in buckets of several components, and the members of a block when what they leave is compared in full.
+ROUNDS, BLOCK = 2, 1000
+#: 64-bit words (a power of two) of the bit map of a line's shingles that spares most pairs of unlike lines the full comparison.
+WORDS = 8
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
@@ -53,29 +57,105 @@ def shingle_set(norm: Column | str) -> Column:
     return F.when(F.length(c) < SHINGLE, F.array(c)).otherwise(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))))
 
 
+def prints(texts: DataFrame) -> DataFrame:
+    """``line, n, w0 ...``: size and bit map of the shingle sets of lines that hold a shingle or more."""
+    own = texts.where(F.length("norm") >= SHINGLE).select("line", F.explode(shingle_set("norm")).alias("s")).select("line", F.xxhash64("s").alias("x"))
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1))
+    return own.groupBy("line").agg(F.count("*").alias("n"), *[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only if the sets of two lines are less similar than ``percent``: bits that differ are shingles that only one has."""
+    differ = sum((F.bit_count(F.col(f"{x}w{k}").bitwiseXOR(F.col(f"{y}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
+    return differ * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
+
+
+def _as(printed: DataFrame, line: str, prefix: str) -> DataFrame:
+    return printed.select(F.col("line").alias(line), *[F.col(c).alias(prefix + c) for c in printed.columns if c != "line"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
+    """Of ``a, b`` those with ``100 * intersection >= percent * union`` of their shingle sets. Lines shorter than a shingle are
+    linked with equal ones only. The sets are compared in full unless their bit maps already differ too much."""
+    near = pairs.join(_as(printed, "a", "x"), "a").join(_as(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
+    both = near.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
+    # Each set is cut once: what stands in a generator is not written out again into the filters above it.
+    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
+    sets = both.select("a", "b", once(x=shingle_set("x"), y=shingle_set("y")).alias("s"))
+    counts = sets.select("a", "b", once(i=F.size(F.array_intersect("s.x", "s.y")), n=F.size("s.x") + F.size("s.y")).alias("c"))
+    return counts.where(F.col("c.i") * 100 >= (F.col("c.n") - F.col("c.i")) * percent).select("a", "b")
+
+
+def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, line, component`` of the members of buckets that hold more than one component."""
+    labelled = inner.join(found, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("component", "line").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(several, "key")
+
+
+def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every two members of a bucket that lie in different components and whose bit maps allow a link. A bucket of many
+    members is compared in blocks, each in a group of its own; its largest component stands on one side only."""
+    members = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = members.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(printed, "line").join(top, "key")
+    x = _as(placed.where("component <> top").withColumn("block", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")), "xl", "x")
+    y = _as(placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "yl", "y")
+    same = (F.col("xkey") == F.col("ykey")) & (F.col("xblock") == F.col("yblock"))
+    apart = (F.col("xcomponent") != F.col("ycomponent")) & ((F.col("ycomponent") == F.col("xtop")) | (F.col("xcomponent") < F.col("ycomponent")))
+    return x.join(y, same & apart & may_link("x", "y", percent)).select(F.least("xl", "yl").alias("a"), F.greatest("xl", "yl").alias("b")).distinct()
+
+
 def classes(lines: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of distinct lines linked at ``100 * intersection >= percent * union`` of their shingle sets."""
+    """``node, component`` of distinct lines linked at ``100 * intersection >= percent * union`` of their shingle sets.
+
+    In every bucket the members are compared with its two ends, then for a few rounds with pivots from its largest component;
+    what is in one component by then needs no comparison with each other. What stays in several is compared in full.
+    """
     mins = minima(lines)
     bands = F.array(*[F.xxhash64(F.lit(b), "whole", *[f"m{b + r * BANDS}" for r in range(ROWS)]) for b in range(BANDS)])
     mins = materialise(mins.select("line", bands.alias("bands")), "bands")
     keyed = mins.select("line", F.explode("bands").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    met = keyed.join(ends.hint("shuffle_hash"), "key")
+    shared = materialise(keyed.join(ends.hint("shuffle_hash"), "key"), "shared")
+    drop_written(mins)
     # Each member meets its bucket's two ends: the same two lines in most bands that a group of copies shares.
-    pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("line").alias("b")), F.struct(F.col("line").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("line").alias("b")), F.struct(F.col("line").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
     pairs = materialise(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    need = shared.select("line").distinct()
     texts = materialise(lines.select("line", "norm").join(need, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-    both = both.where((F.length("x") >= SHINGLE) & (F.length("y") >= SHINGLE))  # shorter lines are linked with equal ones only
-    # Each set is cut once: what stands in a generator is not written out again into the filters above it.
-    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    sets = both.select("a", "b", once(x=shingle_set("x"), y=shingle_set("y")).alias("s"))
-    counts = sets.select("a", "b", once(i=F.size(F.array_intersect("s.x", "s.y")), n=F.size("s.x") + F.size("s.y")).alias("c"))
-    links = materialise(counts.where(F.col("c.i") * 100 >= (F.col("c.n") - F.col("c.i")) * percent).select("a", "b"), "links")
-    for x in (mins, texts):
+    printed = materialise(prints(texts), "prints")
+    links = materialise(verified(pairs, texts, printed, percent), "links")
+    found = connected_components(links)
+
+    # The ends have met everyone. Of the others, those of buckets with two of them or more are left to compare.
+    inner = shared.where("line <> low and line <> high").select("key", "line").distinct()
+    tested, rest = pairs, None
+    for turn in range(ROUNDS):
+        rest = materialise(_open(inner, found), "open")
+        if rest.isEmpty():
+            break
+        sizes = rest.select("line", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
+        best = rest.join(sizes, "component").groupBy("key").agg(F.min_by(F.struct("line", "component"), F.struct(-F.col("members"), F.col("component"), F.xxhash64("line", "key", F.lit(turn)))).alias("p"))
+        met = rest.join(best, "key").where("component <> p.component").select(F.least("line", "p.line").alias("a"), F.greatest("line", "p.line").alias("b"))
+        pairs = materialise(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        more = materialise(verified(pairs, texts, printed, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = connected_components(links)
+        rest = None
+    rest = materialise(_open(inner, found), "open") if rest is None else rest
+    if not rest.isEmpty():
+        left = materialise(across(rest, printed, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(left, texts, printed, percent), "links")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
+    for x in (shared, texts, printed):
         drop_written(x)
-    return connected_components(links)
+    return found
 
 
 def numbered(docs: DataFrame) -> DataFrame:

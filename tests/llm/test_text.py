@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from permafield.llm import linededup, neardup, quality, secrets
 
@@ -149,6 +150,31 @@ def test_lines_match_brute_force(docs, empty):
     assert linededup.judge_lines(empty).count() == 0
 
 
+def test_lines_of_several_clusters_in_a_bucket(spark, monkeypatch):
+    """Pairs of similar lines in one bucket whose two ends are like neither of them; small blocks."""
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    rng = random.Random(8)
+    family = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+
+    def edited(line, n):
+        for j in rng.sample(range(10, 390), n):
+            line = line[:j] + rng.choice("qrstuvwxyz") + line[j + 1 :]
+        return line
+
+    rows = []
+    for k in range(150):
+        own = edited(family, 4)  # about 0.7 to the others, and 0.96 to its partner
+        rows += [(2 * k, own), (2 * k + 1, edited(own, 1))]
+    groups = defaultdict(set)
+    for (i, _), (c, _) in brute_lines(rows).items():
+        groups[c].add(i)
+    lines = linededup.lines_of(spark.createDataFrame([(i, t, i) for i, t in rows], "d long, t string, r long"), "d", "t", "r")
+    got = defaultdict(set)
+    for r in lines.join(linededup.classes(lines, 80), F.col("line") == F.col("node")).collect():
+        got[r["component"]].add(r["doc_id"])
+    assert len(groups) > 50 and sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_removed_lines(docs, empty):
     once = docs.dropDuplicates(["doc_id"])
     want = brute_lines([(r["doc_id"], r["text"]) for r in once.collect()])
