@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permafield.llm.common import drop_written, materialise
+from permafield.llm.neardup import near_duplicates
 
 #: Characters that count as symbols, and the words of a repeated window: fixed values.
 SYMBOLS, RUN = b"#*$%&|<>", 8
+#: Similarity in percent, and words of a shingle, from which two texts count as copies of one document.
+COPY, COPY_WORDS = 70, 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _COEFFICIENTS = np.random.Generator(np.random.Philox(7)).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,21 +57,19 @@ def measures(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(raw.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def line_hashes(raw: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Of each distinct normalised line: its hash, the hash of its neighbours where it stands first, and its words in all places.
+def normalised(raw: bytes) -> list[tuple[int, int]]:
+    """Signed hash and words of every line: A-Z lower-cased, digits made 0, white space collapsed."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(xxhash.xxh64_intdigest(b" ".join(w))), len(w)) for w in (x.split() for x in raw.lower().translate(_DIGITS).split(b"\n"))]
 
-    Normalised: A-Z lower-cased, digits made 0, white space collapsed; lines without a word are left out.
-    """
-    found = [(xxhash.xxh64_intdigest(b" ".join(w)), len(w)) for w in (x.split() for x in raw.lower().translate(_DIGITS).split(b"\n")) if w]
-    first: dict[int, int] = {}
+
+def line_hashes(raw: bytes) -> tuple[list[int], list[int]]:
+    """Of each distinct normalised line with a word: its hash, and its words in all places."""
     words: dict[int, int] = {}
-    for k, (h, n) in enumerate(found):
-        first.setdefault(h, k)
-        words[h] = words.get(h, 0) + n
-    around = [0, *(h for h, _ in found), 1]
-    near = [xxhash.xxh64_intdigest(b"%d,%d" % (around[k], around[k + 2])) for k in first.values()]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(h) for h in first], [signed(h) for h in near], list(words.values())
+    for h, n in normalised(raw):
+        if n:
+            words[h] = words.get(h, 0) + n
+    return list(words), list(words.values())
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -86,23 +87,33 @@ def judge(
     host_col: str = "source",
     least_docs: int = 10,
     share: float = 0.001,
-    contexts: float = 0.5,
     left_words: int = 20,
     left_share: float = 0.2,
 ) -> DataFrame:
     """Measures and verdict of every row: ``key, doc_id, ... , removed_words, kept``.
 
-    A line is removed from a host if more than ``max(least_docs, share * documents of the host)`` distinct documents of
-    the host hold it, in as many different surroundings, and in surroundings that differ in at least ``contexts`` of these
-    documents; so the lines that copies of one document share are not taken for boilerplate. Equal texts of a host are one
-    document. A document is depleted, and not kept, if removal leaves fewer than ``left_words`` words or less than
-    ``left_share`` of its words; one without removed lines never is. ``base_failed``: fewer than 20 words, or over 30 % of
-    them in repeated 8-word windows.
+    A line is removed from a host if more than ``max(least_docs, share * documents of the host)`` distinct documents of the host
+    hold it, whatever stands around it. Copies are one document: equal texts of a host, and near copies (components linked at a
+    similarity of ``COPY`` percent of their ``COPY_WORDS``-word shingle sets), so the lines that copies of one document share
+    are not taken for boilerplate. Pages that are a shared block but for a few words of their own are near copies. A
+    document is depleted, and not kept, if removal leaves fewer than ``left_words`` words or less than ``left_share`` of its
+    words; one without removed lines never is. ``base_failed``: fewer than 20 words, or over 30 % of them in repeated 8-word
+    windows.
 
     Null text: no words, base_failed. Null host: a host of its own. Null and repeated ids: one row out for each row in.
     Counts are pre-aggregated before every shuffle, and no list of documents is gathered.
     """
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(f"host string, key string, {MEASURES}, lines array<long>, near array<long>, line_words array<long>").fields])
+    measured, lines, removed = _judged(docs, id_col, text_col, host_col, least_docs, share)
+    lost = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.sum("words").alias("removed_words"))
+    left = F.col("n_words") - F.col("removed_words")
+    depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
+    done = measured.drop("lines", "line_words", "host").join(lost, "key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    return done.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: measures of every row, ``host, key, line, words`` of every distinct text, and the removed ``host, line``."""
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(f"host string, key string, {MEASURES}, lines array<long>, line_words array<long>").fields])
 
     def run(batches):
         for b in batches:
@@ -111,24 +122,31 @@ def judge(
                 raw = raw.as_py() or b""
                 m = measures(raw)
                 rows.append((*m, m[0] < 20 or 100 * m[4] > 30 * m[0], *line_hashes(raw)))
-            cols = list(zip(*rows)) if rows else [[]] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.list_(pa.int64())] * 3
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=out.names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), content_key(host_col, text_col).alias("key"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     measured = materialise(rows.mapInArrow(run, out), "measures")
 
-    single = measured.groupBy("key").agg(F.first("host").alias("host"), F.first("lines").alias("lines"), F.first("near").alias("near"), F.first("line_words").alias("line_words"))
-    lines = materialise(single.select("host", "key", F.explode(F.arrays_zip("lines", "near", "line_words")).alias("x")).select("host", "key", F.col("x.lines").alias("line"), F.col("x.near").alias("near"), F.col("x.line_words").alias("words")), "lines")
+    single = measured.groupBy("key").agg(F.first("host").alias("host"), F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
+    lines = materialise(single.select("host", "key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")), "lines")
     sizes = measured.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = lines.groupBy("host", "line", "near").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.sum("n").alias("docs"), F.count("*").alias("nears"))
     limit = F.greatest(F.lit(float(least_docs)), F.lit(share) * F.col("host_docs"))
-    removed = materialise(counted.where(F.col("nears") > least_docs).join(sizes, "host").where((F.col("docs") > limit) & (F.col("nears") > limit) & (F.col("nears") >= contexts * F.col("docs"))).select("host", "line"), "removed")
-    lost = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.sum("words").alias("removed_words"))
-    left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
-    done = measured.drop("lines", "near", "line_words", "host").join(lost, "key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-    return done.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
+    often = materialise(counted.join(sizes, "host").where(F.col("n") > limit).select("host", "line", limit.alias("limit")), "often")
+    if often.isEmpty():
+        return measured, lines, often.select("host", "line")
+    # Only texts that hold such a line can change its count by being copies of each other.
+    held = materialise(lines.join(often, ["host", "line"]).select("host", "line", "limit", F.xxhash64("key").alias("node")), "held")
+    texts = docs.select(F.xxhash64(content_key(host_col, text_col)).alias("node"), F.col(text_col).alias("text"))
+    texts = materialise(texts.join(held.select("node").distinct(), "node", "left_semi"), "held-texts")
+    copies = near_duplicates(texts, COPY_WORDS, COPY, "node", "text").select(F.col("doc_id").alias("node"), "component_id").where("component_id <> node").distinct()
+    of_copy = held.join(copies, "node", "left").select("host", "line", "limit", F.coalesce("component_id", "node").alias("document")).distinct()
+    removed = materialise(of_copy.groupBy("host", "line").agg(F.count("*").alias("n"), F.first("limit").alias("limit")).where(F.col("n") > F.col("limit")).select("host", "line"), "removed")
+    for written in (held, texts):
+        drop_written(written)
+    return measured, lines, removed
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:

@@ -60,6 +60,25 @@ def test_quality_verdict(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(60, 200)) and kept.columns == ["doc_id", "text", "source"]
 
 
+def test_quality_blocks_and_near_copies(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    block = [fresh(9) for _ in range(6)]
+    first = fresh(9)
+    rows = [(k, "\n".join([first, fresh(40), *block, fresh(40)]), "h") for k in range(40)]  # a fixed block and a fixed first line
+    rows += [(k, "\n".join([*block, fresh(38)]), "h") for k in range(40, 60)]
+    words = [fresh(10).split() for _ in range(30)]
+    for k in range(60, 120):  # a hot group of near copies: two words of 300 differ
+        own = [list(x) for x in words]
+        for _ in range(2):
+            own[rng.randrange(30)][rng.randrange(10)] = fresh(1)
+        rows.append((k, "\n".join(map(" ".join, own)), "h"))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k]["kept"] for k in range(120))
+    assert {got[k]["removed_words"] for k in range(40)} == {63} and {got[k]["removed_words"] for k in range(40, 60)} == {54}
+    assert {got[k]["removed_words"] for k in range(60, 120)} == {0}
+
+
 def test_quality_edges(docs, empty):
     got = quality.judge(docs).collect()
     assert len(got) == docs.count() and all(r["kept"] is not None for r in got)
