@@ -12,9 +12,9 @@ from permafield.llm import common, linededup, neardup, packing, quality, secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by the removal of boilerplate lines. Their texts stay whole."""
+    """Documents that pass the base rules and are not depleted by the removal of boilerplate lines, without those lines."""
     common.small_batches(spark)
-    return quality.keep_good(docs)
+    return quality.cut_lines(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

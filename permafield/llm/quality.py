@@ -103,7 +103,10 @@ def judge(
     Null text: no words, base_failed. Null host: a host of its own. Null and repeated ids: one row out for each row in.
     Counts are pre-aggregated before every shuffle, and no list of documents is gathered.
     """
-    measured, lines, removed = _judged(docs, id_col, text_col, host_col, least_docs, share)
+    return _verdict(*_judged(docs, id_col, text_col, host_col, least_docs, share), left_words, left_share)
+
+
+def _verdict(measured: DataFrame, lines: DataFrame, removed: DataFrame, left_words: int = 20, left_share: float = 0.2) -> DataFrame:
     lost = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
@@ -155,4 +158,46 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     return docs.join(bad, content_key(host_col, text_col) == F.col("_rejected"), "left_anti")
 
 
-__all__ = ["drop_written", "judge", "keep_good", "line_hashes", "measures", "repeated_words"]
+def cut_lines(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", length_col: str | None = "n_chars", least_docs: int = 10, share: float = 0.001, **limits
+) -> DataFrame:
+    """The documents that :func:`judge` keeps, without their removed lines, all columns kept; ``length_col`` is counted anew.
+
+    A removed line goes from every place where its document holds it; lines without a word stay.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    judged = _judged(docs, id_col, text_col, host_col, least_docs, share)
+    measured, lines, removed = judged
+    bad = _verdict(*judged, **limits).where("not kept").select("key").distinct()
+    gone = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.collect_set("line").alias("_gone"))
+    # One table and one join: what is rejected, and the lines to cut from the others.
+    changed = bad.withColumn("_rejected", F.lit(True)).join(gone, "key", "full").select(F.col("key").alias("_changed"), F.coalesce("_rejected", F.lit(False)).alias("_rejected"), "_gone")
+    changed = materialise(changed, "changed")
+    left = docs.join(changed, content_key(host_col, text_col) == F.col("_changed"), "left").where("_rejected is null or not _rejected").select(*docs.columns, "_gone")
+    schema = docs.schema
+    at = schema.names.index(text_col)
+    count_at = schema.names.index(length_col) if length_col in schema.names else None
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            cols = list(b.columns)
+            gone = cols.pop().to_pylist()
+            texts = cols[at].to_pylist()
+            lengths = cols[count_at].to_pylist() if count_at is not None else []
+            for k, own in enumerate(gone):
+                if own:
+                    own, raw = set(own), texts[k].encode()
+                    texts[k] = b"\n".join(x for x, (h, n) in zip(raw.split(b"\n"), normalised(raw)) if not n or h not in own).decode()
+                    if lengths:
+                        lengths[k] = len(texts[k])
+            cols[at] = pa.array(texts, arrow.field(at).type)
+            if lengths:
+                cols[count_at] = pa.array(lengths, arrow.field(count_at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return left.mapInArrow(run, schema)
+
+
+__all__ = ["cut_lines", "drop_written", "judge", "keep_good", "line_hashes", "measures", "repeated_words"]

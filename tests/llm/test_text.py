@@ -79,6 +79,21 @@ def test_quality_blocks_and_near_copies(spark):
     assert {got[k]["removed_words"] for k in range(60, 120)} == {0}
 
 
+def test_quality_stage_cuts_removed_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    own = [(fresh(30), fresh(30)) for _ in range(30)]
+    rows = [(k, f"{a}\n\nAll  rights é {k % 10}\n{b}\nall rights é 0", "h", 7) for k, (a, b) in enumerate(own)] + [(30, "too short", "h", 9), (31, fresh(30), None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    assert got.schema == docs.schema
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()}
+    want = {k: f"{a}\n\n{b}" for k, (a, b) in enumerate(own)}
+    assert found == {k: (t, len(t)) for k, t in want.items()} | {31: (rows[31][1], 8)}
+
+
 def test_quality_edges(docs, empty):
     got = quality.judge(docs).collect()
     assert len(got) == docs.count() and all(r["kept"] is not None for r in got)
