@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from permafield.llm.common import connected_components, drop_written, materialise
 
-#: Characters in a shingle; bands and minima in a band. Each shingle has one hash, which falls into one of BANDS * ROWS bins; the
-#: least hash of each bin is a minimum, and an empty bin takes that of the next one. Two lines with a similarity of 0.8 share a
-#: band with a probability of 1 - (1 - 0.8**4)**8 = 0.985, of 0.9 with 0.9999; unlike lines of one language (0.03) with 6e-6.
+#: Characters in a shingle; bands and minima in a band. Every shingle of every line has BANDS * ROWS independent hashes, whose least
+#: are the minima. Two lines with a similarity of 0.8 share a band with a probability of 1 - (1 - 0.8**4)**8 = 0.985 whatever
+#: their lengths, of 0.9 with 0.9999; unlike lines of one language (0.03) with 6e-6.
 SHINGLE, BANDS, ROWS = 8, 8, 4
-BINS = BANDS * ROWS
-#: Every line has the bands of those shingles whose hash has its lowest bits clear (one in SAMPLE); lines of up to SHORT characters,
-#: of which that would leave few, have those of all their shingles as well. Either set of bands has the probabilities above.
-SAMPLE, SHORT = 4, 160
 #: Rounds of further pivots in buckets of several components, and the members of a block when what they leave is compared in full.
 ROUNDS, BLOCK = 2, 1000
 #: 64-bit words (a power of two) of the bit map of a line's shingles that spares most pairs of unlike lines the full comparison.
@@ -29,26 +25,15 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataF
 
 
 def minima(lines: DataFrame) -> DataFrame:
-    """``line, whole, m0 ...``: the least hash of the overlapping shingles in each bin. Aggregated in the scan's own tasks first.
+    """``line, m0 ...``: the least of each hash of the overlapping shingles. Aggregated in the scan's own tasks first.
 
     Shingles are windows over UTF-16 code units, as they can be cut in constant time; a line shorter than one is its own shingle.
     """
-
-    def hashed(own: DataFrame) -> DataFrame:
-        unit = own.select("line", F.encode("norm", "UTF-16BE").alias("units"))
-        at = unit.select("line", "units", F.expr(f"explode(sequence(1, greatest(1, length(units) - {2 * SHINGLE - 1}), 2))").alias("at"))
-        return at.select("line", F.hash(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("x"))
-
-    some = hashed(lines).where(F.col("x").bitwiseAND(F.lit(SAMPLE - 1)) == 0).withColumn("whole", F.lit(False))
-    whole = hashed(lines.where(F.length("norm") <= SHORT)).withColumn("whole", F.lit(True))
-    binned = some.unionByName(whole).withColumn("bin", F.shiftrightunsigned("x", 32 - (BINS - 1).bit_length()))
-    least = binned.groupBy("line", "whole").agg(*[F.min(F.when(F.col("bin") == k, F.col("x"))).alias(f"m{k}") for k in range(BINS)])
-    after = None  # the first minimum from a bin on
-    found = {}
-    for k in range(BINS - 1, -1, -1):
-        after = F.col(f"m{k}") if after is None else F.coalesce(F.col(f"m{k}"), after)
-        found[k] = after
-    return least.select("line", "whole", *[F.coalesce(found[k], found[0]).alias(f"m{k}") for k in range(BINS)])
+    unit = lines.select("line", F.encode("norm", "UTF-16BE").alias("units"))
+    at = unit.select("line", "units", F.expr(f"explode(sequence(1, greatest(1, length(units) - {2 * SHINGLE - 1}), 2))").alias("at"))
+    hashed = at.select("line", F.hash(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("x"))
+    # A hash of a shingle's hash with a seed of its own.
+    return hashed.groupBy("line").agg(*[F.min(F.hash(F.lit(k), "x")).alias(f"m{k}") for k in range(BANDS * ROWS)])
 
 
 def shingle_set(norm: Column | str) -> Column:
@@ -114,7 +99,7 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     what is in one component by then needs no comparison with each other. What stays in several is compared in full.
     """
     mins = minima(lines)
-    bands = F.array(*[F.xxhash64(F.lit(b), "whole", *[f"m{b + r * BANDS}" for r in range(ROWS)]) for b in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + r * BANDS}" for r in range(ROWS)]) for b in range(BANDS)])
     mins = materialise(mins.select("line", bands.alias("bands")), "bands")
     keyed = mins.select("line", F.explode("bands").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
