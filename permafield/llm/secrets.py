@@ -340,12 +340,20 @@ class Tagger:
         return self.table[rows]
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether sorted ``spans`` together cover all of ``start`` to ``end``."""
+    for s, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def scan(text: str | None, tagger: Tagger) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: the field's spans that overlap no base span are added."""
+    """Base spans, and all spans: the field's spans that base spans do not cover in full are added, whole."""
     text = text or ""
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
-    more = [("crf", s, e) for s, e in tagger.spans(text) if not any(s < b and a < e for a, b in taken)]
+    more = [("crf", s, e) for s, e in tagger.spans(text) if not covered(s, e, taken)]
     return base, base + more
 
 

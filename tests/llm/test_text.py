@@ -274,6 +274,20 @@ def test_secret_spans(docs, empty):
     assert not any(brute_spans(r["text"] or "") for r in clean.collect())
 
 
+def test_secrets_beyond_their_base_match():
+    class Fixed:
+        def spans(self, text):
+            return [(text.index("Ab12"), len(text) - 1)]
+
+    text = 'password="Ab12Cd34Ef56!xyz789"'
+    base, spans = secrets.scan(text, Fixed())
+    assert text[base[0][1] : base[0][2]].endswith("Ef56") and spans == [*base, ("crf", 10, 29)]
+    block = "key Ab12Cd34 0123456789abcdef Zz99!"
+    assert ("crf", 4, len(block) - 1) in secrets.scan(block, Fixed())[1]
+    assert secrets.scan('password="Ab12Cd34Ef56"', Fixed())[1] == secrets.scan('password="Ab12Cd34Ef56"', Fixed())[0]
+    assert secrets.covered(2, 9, [(0, 4), (1, 3), (4, 9)]) and not secrets.covered(2, 9, [(0, 4), (5, 9)])
+
+
 def test_field_on_held_out_sequences():
     tagger = secrets.Tagger(*secrets.train())
     hit = found = true = 0
