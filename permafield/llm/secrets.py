@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -63,13 +64,11 @@ def token_features(token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Buckets of a token's own features, and of those that its neighbours see."""
     start, end = core(token)
     v, key = token[start:end], token[:start].lower()
-    if len(v) > 4096:  # the shape of a very long token shows in its first characters; its length is a feature
-        v = v[:4096]
     n = len(token)
     lower, upper = sum(c.islower() for c in v), sum(c.isupper() for c in v)
     digit = sum(c.isdigit() for c in v)
     other = len(v) - lower - upper - digit
-    counts = [v.count(c) for c in set(v)]
+    counts = [v.count(c) for c in set(v)] if len(v) < 200 else Counter(v).values()
     entropy = -sum(c / len(v) * math.log2(c / len(v)) for c in counts)
     shape = "".join("a" * (lower > 0) + "A" * (upper > 0) + "0" * (digit > 0) + "-" * (other > 0))
     size = min(12, int(math.log2(n + 1) * 2))

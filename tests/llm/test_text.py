@@ -288,6 +288,12 @@ def test_secrets_beyond_their_base_match():
     assert secrets.covered(2, 9, [(0, 4), (1, 3), (4, 9)]) and not secrets.covered(2, 9, [(0, 4), (5, 9)])
 
 
+def test_features_of_very_long_tokens_see_all_of_it():
+    own = lambda t: set(secrets.token_features(t)[0])
+    assert secrets._bucket("hexonly") in own("0a" * 3000) and secrets._bucket("hexonly") not in own("0a" * 3000 + "#x")
+    assert secrets._bucket("shape=a0-") in own("0a" * 3000 + "#x") and secrets._bucket("shape=a0") not in own("0a" * 3000 + "#x")
+
+
 def test_field_on_held_out_sequences():
     tagger = secrets.Tagger(*secrets.train())
     hit = found = true = 0
