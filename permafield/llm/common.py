@@ -1,31 +1,40 @@
-"""Helpers that the corpus operators share: the shared folder, written intermediates, components."""
+"""Helpers that the corpus operators share: the shared folder, written intermediates, components, linking within buckets."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and \t \n \v \f \r (the ASCII white space that ``bytes.split()`` splits on).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: 64-bit words of a parity map; most rounds of pivots within buckets, which end sooner where a round links fewer than one of SLOW
+#: members; members of a block when what they leave is compared in full.
+WORDS, ROUNDS, SLOW, BLOCK = 16, 8, 100, 1000
+
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster it raises, as executors would not share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        found = "file://" + tempfile.mkdtemp(prefix="permafield-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if made.isDefined():
+        return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="permafield-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -74,6 +83,14 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def free_name(wanted: str, *taken: list[str]) -> str:
+    """``wanted``, or it with underscores before it, that none of the lists of names holds in any case."""
+    used = {n.lower() for names in taken for n in names}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows to an Arrow batch: the rows are whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -106,4 +123,93 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    done = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    done._written_at = e._written_at
+    return done
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only if two sets are less similar than ``percent``, by their sizes ``n`` and parity maps ``map`` behind the prefixes.
+
+    Bit ``h`` of a map is the parity of the set's elements that hash to ``h``. Bits that differ are at most as many as the elements
+    that only one set has, and those are at most ``(100 - percent) / (100 + percent)`` of both sizes together.
+    """
+    differ = sum((F.bit_count(F.get(f"{x}map", F.lit(k)).bitwiseXOR(F.get(f"{y}map", F.lit(k)))) for k in range(1, WORDS)), F.bit_count(F.get(f"{x}map", F.lit(0)).bitwiseXOR(F.get(f"{y}map", F.lit(0)))))
+    sizes = F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * percent
+    return sizes & (differ * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent))
+
+
+def _printed(printed: DataFrame, node: str, prefix: str) -> DataFrame:
+    return printed.select(F.col("node").alias(node), F.col("n").alias(f"{prefix}n"), F.col("map").alias(f"{prefix}map"))
+
+
+def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, node, component`` of the members of buckets that hold more than one component."""
+    labelled = inner.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(several, "key")
+
+
+def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: members of a bucket that lie in different components and whose parity maps allow a link.
+
+    A bucket of many members is compared in blocks, each a group of its own; its largest component stands on one side only.
+    """
+    members = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
+    top = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(printed, "node").join(top, "key")
+    x = placed.where("component <> top").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"))
+    y = placed.select(F.col("key").alias("ykey"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("yblock"), F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("map").alias("ymap"))
+    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xc") < F.col("yc")))
+    both = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("block") == F.col("yblock")) & apart & may_link("x", "y", percent))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``node, component`` of all links between members of one bucket: ``shared`` holds ``key, node, pivot`` (the key's smallest node),
+    ``printed`` each node's size ``n`` and parity ``map``, and ``verify`` keeps the linked of ``a, b`` pairs.
+
+    Every member meets its bucket's pivot, then in further rounds another one, from the bucket's largest component, as long as
+    that finds links: what is in one component by then needs no comparison. What stays in several is compared across them in
+    full, so no link is lost and no group of copies is expanded into all its pairs: pairs whose maps forbid a link are never
+    written.
+    """
+    allowed = lambda pairs: pairs.join(_printed(printed, "a", "x"), "a").join(_printed(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
+    inner = shared.where("node <> pivot")
+
+    def linked(pairs: DataFrame, found: DataFrame | None) -> tuple[DataFrame, int]:
+        pairs = materialise(pairs, "pairs")
+        links = materialise(verify(pairs), "links")
+        drop_written(pairs)
+        many = links.count()
+        if found is not None and not many:
+            drop_written(links)
+            return found, 0
+        # Components found so far are as good as the links that gave them.
+        edges = links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        new = connected_components(edges)
+        for x in (links, found):
+            drop_written(x)
+        return new, many
+
+    found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), None)
+    inner = inner.select("key", "node")
+    for turn in range(ROUNDS):
+        rest = materialise(_open(inner, found), "open")
+        left = rest.count()
+        if left:
+            of = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
+            best = of.groupBy("key").agg(F.max_by(F.struct("p", "component"), F.struct("m", "component")).alias("best"))
+            met = rest.join(best, "key").where("component <> best.component").select(F.least("node", "best.p").alias("a"), F.greatest("node", "best.p").alias("b"))
+            found, many = linked(allowed(met.distinct()), found)
+            if many * SLOW > left:
+                drop_written(rest)
+                continue
+            rest = materialise(_open(rest.select("key", "node"), found), "open") if many else rest
+            found, _ = linked(across(rest, printed, percent), found)
+        drop_written(rest)
+        return found
+    rest = materialise(_open(inner, found), "open")
+    found, _ = linked(across(rest, printed, percent), found)
+    drop_written(rest)
+    return found

@@ -2,184 +2,158 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permafield.llm.common import connected_components, drop_written, materialise
+from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise
 
-#: Characters in a shingle; bands and minima in a band. Every shingle of every line has BANDS * ROWS independent hashes, whose least
-#: are the minima. Two lines with a similarity of 0.8 share a band with a probability of 1 - (1 - 0.8**4)**8 = 0.985 whatever
-#: their lengths, of 0.9 with 0.9999; unlike lines of one language (0.03) with 6e-6.
-SHINGLE, BANDS, ROWS = 8, 8, 4
-#: Rounds of further pivots in buckets of several components, and the members of a block when what they leave is compared in full.
-ROUNDS, BLOCK = 2, 1000
-#: 64-bit words (a power of two) of the bit map of a line's shingles that spares most pairs of unlike lines the full comparison.
-WORDS = 8
+#: Characters in a shingle; sub-keys of a line and minima in each. Every two sub-keys key a table, so 12 minima give 15 tables of four.
+#: Two lines with a similarity of 0.8 share a table with a probability of 0.975, of 0.9 with 0.999; unlike lines of one language
+#: (0.03) with 1e-5.
+SHINGLE, SUBKEYS, ROWS = 8, 6, 2
+#: Shingles that one generated row holds where minima are taken, and where sets are gathered.
+STEP, CHUNK = 4, 128
+#: What a line is trimmed by: the white space that separates words, but for the line feed.
+SPACES = " \t\r\x0b\x0c"
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """``doc_id, row, line_no, norm, line``: every line with a word; ``norm`` is it without outer white space, ``line`` its 64-bit hash."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(row_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
-    norm = F.expr(r"trim(BOTH ' \t\r\f\u000b' FROM raw)")
-    return lines.select("doc_id", "row", "line_no", norm.alias("norm")).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
+def _masks() -> list[int]:
+    """Masks that order the shingles' hashes; their first bits are as far apart as they can be, the rest is random by rule."""
+    masks = []
+    for k in range(SUBKEYS * ROWS):
+        first = int(f"{k:05b}"[::-1], 2) << 59
+        rest = (k + 1) * 0x9E3779B97F4A7C15 & ((1 << 59) - 1)
+        masks.append((first | rest) - (1 << 63))
+    return masks
 
 
-def minima(lines: DataFrame) -> DataFrame:
-    """``line, m0 ...``: the least of each hash of the overlapping shingles. Aggregated in the scan's own tasks first.
+MASKS = _masks()
 
-    Shingles are windows over UTF-16 code units, as they can be cut in constant time; a line shorter than one is its own shingle.
-    """
-    unit = lines.select("line", F.encode("norm", "UTF-16BE").alias("units"))
-    at = unit.select("line", "units", F.expr(f"explode(sequence(1, greatest(1, length(units) - {2 * SHINGLE - 1}), 2))").alias("at"))
-    hashed = at.select("line", F.hash(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("x"))
-    # A hash of a shingle's hash with a seed of its own.
-    return hashed.groupBy("line").agg(*[F.min(F.hash(F.lit(k), "x")).alias(f"m{k}") for k in range(BANDS * ROWS)])
 
+def lines_of(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """``doc_id, row, line_no, norm, line``: every line with a word; ``norm`` is it without outer white space, ``line`` its 64-bit hash."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
+    norm = F.btrim("raw", F.lit(SPACES))
+    return lines.select("doc_id", "row", "line_no", norm.alias("norm")).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
 
-def shingle_set(norm: Column | str) -> Column:
-    """Distinct shingles of a line in characters; a line shorter than one is its own."""
-    c = F.col(norm) if isinstance(norm, str) else norm
-    return F.when(F.length(c) < SHINGLE, F.array(c)).otherwise(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))))
 
-
-def prints(texts: DataFrame) -> DataFrame:
-    """``line, n, w0 ...``: size and bit map of the shingle sets of lines that hold a shingle or more."""
-    own = texts.where(F.length("norm") >= SHINGLE).select("line", F.explode(shingle_set("norm")).alias("s")).select("line", F.xxhash64("s").alias("x"))
-    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
-    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1))
-    return own.groupBy("line").agg(F.count("*").alias("n"), *[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
+def _last(units: str) -> Column:
+    """The byte at which the last shingle of an encoded line begins; 1 for a line of one or less."""
+    return F.greatest(F.lit(1), F.length(units) - (WIDE * SHINGLE - 1))
 
 
-def may_link(x: str, y: str, percent: int) -> Column:
-    """False only if the sets of two lines are less similar than ``percent``: bits that differ are shingles that only one has."""
-    differ = sum((F.bit_count(F.col(f"{x}w{k}").bitwiseXOR(F.col(f"{y}w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
-    return differ * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
+def _units(lines: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """``keys``, the line's UTF-16 ``units``, the byte ``last`` where its last shingle begins, and ``at``, every ``step`` shingles."""
+    unit = lines.select(*keys, F.encode("norm", "UTF-16BE").alias("units")).select(*keys, "units", F.greatest(F.lit(1), F.length("units") - (2 * SHINGLE - 1)).alias("last"))
+    return unit.select(*keys, "units", "last", F.expr(f"explode(sequence(1, last, {2 * step}))").alias("at"))
 
 
-def _as(printed: DataFrame, line: str, prefix: str) -> DataFrame:
-    return printed.select(F.col("line").alias(line), *[F.col(c).alias(prefix + c) for c in printed.columns if c != "line"])
+def minima(lines: DataFrame) -> DataFrame:
+    """``line, m0 ...``: for each mask the least of all the shingles' hashes under it. Aggregated in the scan's own tasks first."""
+    # The last row's shingles beyond the end are the last one again, which changes no minimum.
+    cut = [F.xxhash64(F.expr(f"substring(units, least(at + {2 * j}, last), {2 * SHINGLE})")).alias(f"x{j}") for j in range(STEP)]
+    least = lambda mask: F.min(F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(mask)) for j in range(STEP)]))
+    return _units(lines, ["line"], STEP).select("line", *cut).groupBy("line").agg(*[least(m).alias(f"m{k}") for k, m in enumerate(MASKS)])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
-    """Of ``a, b`` those with ``100 * intersection >= percent * union`` of their shingle sets. Lines shorter than a shingle are
-    linked with equal ones only. The sets are compared in full unless their bit maps already differ too much."""
-    near = pairs.join(_as(printed, "a", "x"), "a").join(_as(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
-    both = near.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-    # Each set is cut once: what stands in a generator is not written out again into the filters above it.
-    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    sets = both.select("a", "b", once(x=shingle_set("x"), y=shingle_set("y")).alias("s"))
-    counts = sets.select("a", "b", once(i=F.size(F.array_intersect("s.x", "s.y")), n=F.size("s.x") + F.size("s.y")).alias("c"))
-    return counts.where(F.col("c.i") * 100 >= (F.col("c.n") - F.col("c.i")) * percent).select("a", "b")
+def _pieces(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, xs``: the hashes of all shingles of every ``norm``, in pieces of CHUNK, so that a long line takes no longer for each."""
+    held = _units(lines, keys, CHUNK).select(*keys, F.explode(F.array(F.expr(f"substring(units, at, {2 * (CHUNK + SHINGLE - 1)})"))).alias("piece"))
+    starts = F.expr(f"sequence(1, greatest(1, length(piece) - {2 * SHINGLE - 1}), 2)")
+    return held.select(*keys, F.transform(starts, lambda i: F.xxhash64(F.substring("piece", i, 2 * SHINGLE))).alias("xs"))
 
 
-def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, line, component`` of the members of buckets that hold more than one component."""
-    labelled = inner.join(found, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("component", "line").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return labelled.join(several, "key")
+def prints(texts: DataFrame) -> DataFrame:
+    """``node, n, map``: size and parity map (see :func:`~permafield.llm.common.may_link`) of each line's set of shingles."""
+    sets = _pieces(texts.repartition("line"), ["line"]).groupBy("line").agg(F.flatten(F.collect_list("xs")).alias("all"))
+    own = sets.select("line", F.explode(F.array_distinct("all")).alias("x"))
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return own.groupBy("line").agg(F.count("*").alias("n"), *words).select(F.col("line").alias("node"), "n", F.array(*[f"w{k}" for k in range(WORDS)]).alias("map"))
 
 
-def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: every two members of a bucket that lie in different components and whose bit maps allow a link. A bucket of many
-    members is compared in blocks, each in a group of its own; its largest component stands on one side only."""
-    members = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = members.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(printed, "line").join(top, "key")
-    x = _as(placed.where("component <> top").withColumn("block", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")), "xl", "x")
-    y = _as(placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "yl", "y")
-    same = (F.col("xkey") == F.col("ykey")) & (F.col("xblock") == F.col("yblock"))
-    apart = (F.col("xcomponent") != F.col("ycomponent")) & ((F.col("ycomponent") == F.col("xtop")) | (F.col("xcomponent") < F.col("ycomponent")))
-    return x.join(y, same & apart & may_link("x", "y", percent)).select(F.least("xl", "yl").alias("a"), F.greatest("xl", "yl").alias("b")).distinct()
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of ``a, b`` those with ``100 * intersection >= percent * union`` of their whole sets of shingles."""
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("line"), F.lit(1).alias("side")), F.struct(F.col("b").alias("line"), F.lit(2).alias("side")))).alias("s"))
+    held = sides.select("a", "b", "s.line", "s.side").join(texts, "line").repartition("a", "b")
+    of = lambda side: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("xs")))))
+    sets = _pieces(held, ["a", "b", "side"]).groupBy("a", "b").agg(of(1).alias("x"), of(2).alias("y"))
+    counts = sets.select("a", "b", F.explode(F.array(F.struct(F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n")))).alias("c"))
+    return counts.where(F.col("c.i") * 100 >= (F.col("c.n") - F.col("c.i")) * percent).select("a", "b")
 
 
 def classes(lines: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of distinct lines linked at ``100 * intersection >= percent * union`` of their shingle sets.
-
-    In every bucket the members are compared with its two ends, then for a few rounds with pivots from its largest component;
-    what is in one component by then needs no comparison with each other. What stays in several is compared in full.
-    """
-    mins = minima(lines)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + r * BANDS}" for r in range(ROWS)]) for b in range(BANDS)])
-    mins = materialise(mins.select("line", bands.alias("bands")), "bands")
-    keyed = mins.select("line", F.explode("bands").alias("key")).repartition("key")
-    ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    shared = materialise(keyed.join(ends.hint("shuffle_hash"), "key"), "shared")
-    drop_written(mins)
-    # Each member meets its bucket's two ends: the same two lines in most bands that a group of copies shares.
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("line").alias("b")), F.struct(F.col("line").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    pairs = materialise(pairs, "pairs")
-    need = shared.select("line").distinct()
+    """``node, component`` of distinct lines linked at ``100 * intersection >= percent * union`` of their shingle sets."""
+    # A line shorter than a shingle is alone in its tables: no other line has its one shingle.
+    mins = minima(lines).select("line", *[F.xxhash64(*[f"m{s + r * SUBKEYS}" for r in range(ROWS)]).alias(f"k{s}") for s in range(SUBKEYS)])
+    tables = [(i, j) for i in range(SUBKEYS) for j in range(i + 1, SUBKEYS)]
+    keys = F.array(*[F.xxhash64(F.lit(t), f"k{i}", f"k{j}") for t, (i, j) in enumerate(tables)])
+    keyed = mins.select(F.col("line").alias("node"), F.explode(keys).alias("key")).repartition("key")
+    several = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far").select("key", "pivot")
+    shared = materialise(keyed.join(several.hint("shuffle_hash"), "key"), "shared")
+    need = shared.select(F.col("node").alias("line")).distinct()
     texts = materialise(lines.select("line", "norm").join(need, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
     printed = materialise(prints(texts), "prints")
-    links = materialise(verified(pairs, texts, printed, percent), "links")
-    found = connected_components(links)
-
-    # The ends have met everyone. Of the others, those of buckets with two of them or more are left to compare.
-    inner = shared.where("line <> low and line <> high").select("key", "line").distinct()
-    tested, rest = pairs, None
-    for turn in range(ROUNDS):
-        rest = materialise(_open(inner, found), "open")
-        if rest.isEmpty():
-            break
-        sizes = rest.select("line", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
-        best = rest.join(sizes, "component").groupBy("key").agg(F.min_by(F.struct("line", "component"), F.struct(-F.col("members"), F.col("component"), F.xxhash64("line", "key", F.lit(turn)))).alias("p"))
-        met = rest.join(best, "key").where("component <> p.component").select(F.least("line", "p.line").alias("a"), F.greatest("line", "p.line").alias("b"))
-        pairs = materialise(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        more = materialise(verified(pairs, texts, printed, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = connected_components(links)
-        rest = None
-    rest = materialise(_open(inner, found), "open") if rest is None else rest
-    if not rest.isEmpty():
-        left = materialise(across(rest, printed, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(verified(left, texts, printed, percent), "links")
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+    found = bucket_components(shared, printed, lambda pairs: verified(pairs, texts, percent), percent)
     for x in (shared, texts, printed):
         drop_written(x)
     return found
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number for each row, written so that every later read sees the same numbers."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str, row: Column) -> tuple[DataFrame, DataFrame]:
+    """Written lines as ``doc_id, row, line_no, line, component_id``, and the place of the kept line of each component that has several."""
+    lines = lines_of(docs, id_col, text_col, row)
+    placed = materialise(lines.select("doc_id", "row", "line_no", "line"), "placed")
+    found = classes(lines, percent)
+    labelled = placed.join(found, placed["line"] == found["node"], "left").select("doc_id", "row", "line_no", "line", F.coalesce("component", "line").alias("component_id"))
+    first = labelled.groupBy("component_id").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
+    return labelled, first.select(F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no"))
 
 
-def judge_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def judge_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line with a word: ``doc_id, row, line_no, line, component_id, kept``. One line of each component is kept: that of
     the smallest doc_id (null first), then row, then line number.
 
     ``line`` is the 64-bit hash of the line without outer white space, ``component_id`` the smallest of the component's. Equal
     lines are one node; different lines are linked if the Jaccard similarity of their character shingle sets reaches
-    ``percent``. Lines shorter than a shingle are linked with equal lines only. Null and empty texts have no lines; repeated
-    rows have lines of their own, of which the first row's are kept. Other columns are not read.
+    ``percent``. Shingles are SHINGLE characters (UTF-16 code units); a line shorter than one is linked with equal lines only. Lines
+    of any length are taken whole. Null and
+    empty texts have no lines; repeated rows have lines of their own, of which the first row's are kept. No rows: no lines.
+    Other columns are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row_of"))
-    lines = lines_of(rows, id_col, text_col, "_row_of")
-    placed = materialise(lines.select("doc_id", "row", "line_no", "line"), "placed")
-    found = classes(lines, percent)
-    labelled = placed.join(found, placed["line"] == found["node"], "left").select("doc_id", "row", "line_no", "line", F.coalesce("component", "line").alias("component_id"))
-    place = F.struct("doc_id", "row", "line_no")
-    first = labelled.groupBy("component_id").agg(F.min(place).alias("first"))
-    return labelled.join(first, "component_id").select("doc_id", "row", "line_no", "line", "component_id", place.eqNullSafe(F.col("first")).alias("kept"))
+    labelled, first = _judged(docs, percent, id_col, text_col, F.monotonically_increasing_id())
+    # By place, not by component: a component with a third of all lines is as many keys as it has lines.
+    return labelled.join(first.withColumn("kept", F.lit(True)), ["row", "line_no"], "left").select("doc_id", "row", "line_no", "line", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def _with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column that names each row alike in every later read: its file and place in it, where ``docs`` is read
+    from files as it is; otherwise a number, and the numbered rows are written."""
+    try:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+    except AnalysisException:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", as_read: bool = False) -> DataFrame:
     """The documents without the lines that :func:`judge_lines` does not keep, all columns kept; ``length_col`` is counted anew.
 
-    Documents that had a word and lose all their lines with one are left out; others stay, null and empty texts too.
+    Documents that had a word and lose all their lines with one are left out; others stay, null and empty texts too. Of repeated
+    rows the first keeps its lines. No rows: none. Extra columns may have any names. ``as_read`` says that ``docs`` is the rows of
+    files, each once, so that they need not be written again to be told apart.
     """
     names = docs.columns
-    own = numbered(docs)
-    gone = judge_lines(own, percent, id_col, text_col, "_row").where("not kept").groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
-    gone = materialise(gone, "gone")
-    joined = own.join(gone, F.col("_row") == F.col("row"), "left")
-    rest = F.expr(f"array_join(filter(split(`{text_col}`, '\n'), (x, i) -> not array_contains(_gone, i)), '\n')")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest)
-    done = joined.withColumn(text_col, text).where(F.col("_gone").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    row, key, gone_name = free_name("_row", names), free_name("_key", names), free_name("_gone", names)
+    own = _with_rows(docs, row) if as_read else materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    labelled, first = _judged(own, percent, id_col, text_col, F.col(row))
+    lost = labelled.join(first, ["row", "line_no"], "left_anti").groupBy("row").agg(F.collect_set("line_no").alias(gone_name)).withColumnRenamed("row", key)
+    gone = materialise(lost, "gone")
+    joined = own.join(gone.hint("shuffle_hash"), own[row] == gone[key], "left")
+    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone_name, i)), "\n")
+    text = F.when(F.col(gone_name).isNull(), F.col(text_col)).otherwise(rest)
+    done = joined.withColumn(text_col, text).where(F.col(gone_name).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     if length_col and length_col in names:
-        done = done.withColumn(length_col, F.when(F.col("_gone").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return done.select(*names)
+        done = done.withColumn(length_col, F.when(F.col(gone_name).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
+    return done.select(*[f"`{n}`" for n in names])

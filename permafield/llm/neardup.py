@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permafield.llm.common import connected_components, drop_written, materialise
+from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise
 
 #: Hash collections, sub-keys in each, and minima in a sub-key. Tables are keyed by pairs of sub-keys of two different
 #: collections: 150 tables of 6 minima each from 60 minima in all. At a similarity of 0.8 a pair of documents meets in no table
@@ -18,8 +16,8 @@ from permafield.llm.common import connected_components, drop_written, materialis
 COLLECTIONS, SIDE, ROWS = 4, 5, 3
 KEYS = COLLECTIONS * SIDE
 TABLES = [(i, j) for i in range(KEYS) for j in range(i + 1, KEYS) if i // SIDE != j // SIDE]
-#: Rounds of further pivots, and pivots that a document meets in each; what they leave open is compared in full.
-ROUNDS, TRIALS = 3, 6
+#: Bits of a parity map.
+BITS = 64 * WORDS
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -113,8 +111,8 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, fa, fb`` (a fingerprint of the set) and ``subkeys`` (null without words)."""
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, fa long, fb long, subkeys array<long>").fields])
+    """``doc_id, n_shingles, fa, fb`` (a fingerprint of the set), ``subkeys`` and the set's parity ``map`` (both null without words)."""
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, fa long, fb long, subkeys array<long>, map array<long>").fields])
 
     def run(batches):
         for b in batches:
@@ -123,22 +121,24 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
             count = len(offsets) - 1
             full = np.flatnonzero(np.diff(starts))
             sizes, fa, fb = np.zeros(count, np.int64), np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-            keys = np.zeros((len(full), KEYS), np.uint64)
+            keys, maps = np.zeros((len(full), KEYS), np.uint64), np.zeros((len(full), WORDS), np.uint64)
             if len(full):
                 at = starts[full]
                 for k in range(KEYS):
                     for r in range(ROWS):
                         least = np.minimum.reduceat(h ^ _MASKS[k * ROWS + r], at)
                         keys[:, k] = mix(keys[:, k] * np.uint64(3) + least)
-                for d in full:
+                for i, d in enumerate(full):
                     own = np.unique(h[starts[d] : starts[d + 1]])
+                    odd = (np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+                    maps[i] = np.packbits(odd, bitorder="little").view("<u8")
                     sizes[d] = len(own)
                     fa[d] = mix(own).sum(dtype=np.uint64)
                     fb[d] = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            held = np.zeros(count + 1, np.int32)
-            held[1:] = np.cumsum((np.diff(starts) > 0) * KEYS)
-            lists = pa.ListArray.from_arrays(pa.array(held), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(np.diff(starts) == 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), lists], names=out.names)
+            held = np.concatenate([[0], np.cumsum(np.diff(starts) > 0)]).astype(np.int32)
+            none = pa.array(np.diff(starts) == 0)
+            lists = [pa.ListArray.from_arrays(pa.array(held * x.shape[1], pa.int32()), pa.array(x.reshape(-1).view(np.int64)), mask=none) for x in (keys, maps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), *lists], names=out.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
@@ -180,84 +180,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, t, node, component`` of the members of buckets that hold more than one component."""
-    labelled = shared.join(found, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return labelled.join(several, "key")
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked at ``100 * intersection >= percent * union`` of their n-word shingle sets:
     ``doc_id, n_shingles, component_id`` (the smallest id reachable), ``kept`` (the document is that one).
 
-    Equal sets are one class from the start. In every bucket of every table the members are compared with one pivot, then for a
-    few rounds with pivots from the bucket's largest component; documents that are in one component by then need no comparison
-    with each other. What stays in several components within a bucket is compared across them in full, so no component that the
-    buckets' links give is missed, and no group of copies is expanded into all its pairs. Links are verified on the full sets.
-    Joins on hot buckets or pivots can be split; minima are pre-aggregated.
+    Equal sets are one class from the start. Sub-keys that only one class has are left out before the tables are made of pairs
+    of the others: a table's key that two classes share is a pair of shared sub-keys, so that loses none. Within the tables'
+    buckets links are found as :func:`~permafield.llm.common.bucket_components` says, and verified on the full sets.
 
     Null texts and texts without words: no shingles, linked with nothing. Null ids: in no component, kept. Rows with one id
-    are one document for linking. Other columns are not read.
+    are one document for linking. Texts of any length are taken whole. No rows: none. Other columns are not read, whatever
+    their names.
     """
     sig = materialise(signatures(docs, n, id_col, text_col), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fa", "fb").agg(F.min_by("subkeys", "doc_id").alias("k"), F.min("doc_id").alias("node"))
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in TABLES])
-    spread = classes.select("node", "k", F.posexplode(tables).alias("t", "p"))
-    keyed = spread.select("node", "t", F.xxhash64("t", F.get("k", F.col("p.i")), F.get("k", F.col("p.j"))).alias("key")).repartition("key")
+    known = sig.where("n_shingles > 0 and doc_id is not null")
+    classes = known.groupBy("n_shingles", "fa", "fb").agg(F.min("doc_id").alias("node"), F.first("subkeys").alias("k"), F.first("map").alias("map"))
+    classes = materialise(classes, "classes")
+    each = classes.select("node", F.posexplode("k").alias("i", "k")).repartition("i", "k")
+    several = each.groupBy("i", "k").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("i", "k")
+    # The hash table is of the shared sub-keys' side, a row for each, so the many others need no sort.
+    alive = each.join(several.hint("shuffle_hash"), ["i", "k"]).groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias("ks"))
+    side = lambda x: F.floor(x["i"] / SIDE)
+    tables = F.flatten(F.transform("ks", lambda x: F.transform(F.filter("ks", lambda y: (x["i"] < y["i"]) & (side(x) != side(y))), lambda y: F.xxhash64(x["i"], y["i"], x["k"], y["k"]))))
+    keyed = alive.select("node", F.explode(tables).alias("key")).repartition("key")
     many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
-    # The hash table is of the buckets' side, a row for each key, so the many members need no sort.
     shared = materialise(keyed.join(many.select("key", "pivot").hint("shuffle_hash"), "key"), "shared")  # members of buckets with two classes or more
 
-    # First the smallest id of every bucket: the same pivot in most tables, so few pairs.
-    star = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    involved = materialise(shared.select(F.col("node").alias("doc_id")).distinct(), "involved")
+    involved = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(involved, "doc_id", "left_semi")
     sets = materialise(_sets(texts, n).dropDuplicates(["node"]), "sets")
-    tested = star
-    links = materialise(_verified(star, sets, percent), "links")
-    found = connected_components(links)
-
-    # Then, in buckets that still hold several components, pivots from the largest of them, others in every round.
-    for turn in range(ROUNDS):
-        rest = materialise(_open(shared, found), "open")
-        if rest.isEmpty():
-            break
-        sizes = rest.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
-        ranked = rest.join(sizes, "component")
-        best = ranked.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.struct(-F.col("members"), F.col("component"), F.xxhash64("node", "key", F.lit(turn)))).alias("p"))
-        met = rest.join(best, "key").where("component <> p.component").select("node", F.col("p.node").alias("other"), F.xxhash64("key", F.lit(turn)).alias("order"))
-        few = met.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("order"))).where(F.col("r") <= TRIALS)
-        pairs = few.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        more = materialise(_verified(pairs, sets, percent), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = connected_components(links)
-
-    # Last all that is left to compare: members of one bucket in different components, each pair in the first table it shares.
-    rest = materialise(_open(shared, found), "open")
-    own = classes.select("node", F.col("n_shingles").alias("size"), *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(KEYS)])
-    # A bucket's largest component stands on one side only: its members need no comparison with each other, nor a look at it.
-    members = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = members.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"))
-    rest = materialise(rest.join(own, "node").join(top, "key"), "open")
-    x, y = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in rest.columns]) for p, side in (("x", rest.where("component <> top")), ("y", rest)))
-    # A pair's first table (i, j): no equal sub-key before i, and none from the collection after i's up to j.
-    number = lambda f: F.get(F.array(*[F.lit(f(i, j)) for i, j in TABLES]), F.col("x_t"))
-    x = x.withColumns({"x_i": number(lambda i, j: i), "x_j": number(lambda i, j: j), "x_later": number(lambda i, j: (i // SIDE + 1) * SIDE)})
-    differ = [F.col(f"x_k{k}") != F.col(f"y_k{k}") for k in range(KEYS)]
-    none_before = [(F.col("x_i") <= k) | differ[k] for k in range(KEYS - SIDE)]
-    none_between = [(F.col("x_later") > k) | (F.col("x_j") <= k) | differ[k] for k in range(SIDE, KEYS)]
-    first = reduce(lambda p, q: p & q, none_before + none_between)
-    size = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent
-    apart = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("x_top")) | (F.col("x_component") < F.col("y_component")))
-    across = x.join(y, (F.col("x_key") == F.col("y_key")) & apart & size & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-    more = materialise(_verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
-    final = found if more.isEmpty() else connected_components(links.unionByName(more))
-    for written in (sets, rest, shared):
+    printed = materialise(classes.select("node", F.col("n_shingles").alias("n"), "map").join(involved, F.col("node") == F.col("doc_id"), "left_semi"), "prints")
+    final = bucket_components(shared, printed, lambda pairs: _verified(pairs, sets, percent), percent)
+    for written in (sets, shared, printed):
         drop_written(written)
 
     of_class = classes.select("n_shingles", "fa", "fb", "node").join(final, "node", "left").select("n_shingles", "fa", "fb", F.coalesce("component", "node").alias("component_id"))
@@ -267,11 +221,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all columns. Of rows that repeat an id one stays; rows without an id all stay."""
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(materialise(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = materialise(docs.groupBy(F.col(id_col).alias("_many")).agg(F.count("*").alias("_n")).where("_n > 1 and _many is not null").select("_many"), "repeated")
+    """One document of each component, with all columns. Of rows that repeat an id one stays; rows without an id all stay.
+
+    Nulls, ties and texts of any length: as :func:`near_duplicates` says. Extra columns may have any names.
+    """
+    gone_name, many_name = free_name("_gone", docs.columns), free_name("_many", docs.columns)
+    gone = near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_name)).distinct()
+    left = docs.join(materialise(gone, "gone"), F.col(id_col) == F.col(gone_name), "left_anti")
+    repeated = docs.groupBy(F.col(id_col).alias(many_name)).agg(F.count("*").alias("times")).where((F.col("times") > 1) & F.col(many_name).isNotNull()).select(many_name)
+    repeated = materialise(repeated, "repeated")
     if repeated.isEmpty():
         return left
-    of_many = F.col(id_col) == F.col("_many")
+    of_many = F.col(id_col) == F.col(many_name)
     return left.join(repeated, of_many, "left_anti").unionByName(left.join(repeated, of_many, "left_semi").dropDuplicates([id_col]))

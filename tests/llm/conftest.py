@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, kept boolean, sequence_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, kept boolean, sequence_id long, row long, _row long, _gone string, _rejected boolean, _many long"
 
 
 def texts(seed: int = 3, n: int = 60) -> list[str | None]:
@@ -32,7 +32,7 @@ def texts(seed: int = 3, n: int = 60) -> list[str | None]:
 def docs(spark):
     rows = [(k, t, "en", f"src{k % 3}" if k % 7 else None, len(t or ""), "k", 1, True, 5) for k, t in enumerate(texts())]
     rows += [(None, "no id here", "en", "src0", 1, None, None, None, None), rows[2], rows[2]]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*r, 7, 8, "g", False, 9) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from permafield.llm import linededup, neardup, quality, secrets
+from permafield.llm import common, linededup, neardup, quality, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -186,7 +186,7 @@ def test_lines_match_brute_force(docs, empty):
 
 def test_lines_of_several_clusters_in_a_bucket(spark, monkeypatch):
     """Pairs of similar lines in one bucket whose two ends are like neither of them; small blocks."""
-    monkeypatch.setattr(linededup, "BLOCK", 16)
+    monkeypatch.setattr(common, "BLOCK", 16)
     rng = random.Random(8)
     family = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
 
@@ -202,7 +202,7 @@ def test_lines_of_several_clusters_in_a_bucket(spark, monkeypatch):
     groups = defaultdict(set)
     for (i, _), (c, _) in brute_lines(rows).items():
         groups[c].add(i)
-    lines = linededup.lines_of(spark.createDataFrame([(i, t, i) for i, t in rows], "d long, t string, r long"), "d", "t", "r")
+    lines = linededup.lines_of(spark.createDataFrame([(i, t, i) for i, t in rows], "d long, t string, r long"), "d", "t", F.col("r"))
     got = defaultdict(set)
     for r in lines.join(linededup.classes(lines, 80), F.col("line") == F.col("node")).collect():
         got[r["component"]].add(r["doc_id"])
@@ -210,25 +210,35 @@ def test_lines_of_several_clusters_in_a_bucket(spark, monkeypatch):
 
 
 def test_lines_meet_at_every_length(spark):
-    """The share of pairs of similarity 0.8 that no band shows, by length; periodic lines of any length always meet."""
+    """The share of pairs of similarity 0.8 that no table shows, by length; periodic lines of any length always meet."""
     rng = random.Random(4)
     rows, missed = [], {}
-    for size in (15, 30, 60, 180, 240, 400):  # shingles in the union of two lines, of which the last fifth has only one
+    for size in (5, 15, 30, 60, 180, 240, 400):  # shingles in the union of two lines, of which the last fifth has only one
         for k in range(400):
             text = "".join(rng.choice("abcdefghijklmnop") for _ in range(size + 7))
             rows += [(size, k, 0, text), (size, k, 1, text[: size * 4 // 5 + 7])]
     periodic = [(0, k, s, p * (n // len(p))) for k, p in enumerate("- = . _ ~ * # + -= .. <> ab abc wxyz".split()) for s, n in enumerate((120, 204, 216))]
     lines = spark.createDataFrame(rows + periodic, "size int, pair int, side int, norm string").withColumn("line", F.xxhash64("size", "pair", "side"))
     mins = {r["line"]: r[1:] for r in linededup.minima(lines).collect()}
-    bands, n = linededup.BANDS, linededup.ROWS
+    of, n = linededup.SUBKEYS, linededup.ROWS
     at = {(r["size"], r["pair"], r["side"]): mins[r["line"]] for r in lines.collect()}
-    meet = lambda x, y: any(all(x[b + r * bands] == y[b + r * bands] for r in range(n)) for b in range(bands))
+    meet = lambda x, y: sum(all(x[s + r * of] == y[s + r * of] for r in range(n)) for s in range(of)) >= 2
     for size, k, _, _ in rows[::2]:
         missed[size] = missed.get(size, 0) + (not meet(at[size, k, 0], at[size, k, 1]))
-    assert all(x <= 16 for x in missed.values()) and sum(missed.values()) <= 60, missed  # 0.0153 each: 6 of 400, 37 of 2,400
+    assert all(x <= 24 for x in missed.values()) and sum(missed.values()) <= 100, missed  # 0.025 each: 10 of 400, 70 of 2,800
     assert all(meet(at[0, k, 0], at[0, k, s]) for _, k, s, _ in periodic)
 
 
+def test_only_white_space_is_trimmed(spark):
+    """Lines that begin and end in any ASCII character keep all but outer white space; sets count UTF-16 units."""
+    rows = [(k, c + "x" + c) for k, c in enumerate(map(chr, range(1, 127))) if c != "\n"] + [(900, "off"), (901, "o"), (902, "fff"), (903, " \x0b\x0cff\t\r ")]
+    got = {r["doc_id"]: r["norm"] for r in linededup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", F.lit(1)).collect()}
+    assert got == {k: t.strip(" \t\r\x0b\x0c") for k, t in rows}
+    pairs = [(0, "c" * 200), (1, "c" * 201), (2, "😀" * 30), (3, "😀" * 31), (4, "off" * 3), (5, "o" + "off" * 2 + "o")]
+    judged = {r["doc_id"]: r["component_id"] for r in linededup.judge_lines(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert judged[0] == judged[1] and judged[2] == judged[3] and judged[4] != judged[5]
+
+
 def test_removed_lines(docs, empty):
     once = docs.dropDuplicates(["doc_id"])
     want = brute_lines([(r["doc_id"], r["text"]) for r in once.collect()])
