@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: 64-bit words of a parity map; most rounds of pivots within buckets, which end sooner where a round links fewer than one of SLOW
-#: members; members of a block when what they leave is compared in full.
-WORDS, ROUNDS, SLOW, BLOCK = 16, 8, 100, 1000
+#: members; comparisons of one group when what they leave is compared in full.
+WORDS, ROUNDS, SLOW, WORK = 16, 8, 100, 10_000_000
 
 _written: dict[str, list[str]] = {}
 
@@ -153,15 +153,20 @@ def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
 def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members of a bucket that lie in different components and whose parity maps allow a link.
 
-    A bucket of many members is compared in blocks, each a group of its own; its largest component stands on one side only.
+    A bucket's largest component stands on one side only. Where the two sides would need more than WORK comparisons, both are dealt
+    into parts, and each two parts are a group of their own, so that no task holds more, whatever a bucket's size.
     """
     members = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
-    top = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
-    placed = rest.join(printed, "node").join(top, "key")
-    x = placed.where("component <> top").select("key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"))
-    y = placed.select(F.col("key").alias("ykey"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("yblock"), F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("map").alias("ymap"))
+    top = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    parts = F.ceil(F.sqrt((F.col("all") - F.col("most")) * F.col("all") / WORK)).cast("int")
+    placed = rest.join(printed, "node").join(top.select("key", "top", F.greatest(F.lit(1), parts).alias("parts")), "key")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = placed.where("component <> top").select("key", part.alias("i"), all_parts.alias("j"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"))
+    y = placed.select(F.col("key").alias("ykey"), all_parts.alias("yi"), part.alias("yj"), F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("map").alias("ymap"))
+    same = (F.col("key") == F.col("ykey")) & (F.col("i") == F.col("yi")) & (F.col("j") == F.col("yj"))
     apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xc") < F.col("yc")))
-    both = x.join(y, (F.col("key") == F.col("ykey")) & (F.col("block") == F.col("yblock")) & apart & may_link("x", "y", percent))
+    both = x.join(y, same & apart & may_link("x", "y", percent))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

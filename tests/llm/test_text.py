@@ -185,8 +185,8 @@ def test_lines_match_brute_force(docs, empty):
 
 
 def test_lines_of_several_clusters_in_a_bucket(spark, monkeypatch):
-    """Pairs of similar lines in one bucket whose two ends are like neither of them; small blocks."""
-    monkeypatch.setattr(common, "BLOCK", 16)
+    """Pairs of similar lines in one bucket whose two ends are like neither of them; small groups."""
+    monkeypatch.setattr(common, "WORK", 500)
     rng = random.Random(8)
     family = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
 
