@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: 64-bit words of a parity map; most rounds of pivots within buckets, which end sooner where a round links fewer than one of SLOW
-#: members; comparisons of one group when what they leave is compared in full.
-WORDS, ROUNDS, SLOW, WORK = 16, 8, 100, 10_000_000
+#: members; pivots of a bucket in a round; comparisons of one group when what they leave is compared in full.
+WORDS, ROUNDS, SLOW, PIVOTS, WORK = 16, 8, 200, 3, 10_000_000
 
 _written: dict[str, list[str]] = {}
 
@@ -144,8 +144,8 @@ def _printed(printed: DataFrame, node: str, prefix: str) -> DataFrame:
 
 
 def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, node, component`` of the members of buckets that hold more than one component."""
-    labelled = inner.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    """``key, node, weight, component`` of the members of buckets that hold more than one component."""
+    labelled = inner.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return labelled.join(several, "key")
 
@@ -174,10 +174,10 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
     """``node, component`` of all links between members of one bucket: ``shared`` holds ``key, node, pivot`` (the key's smallest node),
     ``printed`` each node's size ``n`` and parity ``map``, and ``verify`` keeps the linked of ``a, b`` pairs.
 
-    Every member meets its bucket's pivot, then in further rounds another one, from the bucket's largest component, as long as
-    that finds links: what is in one component by then needs no comparison. What stays in several is compared across them in
-    full, so no link is lost and no group of copies is expanded into all its pairs: pairs whose maps forbid a link are never
-    written.
+    Every member meets its bucket's pivot, then in further rounds PIVOTS others, from the bucket's largest component, as long as
+    that finds links: what is in one component by then needs no comparison. Members of many and large buckets, which most others
+    are like, are the likelier pivots. What stays in several components is compared across them in full, so no link is lost and
+    no group of copies is expanded into all its pairs: pairs whose maps forbid a link are never written.
     """
     allowed = lambda pairs: pairs.join(_printed(printed, "a", "x"), "a").join(_printed(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
     inner = shared.where("node <> pivot")
@@ -198,23 +198,28 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
         return new, many
 
     found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), None)
-    inner = inner.select("key", "node")
+    many_held = shared.groupBy("key").agg(F.count("*").alias("held"))
+    weights = materialise(shared.select("key", "node").join(many_held, "key").groupBy("node").agg(F.sum("held").alias("weight")), "weights")
+    inner = inner.select("key", "node").join(weights, "node")
     for turn in range(ROUNDS):
         rest = materialise(_open(inner, found), "open")
         left = rest.count()
         if left:
-            of = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
-            best = of.groupBy("key").agg(F.max_by(F.struct("p", "component"), F.struct("m", "component")).alias("best"))
-            met = rest.join(best, "key").where("component <> best.component").select(F.least("node", "best.p").alias("a"), F.greatest("node", "best.p").alias("b"))
+            chosen = [F.max_by("node", F.col("weight") * F.pmod(F.xxhash64("node", F.lit(turn * PIVOTS + k)), F.lit(1000))) for k in range(PIVOTS)]
+            of = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.array_distinct(F.array(*chosen)).alias("ps"))
+            best = of.groupBy("key").agg(F.max_by(F.struct("ps", "component"), F.struct("m", "component")).alias("best"))
+            met = rest.join(best, "key").where("component <> best.component").select("node", F.explode("best.ps").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             found, many = linked(allowed(met.distinct()), found)
             if many * SLOW > left:
                 drop_written(rest)
                 continue
-            rest = materialise(_open(rest.select("key", "node"), found), "open") if many else rest
+            rest = materialise(_open(rest.drop("component"), found), "open") if many else rest
             found, _ = linked(across(rest, printed, percent), found)
-        drop_written(rest)
+        for x in (rest, weights):
+            drop_written(x)
         return found
     rest = materialise(_open(inner, found), "open")
     found, _ = linked(across(rest, printed, percent), found)
-    drop_written(rest)
+    for x in (rest, weights):
+        drop_written(x)
     return found

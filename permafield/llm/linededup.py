@@ -14,6 +14,8 @@ from permafield.llm.common import WORDS, bucket_components, drop_written, free_n
 SHINGLE, SUBKEYS, ROWS = 8, 6, 2
 #: Shingles that one generated row holds where minima are taken, and where sets are gathered.
 STEP, CHUNK = 4, 128
+#: Lines whose hashes are sent to every task (8 bytes each) to pick their texts; of more, the texts are shuffled.
+SENT = 5_000_000
 #: What a line is trimmed by: the white space that separates words, but for the line feed.
 SPACES = " \t\r\x0b\x0c"
 
@@ -93,7 +95,9 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     keyed = mins.select(F.col("line").alias("node"), F.explode(keys).alias("key")).repartition("key")
     several = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far").select("key", "pivot")
     shared = materialise(keyed.join(several.hint("shuffle_hash"), "key"), "shared")
-    need = shared.select(F.col("node").alias("line")).distinct()
+    need = materialise(shared.select(F.col("node").alias("line")).distinct(), "need")
+    if need.count() <= SENT:
+        need = F.broadcast(need)
     texts = materialise(lines.select("line", "norm").join(need, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")), "texts")
     printed = materialise(prints(texts), "prints")
     found = bucket_components(shared, printed, lambda pairs: verified(pairs, texts, percent), percent)
