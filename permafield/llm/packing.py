@@ -51,12 +51,12 @@ class CapacityTree:
         return capacity, self.windows[capacity].pop()
 
 
-def best_fit(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
+def best_fit(lengths: list[int], size: int, fill_gaps: bool = False) -> list[list[tuple[int, int, int]]]:
     """Pack items of ``lengths`` into windows of ``size``: for each window its pieces (item, start, length) in order.
 
     Items longer than a window are first cut into full windows; what is left of them and all others are placed
-    longest first (ties: first given first) into the tightest open window. Then windows that are still open give
-    their pieces, cut where needed, to the gaps of fuller ones, so that one window at most stays short.
+    longest first (ties: first given first) into the tightest open window. With ``fill_gaps``, windows that are still open then
+    give their pieces, cut where needed, to the gaps of fuller ones, so that one window at most stays short.
     """
     windows: list[list[tuple[int, int, int]]] = []
     rest: list[tuple[int, int, int]] = []
@@ -78,6 +78,8 @@ def best_fit(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
         windows[w].append(piece)
         free[w] = capacity - piece[2]
         tree.put(free[w], w)
+    if not fill_gaps:
+        return windows
     order = sorted((w for w in free if free[w]), key=lambda w: (free[w], w))
     first, last = 0, len(order) - 1
     while first < last:
@@ -100,11 +102,11 @@ def best_fit(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, fill_gaps: bool = False) -> DataFrame:
     """Tokenise and pack whole documents: one row for each piece, with its ids as ``ids array<int>`` if asked.
 
-    Every task packs its own documents in chunks of bounded size, so nothing is shuffled and each chunk leaves one
-    short window at most. ``sequence_id`` holds the task's partition in its upper bits. A null or empty text is the
+    Every task packs its own documents in chunks of bounded size, so nothing is shuffled. Documents of at most ``size`` ids stay
+    whole unless ``fill_gaps`` lets pieces be cut and moved, after which each chunk leaves one short window at most. ``sequence_id`` holds the task's partition in its upper bits. A null or empty text is the
     end id alone. Rows with equal or null ids are packed as separate documents. No rows: no pieces. Only the two
     named columns are read.
     """
@@ -113,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
         out = out.add("ids", T.ArrayType(T.IntegerType()))
 
     def packed(keys: list, ids: list[np.ndarray], first: int):
-        windows = best_fit([len(x) for x in ids], size)
+        windows = best_fit([len(x) for x in ids], size, fill_gaps)
         cols: list[list] = [[] for _ in range(7)]
         parts = []
         for w, pieces in enumerate(windows):
