@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Texts of more characters are cut at safe boundaries before they are encoded.
 LONG = 65_536
+#: White-space characters of a run that the library's regex is not trusted with.
+SPACES = 50_000
+_RUN = re.compile(r"\s{%d}" % SPACES)
 
 _encodings: dict = {}
 
@@ -31,7 +35,7 @@ def encoding(path: str, pattern: str):
 def safe_parts(text: str, most: int = LONG) -> Iterator[str]:
     """Cut a long text where no match of the pattern can reach across: before white space that follows a non-space.
 
-    A part without such a place stays whole, however long it is.
+    A part without such a place stays whole, however long it is; see :func:`encode` for long runs of white space.
     """
     at = 0
     while len(text) - at > most:
@@ -43,13 +47,26 @@ def safe_parts(text: str, most: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def by_match(enc, text: str) -> np.ndarray:
+    """Ids of a text match by match, each match found by Python's regex: for runs that overflow the library's own."""
+    import regex
+
+    ids: list[int] = []
+    for m in regex.finditer(enc._pat_str, text):
+        ids += enc._encode_single_piece(m.group())
+    return np.asarray(ids, "<u4")
+
+
 def encode(enc, text: str | None) -> np.ndarray:
-    """Ids of a whole text as uint32; null and empty texts have none."""
+    """Ids of a whole text as uint32; null and empty texts have none.
+
+    Parts of a long text that hold a run of SPACES or more white-space characters are encoded match by match.
+    """
     if not text:
         return np.empty(0, "<u4")
     if len(text) <= LONG:
         return np.asarray(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), "<u4") for p in safe_parts(text)])
+    return np.concatenate([by_match(enc, p) if len(p) > LONG and _RUN.search(p) else np.asarray(enc.encode_ordinary(p), "<u4") for p in safe_parts(text)])
 
 
 def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +91,8 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
 
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """The bytes of each list of ids as ``id, bytes``: raw bytes, whether or not they are whole characters. Null lists decode to nothing."""
+    """The bytes of each list of ids as ``id, bytes``: raw bytes, whether or not they are whole characters. Null and
+    empty lists decode to nothing; ids and lists may repeat and be of any length. Other columns are not read."""
     from pyspark.sql import types as T
 
     def run(batches):
