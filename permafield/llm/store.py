@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from permafield.llm.wordbpe import encoder
 
 #: Ids in the rolling window, chunk sizes in ids (least, mean beyond it, most): fixed values of the format.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
+#: Ids whose documents' roots are digested together.
+RANGE = 10_000_000
 #: Chunk digests that one task remembers so as not to send a chunk's bytes twice.
 REMEMBERED = 500_000
 
@@ -119,20 +122,27 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
         sink, at, last = None, 0, None
         try:
             for b in batches:
-                cols = b.to_pydict()
-                kept = []
-                for key, n, width, data, doc, digests in zip(*cols.values()):
-                    if data is None:
-                        kept.append((key, n, width, None, None, doc, digests))
-                    elif key != last:
+                names, offsets, first = [], [], []
+                with_bytes = b.column(3).is_valid()
+                own = b.filter(with_bytes)
+                for key, data in zip(own.column(0).to_pylist(), own.column(3).to_pylist()):
+                    if new := key != last:
                         last = key
                         if sink is None:
                             fs.create_dir(f"{root}/packs", recursive=True)
                             sink = fs.open_output_stream(f"{root}/{name}")
                         sink.write(data)
-                        kept.append((key, n, width, name, at, None, None))
+                        names.append(name)
+                        offsets.append(at)
                         at += len(data)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), out_schema)] if kept else [pa.array([], f.type) for f in out_schema], schema=out_schema)
+                    first.append(new)
+                if first:
+                    own = own.filter(pa.array(first, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(names, pa.string()), pa.array(offsets, pa.int64()), own.column(4), own.column(5)], schema=out_schema)
+                rest = b.filter(pc.invert(with_bytes))
+                if rest.num_rows:
+                    none = [pa.nulls(rest.num_rows, out_schema.field(k).type) for k in (3, 4)]
+                    yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), rest.column(2), *none, rest.column(4), rest.column(5)], schema=out_schema)
         finally:
             if sink is not None:
                 sink.close()
@@ -165,7 +175,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     offsets = spark.createDataFrame(starts, "part int, first long")
     final = ordered.join(F.broadcast(offsets), "part").select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "digests", "root", "part")
     final.write.partitionBy("part").parquet(f"{path}/recipes") if parts else final.write.parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.format_string("%020d", "start"), F.hex("root"))))), 256).alias("root")).orderBy("part").collect()
+    # A digest of each run of ids that start in one RANGE, then of a part's runs: no list grows with the input.
+    listed = lambda at, of: F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.format_string("%020d", at), of)))), 256).alias("root")
+    runs = spark.read.parquet(f"{path}/recipes").groupBy("part", F.floor(F.col("start") / RANGE).alias("run")).agg(listed("start", F.hex("root")))
+    roots = runs.groupBy("part").agg(listed("run", F.col("root"))).orderBy("part").collect()
     manifest = {"version": 1, "end_id": end_id, "documents": sum(p["docs"] for p in parts), "ids": at, "parts": {str(r["part"]): r["root"] for r in roots}, "root": merkle([bytes.fromhex(r["root"]) for r in roots]).hex()}
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(f"{root}/packs", recursive=True)
@@ -179,6 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Rebuild every document from the store's files: ``doc_id, start, n_tokens, ids_crc32`` and, if asked, ``ids array<int>``.
 
+    One row for each document written, in no order; null and repeated ids are what was written, an empty store gives no rows.
     Every chunk's digest, every document's Merkle root and length are verified; a difference raises ``ValueError``.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
@@ -198,30 +212,38 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(path)
         files: dict = {}
         for b in batches:
-            docs = b.to_pylist()
-            want = sorted({(c["file"] or "", c["offset"] or 0, (c["n"] or 0) * (c["width"] or 0)) for d in docs for c in d["chunks"]})
+            if not b.num_rows:
+                continue
+            lists = b.column(4)
+            ends = lists.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+            chunk = lists.flatten()
+            file, offset, sizes, width, digest = (chunk.field(k).to_pylist() for k in ("file", "offset", "n", "width", "digest"))
+            if None in file:
+                raise ValueError("a chunk is missing from the index")
             data: dict = {}
-            for name, offset, size in want:  # in file order
-                if not name:
-                    raise ValueError("a chunk is missing from the index")
+            for name, at, size in sorted({(f, o, n * w) for f, o, n, w in zip(file, offset, sizes, width)}):  # in file order
                 if name not in files:
                     if len(files) >= 64:
                         files.pop(next(iter(files))).close()
                     files[name] = fs.open_input_file(f"{root}/{name}")
-                data[name, offset] = files[name].read_at(size, offset)
-            cols: list[list] = [[] for _ in schema]
-            for d in docs:
+                data[name, at] = files[name].read_at(size, at)
+            counts, sums, streams, last = [], [], [], 0
+            for start, n_tokens, whole, end in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), ends):
                 parts = []
-                for c in d["chunks"]:
-                    got = data[c["file"], c["offset"]]
-                    if digest_of(got, c["width"]) != c["digest"]:
-                        raise ValueError(f"chunk {c['digest'].hex()} differs from its digest")
-                    parts.append(np.frombuffer(got, "<u2" if c["width"] == 2 else "<u4").astype("<u4"))
+                for k in range(last, end):
+                    got = data[file[k], offset[k]]
+                    if digest_of(got, width[k]) != digest[k]:
+                        raise ValueError(f"chunk {digest[k].hex()} differs from its digest")
+                    parts.append(np.frombuffer(got, "<u2" if width[k] == 2 else "<u4").astype("<u4"))
                 ids = np.concatenate(parts)
-                if len(ids) != d["n_tokens"] or merkle([c["digest"] for c in d["chunks"]]) != d["root"]:
-                    raise ValueError(f"document at {d['start']} differs from its recipe")
-                for c, v in zip(cols, (d["doc_id"], d["start"], len(ids), zlib.crc32(ids.tobytes()), *([ids.astype("<i4")] if with_ids else []))):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                if len(ids) != n_tokens or merkle(digest[last:end]) != whole:
+                    raise ValueError(f"document at {start} differs from its recipe")
+                counts.append(len(ids))
+                sums.append(zlib.crc32(ids.tobytes()))
+                if with_ids:
+                    streams.append(ids.astype("<i4"))
+                last = end
+            more = [pa.array(streams, schema.field(4).type)] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), *more], schema=schema)
 
     return found.select("doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(rebuilt, out)
