@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permafield.llm.common import drop_written, materialise
+from permafield.llm.common import drop_written, free_name, materialise
 from permafield.llm.neardup import near_duplicates
 
 #: Characters that count as symbols, and the words of a repeated window: fixed values.
@@ -153,9 +153,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_do
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
-    """The documents that :func:`judge` keeps, with all their columns."""
-    bad = materialise(judge(docs, id_col, text_col, host_col, **limits).where("not kept").select(F.col("key").alias("_rejected")).distinct(), "rejected")
-    return docs.join(bad, content_key(host_col, text_col) == F.col("_rejected"), "left_anti")
+    """The documents that :func:`judge` keeps, with all their columns, whose texts stay whole; see there for nulls, repeats and ties.
+
+    Extra columns may have any names.
+    """
+    name = free_name("_rejected", docs.columns)
+    bad = materialise(judge(docs, id_col, text_col, host_col, **limits).where("not kept").select(F.col("key").alias(name)).distinct(), "rejected")
+    return docs.join(bad, content_key(host_col, text_col) == F.col(name), "left_anti")
 
 
 def cut_lines(
@@ -163,7 +167,8 @@ def cut_lines(
 ) -> DataFrame:
     """The documents that :func:`judge` keeps, without their removed lines, all columns kept; ``length_col`` is counted anew.
 
-    A removed line goes from every place where its document holds it; lines without a word stay.
+    A removed line goes from every place where its document holds it; lines without a word stay. Null and empty texts fail the
+    base rules and go. Repeated rows are judged alike. No rows: none. Extra columns may have any names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -172,9 +177,12 @@ def cut_lines(
     bad = _verdict(*judged, **limits).where("not kept").select("key").distinct()
     gone = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.collect_set("line").alias("_gone"))
     # One table and one join: what is rejected, and the lines to cut from the others.
-    changed = bad.withColumn("_rejected", F.lit(True)).join(gone, "key", "full").select(F.col("key").alias("_changed"), F.coalesce("_rejected", F.lit(False)).alias("_rejected"), "_gone")
+    key, lost, out = (free_name(n, docs.columns) for n in ("_changed", "_gone", "_rejected"))
+    changed = bad.withColumn(out, F.lit(True)).join(gone, "key", "full").select(F.col("key").alias(key), F.coalesce(out, F.lit(False)).alias(out), F.col("_gone").alias(lost))
     changed = materialise(changed, "changed")
-    left = docs.join(changed, content_key(host_col, text_col) == F.col("_changed"), "left").where("_rejected is null or not _rejected").select(*docs.columns, "_gone")
+    for written in judged:
+        drop_written(written)
+    left = docs.join(changed, content_key(host_col, text_col) == F.col(key), "left").where(F.col(out).isNull() | ~F.col(out)).select(*[f"`{n}`" for n in docs.columns], lost)
     schema = docs.schema
     at = schema.names.index(text_col)
     count_at = schema.names.index(length_col) if length_col in schema.names else None

@@ -390,7 +390,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequen
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", sequences: int = 500) -> DataFrame:
-    """The same rows and columns with every span of every text replaced by ``mark`` (overlapping spans by one mark)."""
+    """The same rows and columns with every span of every text replaced by ``mark`` (overlapping spans by one mark).
+
+    Null and empty texts stay as they are; texts of any length are scanned whole; repeated rows are redacted alike; no rows: none.
+    Extra columns may have any names.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     weights, trans = train(sequences)

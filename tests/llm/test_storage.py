@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -59,7 +59,9 @@ def test_best_fit_takes_the_tightest_window():
     rng = random.Random(4)
     for _ in range(200):
         lengths = [rng.randint(0, 40) for _ in range(rng.randint(0, 30))]
-        found = packing.best_fit(lengths, 16)
+        whole = packing.best_fit(lengths, 16)  # only what is longer than a window is cut, and then into full ones
+        assert Counter(n for w in whole for _, _, n in w) == Counter(k for n in lengths for k in [16] * (n // 16) + [n % 16] * (n % 16 > 0))
+        found = packing.best_fit(lengths, 16, fill_gaps=True)
         assert sorted((i, s + k) for w in found for i, s, n in w for k in range(n)) == [(i, k) for i, n in enumerate(lengths) for k in range(n)]
         assert sum(sum(n for _, _, n in w) < 16 for w in found) <= 1
 
@@ -160,6 +162,18 @@ def test_bpe_equals_whole_texts(docs, empty):
     assert bpe.round_trip_digests(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_runs_of_white_space():
+    import public_tokenizers
+
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    for _ in range(500):
+        t = "".join(rng.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0abcXY1's.é你😀") for _ in range(rng.randint(1, 40)))
+        assert enc.encode_ordinary(t) == bpe.by_match(enc, t).tolist()
+    for t in (" " * 1_200_000, "a" + " " * 400_000 + "b", "x.\n" + "\n \t" * 100_000 + "y"):
+        assert enc.decode_bytes(bpe.encode(enc, t).tolist()).decode() == t
+
+
 def test_safe_cuts():
     enc, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(6)
     for _ in range(3000):
