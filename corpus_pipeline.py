@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line de-duplication, near-duplicate removal, secret redaction, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the last return the columns
-of documents.
+of documents. Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns are taken as the operators that
+the stages call say.
 """
 
 from __future__ import annotations
@@ -52,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
