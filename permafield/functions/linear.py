@@ -37,7 +37,7 @@ class PermutedGLM:
     sign flip multiplies them; residual sums come from the norms, so no permuted data and no residuals are made.
     """
 
-    def __init__(self, y, x, c, shrink: float = 0.0, eps_inside: bool = True):
+    def __init__(self, y, x, c, shrink: float = 0.0, eps_inside: bool = True, norms: np.ndarray | None = None):
         self.y, self.x = np.atleast_2d(np.asarray(y, float)), np.asarray(x, float)
         if self.x.ndim != 2 or self.y.shape[1] != self.x.shape[0]:
             raise ValueError("the data need a column for each row of the design")
@@ -50,7 +50,7 @@ class PermutedGLM:
         self.df = self.x.shape[0] - self.rank
         if self.df <= 0:
             raise ValueError("the design leaves no degrees of freedom")
-        self.norms = (self.y * self.y).sum(1)
+        self.norms = (self.y * self.y).sum(1) if norms is None else norms
         cov = self.inverse @ self.inverse.T
         if self.is_t:
             self.variance = float(self.c[:, 0] @ cov @ self.c[:, 0])

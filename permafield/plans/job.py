@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permafield.functions import design, linear, tree
+from permafield.functions import design, tree
 from permafield.operators import results
 from permafield.plans.permutation import Outcome, permutation_test
 from permafield.sources import files
@@ -40,8 +40,8 @@ class Job:
 def estimate(rows: DataFrame, job: Job, space: tree.Grid | tree.Mesh | None, path: str | None = None) -> dict[str, Outcome]:
     """Recognise, draw, verify and test each contrast of ``rows(element_id, y)``; results go below ``path``, a folder each.
 
-    Nuisance columns: Freedman-Lane exchanges the data; for Smith the tested columns are first replaced by the part that the
-    others do not explain, so that exchanging the data or those columns is the same test of the same space.
+    Nuisance columns: Freedman-Lane exchanges the data; Draper-Stoneman exchanges the tested columns, Smith their part that the
+    others do not explain, and both leave the others where they are.
     """
     if job.whitening is not None:
         from permafield.operators.models import whiten
@@ -55,15 +55,11 @@ def estimate(rows: DataFrame, job: Job, space: tree.Grid | tree.Mesh | None, pat
         used = scheme.used
         x = job.design.x if job.whitening is None else job.whitening @ job.design.x
         x = x[used]
-        if scheme.method == "smith":
-            tested, rest = linear.partition(x, c)
-            x = x.copy()
-            x[:, tested] = linear.residual_maker(x[:, rest]) @ x[:, tested]
         exchanges = design.draw(scheme, job.n_perm, job.seed, half=scheme.half and job.options.get("half", False))
         design.verify(exchanges, scheme.blocks, scheme.kind == "sign_flip")
         own = rows if len(used) == len(job.design.x) else rows.select("element_id", F.transform(F.array(*[F.lit(int(i)) for i in used]), lambda i: F.get("y", i)).alias("y"))
         wave = max(100, len(exchanges) // 10) if job.sequential or job.n_perm_break else None
-        options = {"alpha": 0.05, **job.options}
+        options = {"alpha": 0.05, "method": scheme.method if scheme.kind != "sign_flip" else "raw", "interaction": scheme.interaction, **job.options}
         if job.n_perm_break and len(exchanges) > job.n_perm_break:
             first = permutation_test(own, x, c, exchanges[: job.n_perm_break], space, e, h, scheme.kind == "sign_flip", contrast_id=k, **options)
             if first.result.where("p_fwe < 0.05").isEmpty():
@@ -71,7 +67,7 @@ def estimate(rows: DataFrame, job: Job, space: tree.Grid | tree.Mesh | None, pat
                 first.info["stopped"] = True
                 continue
         out[name] = permutation_test(own, x, c, exchanges, space, e, h, scheme.kind == "sign_flip", wave=wave if job.sequential else None, contrast_id=k, **options)
-        out[name].info |= {"contrast": name, "scheme": scheme.kind, "possible": str(design.possible(scheme)), "method": scheme.method}
+        out[name].info |= {"contrast": name, "scheme": scheme.kind, "possible": str(design.possible(scheme)), "method": options["method"]}
     if path:
         for name, o in out.items():
             files.write_result(o.result, f"{path}/{name}/result")

@@ -27,29 +27,51 @@ class Outcome:
     info: dict
 
 
-def _partials(rows: np.ndarray, ids: list[int], y, x, c, signs: bool, t0, e0, space, E, H, k, options):
-    """Maxima of each permutation, and counts, largest draws and sums of each element, over a task's permutations."""
+def statistics(y, x, c, signs: bool = False, method: str = "raw", interaction: bool = False, **options):
+    """A function from one exchange (a row of ids, or of signs) to the statistic of every element.
+
+    ``raw`` and ``freedman_lane`` exchange the data under the full design, whose pseudo-inverse is factorised once. ``ds`` and ``smith``
+    leave the data and the nuisance columns where they are and exchange the tested columns, so each exchange has a design of its
+    own; only the norms of the data are shared.
+    """
     glm = linear.PermutedGLM(y, x, c, **options)
+    if signs:
+        return glm.fit_signs, glm.is_t
+    if method in ("raw", "freedman_lane"):
+        return glm.fit, glm.is_t
+    if method not in ("ds", "smith"):
+        raise ValueError(f"unknown nuisance method {method!r}")
+    return lambda perm: linear.PermutedGLM(y, linear.permuted_design(x, c, perm, method, interaction), c, norms=glm.norms, **options).fit(), glm.is_t
+
+
+def _partials(rows: np.ndarray, ids: list[int], y, x, c, signs: bool, t0, e0, space, E, H, k, method, options):
+    """Maxima of each permutation, and counts, largest draws and sums of each element, over a task's permutations."""
+    fit, is_t = statistics(y, x, c, signs, **method, **options)
     n = len(t0)
     s = np.sign(t0)
     on = s != 0
-    maxima, tops = [], {"stat": np.full((n, 0), 0.0), "enh": np.full((n, 0), 0.0)}
+    # Two measures of 2k columns, filled one by one and halved when full.
+    maxima, tops, filled = [], {name: np.empty((n, 2 * k)) for name in ("stat", "enh")}, 0
     cnt = {"stat": np.zeros(n, np.int64), "enh": np.zeros(n, np.int64)}
     total = {"stat": np.zeros(n), "enh": np.zeros(n)}
     for row, perm_id in zip(rows, ids):
-        t = glm.fit_signs(row) if signs else glm.fit(row)
+        t = fit(row)
         t = np.where(np.isfinite(t), t, 0.0)
-        if not glm.is_t:
+        if not is_t:
             t = np.maximum(t, 0)
         e = tree.tfce(t, space, E, H).astype(float) if space is not None else t
         maxima.append((perm_id, t[on].max(initial=-np.inf), t[on].min(initial=np.inf), e[on].max(initial=-np.inf), e[on].min(initial=np.inf)))
         for name, v, v0 in (("stat", t, t0), ("enh", e, e0)):
             cnt[name] += s * v >= s * v0
             total[name] += v
-            tops[name] = np.concatenate([tops[name], (s * v)[:, None]], 1)
-            if tops[name].shape[1] > 2 * k:
-                tops[name] = np.partition(tops[name], tops[name].shape[1] - k, 1)[:, -k:]
-    return maxima, cnt, tops, total
+            tops[name][:, filled] = s * v
+        filled += 1
+        if filled == 2 * k:
+            filled = k
+            for held in tops.values():
+                held.partition(k, 1)
+                held[:, :k] = held[:, k:]
+    return maxima, cnt, {name: held[:, :filled] for name, held in tops.items()}, total
 
 
 def permutation_test(
@@ -69,13 +91,16 @@ def permutation_test(
     alpha: float = 0.05,
     contrast_id: int = 1,
     half: bool = False,
-    ids: list[int] | None = None,
+    method: str = "raw",
+    interaction: bool = False,
+    tail_bytes: int = TAIL_BYTES,
 ) -> Outcome:
     """Test every element of ``rows(element_id, y)``, numbered from 0 without gaps, under ``exchanges`` (a row each, the identity first).
 
     ``wave``: permutations in a wave; after each the sequential rule is applied to the ordered maxima, and if it stops the test
     is reduced to the permutations up to the stop, as if they had been run one by one. ``half``: each exchange stands for its
-    mirror image too.
+    mirror image too. ``method``: what the exchanges move, see :func:`statistics`. ``tail_bytes``: what a task may hold of the largest
+    draws; where ``n_tail`` of every element need more, one is stored, uncorrected p are counted, and ``info["tail"]`` is 1.
     """
     spark: SparkSession = rows.sparkSession
     x = np.asarray(x, float)
@@ -87,12 +112,12 @@ def permutation_test(
     if not (local["element_id"].to_numpy() == np.arange(n)).all():
         raise ValueError("elements must be numbered from 0 without gaps")
     y = np.stack(local["y"].to_numpy()) if n else np.zeros((0, len(x)))
-    glm = linear.PermutedGLM(y, x, c, **options)
-    t0 = glm.fit_signs(exchanges[0]) if signs else glm.fit()
+    moved = {"method": method, "interaction": interaction}
+    t0 = statistics(y, x, c, signs, **moved, **options)[0](exchanges[0])
     t0 = np.where(np.isfinite(t0), t0, 0.0)
     e0 = tree.tfce(t0, space, E, H).astype(float) if space is not None else t0
     k = min(n_tail, len(exchanges) - 1) if len(exchanges) > 1 else 1
-    if n * k * 4 * 2 > TAIL_BYTES:
+    if n * 2 * k * 8 * 2 > tail_bytes:
         k = 1
     sent = spark.sparkContext.broadcast((y, x, np.asarray(c, float), np.asarray(exchanges), t0, e0))
 
@@ -101,7 +126,7 @@ def permutation_test(
         ids = [int(i) for pdf in batches for i in pdf["id"]]
         if not ids:
             return
-        maxima, cnt, tops, total = _partials(exchanges[ids], ids, y, x, c, signs, t0, e0, space, E, H, k, options)
+        maxima, cnt, tops, total = _partials(exchanges[ids], ids, y, x, c, signs, t0, e0, space, E, H, k, moved, options)
         yield pd.DataFrame([(0, "null", i, *m, 0, None, 0.0) for i, *m in maxima], columns=cols)
         for name in ("stat", "enh"):
             own = tops[name][:, -k:] if tops[name].shape[1] <= k else np.partition(tops[name], tops[name].shape[1] - k, 1)[:, -k:]
