@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -83,6 +84,12 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(wanted: str, *taken: list[str]) -> str:
     """``wanted``, or it with underscores before it, that none of the lists of names holds in any case."""
     used = {n.lower() for names in taken for n in names}
@@ -157,16 +164,19 @@ def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
     into parts, and each two parts are a group of their own, so that no task holds more, whatever a bucket's size.
     """
     members = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
     top = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
     parts = F.ceil(F.sqrt((F.col("all") - F.col("most")) * F.col("all") / WORK)).cast("int")
-    placed = rest.join(printed, "node").join(top.select("key", "top", F.greatest(F.lit(1), parts).alias("parts")), "key")
+    placed = rest.join(printed, "node").join(keys, "node").join(top.select("key", "top", F.greatest(F.lit(1), parts).alias("parts")), "key")
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = placed.where("component <> top").select("key", part.alias("i"), all_parts.alias("j"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"))
-    y = placed.select(F.col("key").alias("ykey"), all_parts.alias("yi"), part.alias("yj"), F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("map").alias("ymap"))
+    x = placed.where("component <> top").select("key", part.alias("i"), all_parts.alias("j"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"), F.col("keys").alias("xkeys"))
+    y = placed.select(F.col("key").alias("ykey"), all_parts.alias("yi"), part.alias("yj"), F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("map").alias("ymap"), F.col("keys").alias("ykeys"))
     same = (F.col("key") == F.col("ykey")) & (F.col("i") == F.col("yi")) & (F.col("j") == F.col("yj"))
     apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("xc") < F.col("yc")))
-    both = x.join(y, same & apart & may_link("x", "y", percent))
+    # Of the buckets that two members share, the one of the least key gives the pair.
+    once = F.col("key") == F.array_min(F.array_intersect("xkeys", "ykeys"))
+    both = x.join(y, same & apart & may_link("x", "y", percent) & once)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -195,6 +205,7 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
         new = connected_components(edges)
         for x in (links, found):
             drop_written(x)
+        release(printed.sparkSession)
         return new, many
 
     found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), None)

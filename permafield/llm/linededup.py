@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise
+from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise, release
 
 #: Characters in a shingle; sub-keys of a line and minima in each. Every two sub-keys key a table, so 12 minima give 15 tables of four.
 #: Two lines with a similarity of 0.8 share a table with a probability of 0.975, of 0.9 with 0.999; unlike lines of one language
@@ -95,6 +95,7 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     keyed = mins.select(F.col("line").alias("node"), F.explode(keys).alias("key")).repartition("key")
     several = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far").select("key", "pivot")
     shared = materialise(keyed.join(several.hint("shuffle_hash"), "key"), "shared")
+    release(lines.sparkSession)
     need = materialise(shared.select(F.col("node").alias("line")).distinct(), "need")
     if need.count() <= SENT:
         need = F.broadcast(need)
@@ -154,6 +155,7 @@ def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     labelled, first = _judged(own, percent, id_col, text_col, F.col(row))
     lost = labelled.join(first, ["row", "line_no"], "left_anti").groupBy("row").agg(F.collect_set("line_no").alias(gone_name)).withColumnRenamed("row", key)
     gone = materialise(lost, "gone")
+    release(docs.sparkSession)
     joined = own.join(gone.hint("shuffle_hash"), own[row] == gone[key], "left")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone_name, i)), "\n")
     text = F.when(F.col(gone_name).isNull(), F.col(text_col)).otherwise(rest)

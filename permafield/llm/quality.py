@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permafield.llm.common import drop_written, free_name, materialise
+from permafield.llm.common import drop_written, free_name, materialise, release
 from permafield.llm.neardup import near_duplicates
 
 #: Characters that count as symbols, and the words of a repeated window: fixed values.
@@ -149,6 +149,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_do
     removed = materialise(of_copy.groupBy("host", "line").agg(F.count("*").alias("n"), F.first("limit").alias("limit")).where(F.col("n") > F.col("limit")).select("host", "line"), "removed")
     for written in (held, texts):
         drop_written(written)
+    release(docs.sparkSession)
     return measured, lines, removed
 
 
