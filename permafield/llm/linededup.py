@@ -40,11 +40,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFr
     return lines.select("doc_id", "row", "line_no", norm.alias("norm")).where("norm <> ''").withColumn("line", F.xxhash64("norm"))
 
 
-def _last(units: str) -> Column:
-    """The byte at which the last shingle of an encoded line begins; 1 for a line of one or less."""
-    return F.greatest(F.lit(1), F.length(units) - (WIDE * SHINGLE - 1))
-
-
 def _units(lines: DataFrame, keys: list[str], step: int) -> DataFrame:
     """``keys``, the line's UTF-16 ``units``, the byte ``last`` where its last shingle begins, and ``at``, every ``step`` shingles."""
     unit = lines.select(*keys, F.encode("norm", "UTF-16BE").alias("units")).select(*keys, "units", F.greatest(F.lit(1), F.length("units") - (2 * SHINGLE - 1)).alias("last"))
