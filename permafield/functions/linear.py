@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Machine constant in the standard error, and the share of the largest residual variance added for shrinkage.
@@ -197,18 +199,52 @@ def voxel_covariate_glm(y, cov, x, columns, c, perm=None, shrink: float = 0.0) -
     return np.where(np.isfinite(out), out, 0.0)
 
 
+def slot_patterns(slots: int) -> list[tuple[int, ...]]:
+    """All partitions of ``slots`` places: the block of each place, blocks numbered as they first appear."""
+    out: list[tuple[int, ...]] = [()]
+    for _ in range(slots):
+        out = [s + (b,) for s in out for b in range(max(s, default=-1) + 2)]
+    return out
+
+
+def _without_means(m: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Means of the diagonal and of the rest, and the matrix without them."""
+    n = len(m)
+    diagonal = float(np.trace(m)) / n
+    rest = (float(m.sum()) - n * diagonal) / (n * (n - 1)) if n > 1 else 0.0
+    return diagonal, rest, m - rest - np.eye(n) * (diagonal - rest)
+
+
 def trace_moments(a, w) -> tuple[float, float, float]:
-    """Mean, variance and third central moment of trace(A W_P) over all simultaneous permutations of rows and columns of W, for
-    small n by the average over all of them, else by sampling 20,000 with a fixed seed."""
-    import itertools
-    import math
+    """Mean, variance and third central moment of trace(A W_P) over all simultaneous permutations of rows and columns of W, exactly.
 
+    Diagonals are permuted among themselves, so taking the means of the diagonal and of the rest out of both matrices moves the trace by its
+    mean and leaves central moments. A product of entries is then known by which of its indices are equal: a permutation maps
+    distinct indices evenly to distinct ones, so a moment is a sum over those patterns, and sums over distinct indices are free sums with
+    inclusion and exclusion of coarser patterns.
+    """
     a, w = np.asarray(a, float), np.asarray(w, float)
     n = len(a)
-    if math.factorial(n) <= 5040:
-        perms = map(list, itertools.permutations(range(n)))
-    else:
-        rng = np.random.Generator(np.random.Philox(1))
-        perms = (rng.permutation(n) for _ in range(20_000))
-    t = np.array([(a * w[np.ix_(p, p)].T).sum() for p in perms])
-    return float(t.mean()), float(t.var()), float(((t - t.mean()) ** 3).mean())
+    da, ra, a = _without_means(a)
+    dw, rw, w = _without_means(w)
+
+    def central(order: int) -> float:
+        patterns = slot_patterns(2 * order)
+        free = {}
+        for s in patterns:
+            letters = "".join(chr(97 + b) for b in s)
+            spec = ",".join(letters[k : k + 2] for k in range(0, len(s), 2)) + "->"
+            free[s] = np.array([np.einsum(spec, *[m] * order, optimize=order > 2) for m in (a, w.T)])
+        total = 0.0
+        for s in patterns:
+            blocks = max(s) + 1
+            if blocks > n:
+                continue
+            distinct = np.zeros(2)
+            for merged in slot_patterns(blocks):
+                sign = math.prod((-1) ** (merged.count(b) - 1) * math.factorial(merged.count(b) - 1) for b in set(merged))
+                distinct += sign * free[tuple(merged[b] for b in s)]
+            total += distinct.prod() / math.perm(n, blocks)
+        return float(total)
+
+    return n * da * dw + n * (n - 1) * ra * rw, central(2), central(3)

@@ -200,37 +200,51 @@ def pareto_unc(obs: DataFrame, tail: DataFrame, cnt: DataFrame, n_perm: int, lea
 def fdr(p: DataFrame, by: list[str] | None = None, col: str = "p") -> DataFrame:
     """``q``: Benjamini-Hochberg values, in each group of ``by``. NaN and null p do not count.
 
-    Ranks are taken over ranges: positions from the sizes of the ranges before, and minima carried back over those after, so no
-    window holds all rows. Groups of small data are windows of their own; a few groups of large data are done one by one.
+    Equal p have equal q, so the steps are taken over distinct p with their numbers of rows: counted p that most rows share are
+    one row. Groups of few distinct p are windows of their own; a few groups of many are done one by one, by ranges.
+    """
+    ok = p.where(F.col(col).isNotNull() & ~F.isnan(col)).drop("q")
+    keys = [*(by or []), col]
+    levels = ok.groupBy(*keys).agg(F.count("*").alias("_m"))
+    found = _steps(levels, by, col).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "q")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ok.join(found, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _steps(levels: DataFrame, by: list[str] | None, col: str) -> DataFrame:
+    """``q`` of distinct p with their numbers of rows ``_m``, in each group of ``by``.
+
+    Without groups, ranks are taken over ranges: positions from the sizes of the ranges before, and minima carried back over those
+    after, so no window holds all rows.
     """
-    ok = p.where(F.col(col).isNotNull() & ~F.isnan(col))
     if by:
-        groups = ok.select(*by).distinct().limit(FEW_GROUPS + 1).collect() if ok.count() > WINDOW_ROWS else []
+        groups = levels.select(*by).distinct().limit(FEW_GROUPS + 1).collect() if levels.count() > WINDOW_ROWS else []
         if 0 < len(groups) <= FEW_GROUPS:
             out = None
             for g in groups:
-                own = ok
+                own = levels
                 for b in by:
                     own = own.where(F.col(b).eqNullSafe(F.lit(g[b])))
-                own = fdr(own, None, col)
+                own = _steps(own, None, col)
                 out = own if out is None else out.unionByName(own)
             return out
         w = Window.partitionBy(*by)
-        ranked = ok.withColumn("_v", F.col(col) * F.count("*").over(w) / F.row_number().over(w.orderBy(col)))
+        ranked = levels.withColumn("_v", F.col(col) * F.sum("_m").over(w) / F.sum("_m").over(w.orderBy(col)))
         return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(w.orderBy(col).rowsBetween(0, Window.unboundedFollowing)))).drop("_v")
-    total = ok.count()
-    parts = max(1, min(1000, total // (WINDOW_ROWS // 2) + 1))
-    split = ok.stat.approxQuantile(col, [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
-    part = sum([F.when(F.col(col) > v, 1).otherwise(0) for v in split], F.lit(0))
-    own = ok.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in own.groupBy("_part").count().collect()}
+    many, total = levels.agg(F.count("*"), F.coalesce(F.sum("_m"), F.lit(0))).first()
+    parts = max(1, min(1000, many // (WINDOW_ROWS // 2) + 1))
+    split = levels.stat.approxQuantile(col, [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
+    own = levels.withColumn("_part", sum([F.when(F.col(col) > v, 1).otherwise(0) for v in split], F.lit(0)))
+    sizes = {r["_part"]: r["m"] for r in own.groupBy("_part").agg(F.sum("_m").alias("m")).collect()}
     before, at = {}, 0
     for k in range(parts):
         before[k] = at
         at += sizes.get(k, 0)
     first = F.create_map(*[F.lit(v) for k in before for v in (k, before[k])])
     w = Window.partitionBy("_part").orderBy(col)
-    ranked = own.withColumn("_v", F.col(col) * total / (F.row_number().over(w) + F.element_at(first, F.col("_part"))))
+    ranked = own.withColumn("_v", F.col(col) * total / (F.sum("_m").over(w) + F.element_at(first, F.col("_part"))))
     least = {r["_part"]: r["m"] for r in ranked.groupBy("_part").agg(F.min("_v").alias("m")).collect()} if parts > 1 else {}
     after, m = {}, float("inf")
     for k in range(parts - 1, -1, -1):

@@ -236,3 +236,20 @@ def test_stream_stops_like_the_batch(spark, tmp_path):
     got = stream_maxima(spark, f"{tmp_path}/ids", maxima, f"{tmp_path}/out", f"{tmp_path}/ck", 0.5)
     want = inference.sequential_stop(maxima(spark.range(900).withColumnRenamed("id", "perm_id")), 0.5).where("stop").agg(F.min("perm_id")).first()[0]
     assert want is not None and got is not None and got >= want - 150
+
+
+def test_step_up_over_ties_groups_and_ranges(spark, monkeypatch):
+    """Counted p that most rows share, null groups, and ranges of few rows: as the array form, row by row."""
+    rng = np.random.default_rng(4)
+    p = np.where(rng.random(300) < 0.5, 0.01, np.ceil(rng.random(300) * 100) / 100)
+    group = [None if k % 3 == 0 else k % 3 for k in range(300)]
+    df = spark.createDataFrame([(k, group[k], float(v), 7.0) for k, v in enumerate(p)] + [(300, 1, None, 7.0), (301, 1, float("nan"), 7.0)], "element_id long, sign int, p double, q double")
+    for rows in (inference.WINDOW_ROWS, 20):
+        monkeypatch.setattr(inference, "WINDOW_ROWS", rows)
+        got = {r["element_id"]: r["q"] for r in inference.fdr(df).collect()}
+        assert len(got) == 300 and np.allclose([got[k] for k in range(300)], tails.bh_adjust(p))
+        got = {r["element_id"]: r["q"] for r in inference.fdr(df, ["sign"]).collect()}
+        for g in (None, 1, 2):
+            own = [k for k in range(300) if group[k] == g]
+            assert np.allclose([got[k] for k in own], tails.bh_adjust(p[own]))
+    assert inference.fdr(df.limit(0)).count() == 0

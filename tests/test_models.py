@@ -187,3 +187,17 @@ def test_mirror_negates():
     glm = linear.PermutedGLM(y, x[:, :2], c[:2])
     p = np.random.default_rng(6).permutation(30)
     assert np.allclose(glm.fit(p[swap]), -glm.fit(p), atol=1e-10)
+
+
+def test_trace_moments_equal_those_of_all_permutations():
+    import itertools
+
+    for n, seed in ((2, 1), (4, 2), (6, 3)):
+        rng = np.random.default_rng(seed)
+        a, w = rng.normal(size=(n, n)) + 1, rng.normal(size=(n, n)) + np.diag(rng.normal(size=n))
+        t = np.array([np.trace(a @ w[np.ix_(p, p)]) for p in map(list, itertools.permutations(range(n)))])
+        want = t.mean(), t.var(), ((t - t.mean()) ** 3).mean()
+        assert np.allclose(linear.trace_moments(a, w), want, rtol=1e-8, atol=1e-9)
+    x = rng.normal(size=(40, 2))
+    mean, var, _ = linear.trace_moments(x @ x.T, np.ones((40, 40)))
+    assert np.isclose(mean, (x @ x.T).sum()) and abs(var) < 1e-6
