@@ -60,14 +60,15 @@ def estimate(rows: DataFrame, job: Job, space: tree.Grid | tree.Mesh | None, pat
         own = rows if len(used) == len(job.design.x) else rows.select("element_id", F.transform(F.array(*[F.lit(int(i)) for i in used]), lambda i: F.get("y", i)).alias("y"))
         wave = max(100, len(exchanges) // 10) if job.sequential or job.n_perm_break else None
         options = {"alpha": 0.05, "method": scheme.method if scheme.kind != "sign_flip" else "raw", "interaction": scheme.interaction, **job.options}
+        about = {"contrast": name, "scheme": scheme.kind, "possible": str(design.possible(scheme)), "method": options["method"]}
         if job.n_perm_break and len(exchanges) > job.n_perm_break:
             first = permutation_test(own, x, c, exchanges[: job.n_perm_break], space, e, h, scheme.kind == "sign_flip", contrast_id=k, **options)
             if first.result.where("p_fwe < 0.05").isEmpty():
                 out[name] = first
-                first.info["stopped"] = True
+                first.info |= about | {"stopped": True}
                 continue
         out[name] = permutation_test(own, x, c, exchanges, space, e, h, scheme.kind == "sign_flip", wave=wave if job.sequential else None, contrast_id=k, **options)
-        out[name].info |= {"contrast": name, "scheme": scheme.kind, "possible": str(design.possible(scheme)), "method": options["method"]}
+        out[name].info |= about
     if path:
         for name, o in out.items():
             files.write_result(o.result, f"{path}/{name}/result")
