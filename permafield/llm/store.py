@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from permafield.llm.common import drop_written, materialise
 from permafield.llm.wordbpe import encoder
 
-#: Ids in the rolling window, chunk sizes in ids (least, mean beyond it, most): fixed values of the format.
+#: Ids in the rolling window, chunk sizes in ids (least, mean beyond it (a power of two), most): fixed values of the format.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 #: Ids whose documents' roots are digested together.
 RANGE = 10_000_000
@@ -42,7 +42,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     while span < WINDOW:
         h[span:] += h[:-span] << np.uint64(span)
         span *= 2
-    at = np.flatnonzero((h >> np.uint64(32)) % np.uint64(MEAN) == 0) + 1
+    at = np.flatnonzero((h & np.uint64((MEAN - 1) << 32)) == 0) + 1
     ends, last = [], 0
     for c in at.tolist():
         while c - last > MOST:

@@ -12,7 +12,9 @@ import numpy as np
 OFTEN, ONCE = 400_000, 300_000
 
 #: A full stop or comma before white space and not after a Latin letter or digit: the pattern may take it with its neighbours.
-_JOINED = re.compile(r"(?<![0-9A-Za-zÀ-ÖØ-öø-ÿ])[.,][ \n]")
+_JOINED = re.compile(r"[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ].)[ \n]")
+#: A character that is a piece and one id of its own between white space; new words that go to the library are parted by it.
+_MARK, _TOGETHER = "\x01", 1000
 
 
 class WordEncoder:
@@ -31,6 +33,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
+        self.mark = self.whole(_MARK)
         self.check()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
@@ -42,12 +45,29 @@ class WordEncoder:
         probe = ["it's a 'Test' of", "Große Öfen,", "ÇA-VA?", "12 34"]
         parts = [x for p in probe for w in p.split(" ") for x in self.whole(w)]
         bare = self.bare.encode(" ".join(probe).lower(), add_special_tokens=False).ids
-        if not self.whole(" \n".join(probe)) == parts == bare:
+        marked = [self.new(t, [w for p in probe for w in p.lower().split(" ")]) for t in (self.tokenizer, self.bare)]
+        same = all(b"".join(m) == np.asarray(parts, "<u4").tobytes() for m in marked)
+        if len(self.mark) != 1 or not same or not self.whole(" \n".join(probe)) == parts == bare:
             raise ValueError("this tokenizer's ids depend on white space; encode whole texts instead")
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def new(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of each word, by few calls of the library; words with the mark in them go to it alone."""
+        done: list[bytes] = []
+        for k in range(0, len(words), _TOGETHER):
+            part = words[k : k + _TOGETHER]
+            (e,) = tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[0]) * 4
+            if len(at) == len(part) - 1:  # a mark alone in a word would add one
+                data = ids.tobytes()
+                done += [data[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)])]
+            else:
+                done += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return done
+
     @staticmethod
     def latin(text: str) -> bool:
         if text.isascii():
@@ -84,10 +104,7 @@ class WordEncoder:
                 else:
                     new.append(w)
             tokenizer = self.bare if plain else self.tokenizer
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    once[w] = array("I", e.ids).tobytes()
+            once.update(zip(new, self.new(tokenizer, new)))
             got = [g if g is not None else once[w] if w in once else often[w] for w, g in zip(words, got)]
         return b"".join(got)
 

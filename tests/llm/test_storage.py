@@ -31,6 +31,13 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(enc.encode(s), "<u4").tolist() == enc.whole(s)
 
 
+def test_words_with_the_mark_go_to_the_library_alone():
+    enc, rng = WordEncoder(WORDS), random.Random(3)
+    texts = ["".join(rng.choice("ab'stlAÉß.,  \n\x01\x02\u0301Σ中é<|\t12!#\x85\xa0") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for t in [*texts, "\x01", "a\x01b \x01", "x \x01 y", "q.\x01 \x01. z,\x01 "]:
+        assert enc.encode(t) == np.asarray(enc.whole(t), "<u4").tobytes()
+
+
 def test_packing_is_whole_and_tight(docs, empty):
     got = packing.pack(docs, WORDS, 256, 1, with_ids=True).collect()
     want = sorted(zlib.crc32(np.asarray(whole_ids(r["text"], 1), "<u4").tobytes()) for r in docs.collect())
