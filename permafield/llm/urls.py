@@ -43,21 +43,29 @@ def _shape(segment: Column) -> Column:
     return F.when(tail != "", F.concat(star, F.lit("."), F.lower(tail))).otherwise(star)
 
 
-def templates(paths: DataFrame, depth: int = 4, few: int = 8, share: float = 0.05) -> DataFrame:
+def templates(paths: DataFrame, depth: int = 4, few: int = 8, share: float = 0.05, least: int = 5, z: float = 1.96) -> DataFrame:
     """``host, path, n, bad, good`` rows with ``template`` added: the tree is grown level by level for every host.
 
     A child of a node stays literal if it is no number and either the node has at most ``few`` children or the child holds at
-    least ``share`` of the node's urls; the others become one wildcard. Segments beyond ``depth`` become ``**``.
+    least ``share`` of the node's urls; the others become one wildcard. So that a small section labelled otherwise than its siblings is
+    not averaged with them, a child also stays literal if it holds at least ``least`` examples and ``share`` of the node's blocked
+    or allowed ones, and its blocked share is more than ``z`` standard errors from the node's. A node has at most ``few + 3 / share``
+    literal children. Segments beyond ``depth`` become ``**``.
     """
     unit = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
     most = unit.agg(F.max(F.size("segments"))).first()[0] or 0
+    held = ("n", "bad", "good")
+    examples, p = F.col("c_bad") + F.col("c_good"), F.try_divide("all_bad", F.col("all_bad") + F.col("all_good"))
+    apart = (examples >= least) & (F.abs(F.try_divide("c_bad", examples) - p) > z * F.sqrt(F.try_divide(p * (1 - p), examples)))
+    held_much = lambda x: (F.col(f"c_{x}") > 0) & (F.col(f"c_{x}") >= share * F.col(f"all_{x}"))
+    large = (F.col("k") <= few) | held_much("n") | (apart & (held_much("bad") | held_much("good")))
     for level in range(min(depth, most)):
         child = F.get("segments", F.lit(level))
         here = unit.where(child.isNotNull()).withColumn("child", child)
-        children = here.where(~child.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")).groupBy("host", "template", "child").agg(F.sum("n").alias("c"))
-        nodes = here.groupBy("host", "template").agg(F.sum("n").alias("total"))
+        children = here.where(~child.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")).groupBy("host", "template", "child").agg(*[F.sum(x).alias(f"c_{x}") for x in held])
+        nodes = here.groupBy("host", "template").agg(*[F.sum(x).alias(f"all_{x}") for x in held])
         wide = children.groupBy("host", "template").agg(F.count("*").alias("k"))
-        literal = children.join(wide, ["host", "template"]).join(nodes, ["host", "template"]).where((F.col("k") <= few) | (F.col("c") >= share * F.col("total"))).select("host", "template", "child", F.lit(True).alias("literal"))
+        literal = children.join(wide, ["host", "template"]).join(nodes, ["host", "template"]).where(large).select("host", "template", "child", F.lit(True).alias("literal"))
         grown = unit.withColumn("child", child).join(literal, ["host", "template", "child"], "left")
         step = F.when(F.col("literal"), F.col("child")).otherwise(_shape(F.col("child")))
         unit = materialise(grown.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("child", "literal"), "templates")

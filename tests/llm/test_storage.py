@@ -215,6 +215,17 @@ def test_url_templates_follow_their_labels(spark):
         assert kind == "shop" or got[k]["verdict"] == {"spam": "block", "blog": "allow"}[kind]
 
 
+def test_small_sections_keep_their_labels(spark):
+    # 40 sections of one host, each a fortieth of its urls; one is blocked as far as it is labelled.
+    rows = [(100 * k + j, f"http://h.net/sec{chr(97 + k % 26)}{chr(97 + k // 26)}/p{j}x") for k in range(40) for j in range(30)]
+    rows += [(10_000 + k, f"http://unlabelled.net/s{k}x") for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    given = F.when(F.regexp_extract("url", "/p([0-9])x", 1) != "", F.when(F.col("url").contains("/secha/"), "block").otherwise("allow"))
+    got = {r["id"]: r["verdict"] for r in urls.judge(df, [], label=given).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, v in got.items() if v == "block"} == {100 * 7 + j for j in range(30)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 24))
