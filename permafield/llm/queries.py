@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permafield.llm import ann, bpe, common, linededup, neardup, packing, quality, secrets, store, urls, warc
+from permafield.llm import ann, audit, bpe, common, linededup, neardup, packing, pieces, quality, secrets, store, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents with the piece model."""
+    common.small_batches(spark)
+    return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each source's documents, in all 120 orders."""
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_quality": op2_quality,
@@ -105,9 +116,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_store": op8_store,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_pieces": op11_pieces,
+    "op13_audit": op13_audit,
 }
 
-#: Only near duplicates can be written in SQL as they are; the other operators' tests hold them against brute force.
+#: What can be written in SQL as it is; the other operators' tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op4_neardup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w),
@@ -117,4 +130,20 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 cc(id, comp) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.id, min(c.comp) FROM cc c JOIN e ON e.a = c.id JOIN recurring.cc k ON k.id = e.b WHERE c.comp < k.comp GROUP BY ALL)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, comp AS component_id, d.doc_id = comp AS kept FROM documents d JOIN cc ON cc.id = d.doc_id LEFT JOIN n USING (doc_id)""",
+    # By the definition: each document's failures, and for each order and step those that no filter before has removed.
+    "op13_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT doc_id, part, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS s FROM w),
+m AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY 1),
+c AS (SELECT part, MAP {'A': s.A, 'B': s.B, 'C': s.C, 'D': s.D, 'E': s.E} AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN m USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+p AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT array_to_string(o, '') AS filter_order, step, o[step] AS filter, o[1:step - 1] AS earlier, o[1:step - 1] || o[step + 1:5] AS others FROM p),
+r AS (SELECT part, filter_order, step, filter, fails[filter] AS now, len(list_filter(earlier, lambda x: fails[x])) > 0 AS gone, len(list_filter(others, lambda x: fails[x])) > 0 AS more, n, good, bad FROM t, c),
+g AS (SELECT part, filter_order, step, filter, sum(n) FILTER (NOT now AND NOT gone) AS kept, sum(n) FILTER (now AND NOT gone) AS removed, sum(n) FILTER (now AND gone) AS redundant,
+  sum(n) FILTER (now AND NOT more) AS unique_fails, sum(good) FILTER (now AND NOT gone) AS good_lost, sum(bad) FILTER (now AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM g""",
 }
