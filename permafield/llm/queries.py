@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permafield.llm import ann, audit, bpe, common, linededup, neardup, packing, pieces, quality, secrets, store, urls, warc
+from permafield.llm import ann, audit, bpe, common, linededup, neardup, packing, phrases, pieces, quality, secrets, store, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,12 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language of all documents."""
+    common.small_batches(spark)
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove of each source's documents, in all 120 orders."""
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
     "op11_pieces": op11_pieces,
+    "op12_phrases": op12_phrases,
     "op13_audit": op13_audit,
 }
 
@@ -130,6 +137,23 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 cc(id, comp) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.id, min(c.comp) FROM cc c JOIN e ON e.a = c.id JOIN recurring.cc k ON k.id = e.b WHERE c.comp < k.comp GROUP BY ALL)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, comp AS component_id, d.doc_id = comp AS kept FROM documents d JOIN cc ON cc.id = d.doc_id LEFT JOIN n USING (doc_id)""",
+    # By the definition: all phrases of one to four words counted, every cut of every candidate, every longer candidate.
+    "op12_phrases": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]') AS ps FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(ps) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+f AS MATERIALIZED (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k, count(*) AS n FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS total FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS ws, k, n AS a FROM f WHERE k >= 2 AND n >= 30),
+g AS MATERIALIZED (SELECT lang, phrase, n FROM f WHERE n >= 30),
+h AS (SELECT lang, phrase, a, ws, k, unnest(range(1, k)) AS j FROM c),
+i AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM h),
+u AS (SELECT i.lang, i.phrase, a, j, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.n + y.n) AS BIGINT) AS score FROM i JOIN g x ON x.lang = i.lang AND x.phrase = lp JOIN g y ON y.lang = i.lang AND y.phrase = rp),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+v AS (SELECT lang, a, unnest(CASE WHEN k = 4 THEN [ws[1:2], ws[2:3], ws[3:4], ws[1:3], ws[2:4]] ELSE [ws[1:2], ws[2:3]] END) AS ws FROM c WHERE k > 2),
+o AS (SELECT lang, array_to_string(ws, ' ') AS phrase, max(a) AS over FROM v GROUP BY 1, 2),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE over IS NULL OR 100 * over < 80 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(total AS BIGINT) AS n, score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
     # By the definition: each document's failures, and for each order and step those that no filter before has removed.
     "op13_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
