@@ -37,6 +37,12 @@ class Job:
     options: dict = field(default_factory=dict)
 
 
+def from_stored(stored, **options) -> Job:
+    """The job of a design that :func:`permafield.sources.mat5.read_design` read: its roles, contrasts and whitening."""
+    whitening = stored.whitening if stored.whitening is not None and not np.array_equal(stored.whitening, np.eye(len(stored.x))) else None
+    return Job(**{"design": stored.design(), "contrasts": {k: c for k, (_, c) in stored.contrasts.items()}, "whitening": whitening} | options)
+
+
 def estimate(rows: DataFrame, job: Job, space: tree.Grid | tree.Mesh | None, path: str | None = None) -> dict[str, Outcome]:
     """Recognise, draw, verify and test each contrast of ``rows(element_id, y)``; results go below ``path``, a folder each.
 
@@ -90,4 +96,4 @@ def export(spark: SparkSession, path: str, names: list[str], space, on: str = "f
     return out
 
 
-__all__ = ["Job", "estimate", "export"]
+__all__ = ["Job", "estimate", "export", "from_stored"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from permafield.functions import design, linear, tails, tree
 from permafield.operators import inference, maps, models, results
 from permafield.plans.permutation import permutation_test
-from permafield.sources import files
+from permafield.sources import files, mat5
 
 GRID, N, OBS, PERMS = (7, 12, 5), 420, 25, 40
 AFFINE = [[-3, 0, 0, 90], [0, 3, 0, -126], [0, 0, 3, -72], [0, 0, 0, 1]]
@@ -753,3 +753,61 @@ def permutation_test_sequential(spark, d):
 def minimum_slice(spark: SparkSession, d: str) -> DataFrame:
     """Cells, two-group t, enhanced: ``element_id, x, y, z, value, enh``."""
     return maps.with_xyz(maps.tfce(t_map(spark, d), GRID), GRID).orderBy(F.desc("enh"), "element_id")
+
+
+# --- stored designs ---------------------------------------------------------------------------------------------------
+
+
+def yearly_designs(spark: SparkSession, d: str) -> str:
+    """A folder of MAT-5 designs, one for each year of orders: nations are observations of two groups with their customers' mean balance
+    as a covariate; contrasts compare and average the groups; the volume holds the cells (month, priority) that have orders."""
+    nation = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("obs_id")).agg(F.avg(F.col("c_acctbal").cast("double")).alias("balance"))
+    x = nation.agg(F.sort_array(F.collect_list(F.struct("obs_id", "balance"))).alias("o"), F.lit(1).alias("one"))  # a row for each nation
+    o = table(spark, d, "orders")
+    cell = F.struct(F.month("o_orderdate").alias("m"), F.substring("o_orderpriority", 1, 1).cast("int").alias("p"))
+    years = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.sort_array(F.collect_set(cell)).alias("c"), F.lit(1).alias("one")).join(x, "one")  # one row beside each year
+    num = lambda path, values, *dims: F.struct(F.lit(path).alias("path"), F.lit("double").alias("class"), F.array(*[F.lit(v).cast("long") if isinstance(v, int) else v.cast("long") for v in dims]).alias("dims"), values.cast("array<double>").alias("values"), F.lit(None).cast("string").alias("text"))
+    box = lambda path, many, fields: F.struct(F.lit(path).alias("path"), F.lit("struct").alias("class"), F.array(F.lit(1).cast("long"), F.lit(many).cast("long")).alias("dims"), F.lit(None).cast("array<double>").alias("values"), F.lit("\n".join(fields)).alias("text"))
+    word = lambda path, text: F.struct(F.lit(path).alias("path"), F.lit("char").alias("class"), F.array(F.lit(1).cast("long"), F.lit(len(text)).cast("long")).alias("dims"), F.lit(None).cast("array<double>").alias("values"), F.lit(text).alias("text"))
+    of = lambda *v: F.array(*map(F.lit, v))
+    group = lambda odd: F.transform("o", lambda s: F.when(s["obs_id"] % 2 == odd, 1.0).otherwise(0.0))
+    parts = [
+        box("SPM", 1, ["xX", "xCon", "xVol"]),
+        box("SPM.xX", 1, ["X", "iH", "iC"]),
+        num("SPM.xX.X", F.concat(group(1), group(0), F.transform("o", lambda s: s["balance"])), F.size("o"), 3),
+        num("SPM.xX.iH", of(1.0, 2.0), 1, 2),
+        num("SPM.xX.iC", of(3.0), 1, 1),
+        box("SPM.xCon", 2, ["name", "STAT", "c"]),
+        *(part for k, (name, c) in enumerate([("odd against even", (1.0, -1.0, 0.0)), ("mean", (0.5, 0.5, 0.0))], 1) for part in (word(f"SPM.xCon({k}).name", name), word(f"SPM.xCon({k}).STAT", "T"), num(f"SPM.xCon({k}).c", of(*c), 3, 1))),
+        box("SPM.xVol", 1, ["XYZ", "DIM"]),
+        num("SPM.xVol.XYZ", F.flatten(F.transform("c", lambda s: F.array(F.lit(1), s["m"], s["p"]))), 3, F.size("c")),
+        num("SPM.xVol.DIM", of(1.0, 12.0, 5.0), 3, 1),
+    ]
+    rows_ = years.select(F.concat(F.col("year").cast("string"), F.lit(".mat")).alias("file"), F.explode(F.array(*parts)).alias("r"))
+    path = files.scratch_path(spark, "designs")
+    mat5.register(spark)
+    rows_.select("file", F.lit("SPM").alias("variable"), "r.path", "r.class", "r.dims", "r.values", F.lit(None).cast("array<long>").alias("at"), "r.text").repartition("file").write.format("mat5").mode("append").save(path)
+    return path
+
+
+@query("""WITH x AS (SELECT c_nationkey AS obs_id, CAST(c_nationkey % 2 AS DOUBLE) AS odd FROM customer GROUP BY ALL),
+y AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, c_nationkey AS obs_id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+e AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(DISTINCT month(o_orderdate) * 10 + CAST(substr(o_orderpriority, 1, 1) AS INT)) AS n_elements,
+  max(month(o_orderdate) - 1 + 12 * (CAST(substr(o_orderpriority, 1, 1) AS INT) - 1)) AS last_element FROM orders GROUP BY 1),
+s AS (SELECT year, sum(v * odd) AS a, sum(v * (1 - odd)) AS b FROM y JOIN x USING (obs_id) GROUP BY 1)
+SELECT year, c.name, round(CASE WHEN c.name = 'mean' THEN (a + b) / 2 ELSE a - b END, 2) AS effect, n_elements, CAST(last_element AS BIGINT) AS last_element FROM s JOIN e USING (year), (VALUES ('mean'), ('odd against even')) c(name)""")
+def design_source(spark, d):
+    """Designs and contrasts read from MAT-5 files, one a year, applied to the year's sums of nations; elements of the volumes read."""
+    path = yearly_designs(spark, d)
+    load = lambda within: spark.read.format("mat5").option("variables", "SPM").option("within", within).load(path)
+    year = F.regexp_extract("file", r"(\d+)\.mat$", 1).cast("long").alias("year")
+    x = mat5.matrix_rows(load("SPM.xX.X"), "SPM.xX.X").select(year, F.col("row").alias("obs_id"), "col", F.col("value").alias("x"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    y = o.groupBy(F.year("o_orderdate").cast("long").alias("year"), F.col("c_nationkey").cast("long").alias("obs_id")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("y"))
+    xty = x.join(y, ["year", "obs_id"]).groupBy("year", "col").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    con = load("SPM.xCon(").select(year, F.regexp_extract("path", r"\((\d+)\)", 1).alias("k"), F.regexp_extract("path", r"(\w+)$", 1).alias("field"), "values", "text")
+    c = con.where("field = 'c'").select("year", "k", F.posexplode("values").alias("col", "w"))
+    names = con.where("field = 'name'").select("year", "k", F.col("text").alias("name"))
+    effect = xty.join(c, ["year", "col"]).groupBy("year", "k").agg(r(F.sum(F.col("v") * F.col("w")), 2).alias("effect")).join(names, ["year", "k"]).drop("k")
+    mask = mat5.mask_elements(load("SPM.xVol")).groupBy(year).agg(F.count("*").alias("n_elements"), F.max("element_id").alias("last_element"))
+    return effect.join(mask, "year")

@@ -16,16 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset) and read back."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster it raises, as executors would not share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="permafield-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/permafield-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/permafield-{name}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to :func:`scratch_path` and read back: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def maps_from_array(spark: SparkSession, data, mesh: bool = False) -> DataFrame:
