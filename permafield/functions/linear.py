@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -60,12 +61,26 @@ class PermutedGLM:
             self.basis = contrast_basis(self.c)
             self.between = np.linalg.pinv(self.basis.T @ cov @ self.basis)
 
-    def statistic(self, inverse: np.ndarray) -> np.ndarray:
+    def on(self, y: np.ndarray, norms: np.ndarray | None = None) -> PermutedGLM:
+        """The same factorised design for other data."""
+        other = copy.copy(self)
+        other.y, other.norms = y, (y * y).sum(1) if norms is None else norms
+        return other
+
+    def mean_squares(self, beta: np.ndarray) -> np.ndarray:
+        return np.maximum(self.norms - ((beta @ self.xtx) * beta).sum(1), 0) / self.df
+
+    def largest(self, inverse: np.ndarray) -> float:
+        """The largest finite residual variance, which shrinkage adds a share of."""
+        ms = self.mean_squares(self.y @ inverse.T)
+        return float(ms[np.isfinite(ms)].max(initial=0.0))
+
+    def statistic(self, inverse: np.ndarray, largest: float | None = None) -> np.ndarray:
+        """t or F for a pseudo-inverse whose columns were exchanged; ``largest``: that of all elements, if ``y`` is a part of them."""
         beta = self.y @ inverse.T
-        ms = np.maximum(self.norms - ((beta @ self.xtx) * beta).sum(1), 0) / self.df
+        ms = self.mean_squares(beta)
         if self.shrink:
-            finite = ms[np.isfinite(ms)]
-            ms = ms + self.shrink * (finite.max() if len(finite) else 0.0)
+            ms = ms + self.shrink * (ms[np.isfinite(ms)].max(initial=0.0) if largest is None else largest)
         if self.is_t:
             up = beta @ self.c[:, 0]
             return up / np.sqrt(ms * self.variance + EPS) if self.eps_inside else up / (EPS + np.sqrt(ms * self.variance))
@@ -101,6 +116,81 @@ def permuted_design(x, c, perm, method: str, interaction: bool = False) -> np.nd
     return x
 
 
+def fast_form_holds(x, rz, exchanges) -> bool:
+    """Whether residual sums may be taken from the norms of the data under exchanges that take nuisance out with ``rz``.
+
+    The residual projector of the design must swallow ``rz`` (R Rz = R, to a tolerance), which fails where ``rz`` was made from columns
+    that the fitted design does not span, as with whitening; and each exchange must be a pure permutation, or only signs, so that norms
+    do not change.
+    """
+    x, exchanges = np.asarray(x, float), np.asarray(exchanges)
+    r = residual_maker(x)
+    if np.abs(r @ rz - r).max(initial=0) > 1e-5 * max(1.0, np.abs(r).max(initial=0)):
+        return False
+    if exchanges.shape[1] != len(x):
+        return False
+    return bool((np.sort(exchanges, 1) == np.arange(len(x))).all() or (np.abs(exchanges) == 1).all())
+
+
+class Exchanged:
+    """The statistic of any block of elements under one exchange; what does not depend on the data is made once.
+
+    ``raw`` and ``freedman_lane`` exchange the data under the full design, which moves the columns of its pseudo-inverse. With ``rz`` (the residual
+    maker of nuisance columns that the design need not span) Freedman-Lane takes nuisance out of the exchanged data explicitly, unless
+    :func:`fast_form_holds`. ``ds`` and ``smith`` exchange the tested columns of the design; ``freedman_lane_exact`` exchanges the residuals of
+    the nuisance model. With ``columns`` a covariate of each element's own replaces these columns, and is exchanged if it is tested,
+    else the data are.
+    """
+
+    def __init__(self, x, c, exchange, signs: bool = False, method: str = "raw", interaction: bool = False, rz=None, columns=None, base: PermutedGLM | None = None, **options):
+        self.x, self.c, self.exchange, self.signs, self.method, self.rz, self.columns, self.options = np.asarray(x, float), c, exchange, signs, method, rz, columns, options
+        if method not in ("raw", "freedman_lane", "freedman_lane_exact", "ds", "smith"):
+            raise ValueError(f"unknown nuisance method {method!r}")
+        if columns is not None:
+            return
+        empty = np.zeros((0, len(self.x)))
+        self.glm = base or PermutedGLM(empty, self.x, c, **options)
+        self.inverse = self.glm.inverse
+        if exchange is None:
+            return
+        if signs:
+            self.inverse = self.glm.inverse * np.asarray(exchange, float)
+        elif method in ("ds", "smith"):
+            self.glm = PermutedGLM(empty, permuted_design(self.x, c, exchange, method, interaction), c, **options)
+            self.inverse = self.glm.inverse
+        elif method == "freedman_lane_exact":
+            self.nuisance = residual_maker(self.x[:, partition(self.x, c)[1]])
+        elif rz is None:
+            self.inverse = self.glm.inverse[:, np.argsort(exchange)]
+
+    def _data(self, y: np.ndarray, norms: np.ndarray | None) -> PermutedGLM:
+        if self.exchange is not None and not self.signs:
+            if self.method == "freedman_lane_exact":
+                return self.glm.on((y @ self.nuisance)[:, self.exchange] + y @ (np.eye(len(self.x)) - self.nuisance))
+            if self.rz is not None and self.method in ("raw", "freedman_lane"):
+                return self.glm.on(y[:, self.exchange] @ self.rz)
+        return self.glm.on(y, norms)
+
+    def largest(self, y: np.ndarray, norms: np.ndarray | None = None, cov: np.ndarray | None = None) -> float:
+        if self.columns is not None:
+            raise ValueError("shrinkage with a covariate of each element is not supported")
+        return self._data(y, norms).largest(self.inverse)
+
+    def statistic(self, y: np.ndarray, norms: np.ndarray | None = None, largest: float | None = None, cov: np.ndarray | None = None) -> np.ndarray:
+        if self.columns is not None:
+            if self.signs and self.exchange is not None:
+                y = y * np.asarray(self.exchange, float)
+            return voxel_covariate_glm(y, cov, self.x, self.columns, self.c, None if self.signs else self.exchange)
+        return self._data(y, norms).statistic(self.inverse, largest)
+
+
+def prepared(x, c, exchanges, **options) -> list[Exchanged]:
+    """:class:`Exchanged` of each of ``exchanges`` (None: the data as they are); the design is factorised once for all that leave it alone."""
+    own = {k: v for k, v in options.items() if k in ("shrink", "eps_inside")}
+    base = None if options.get("columns") is not None else PermutedGLM(np.zeros((0, len(x))), x, c, **own)
+    return [Exchanged(x, c, e, base=base, **options) for e in exchanges]
+
+
 def fit_nuisance(y, x, c, perm, method: str, **options) -> np.ndarray:
     """Statistic under a permutation with nuisance columns handled by ``raw`` (permute the data under the full design), ``ds``
     (Draper-Stoneman), ``smith``, ``freedman_lane`` (permute, then take the nuisance out: the same as raw) or

@@ -44,21 +44,46 @@ def exceedances(stats: DataFrame, obs: DataFrame) -> DataFrame:
     return stats.join(o, "element_id").groupBy("element_id", "sign").agg(F.count_if(hit).alias("cnt"), F.count("*").alias("n_draws"))
 
 
-def tail_topk(stats: DataFrame, obs: DataFrame, k: int) -> DataFrame:
-    """``element_id, top``: the ``k`` largest ``sign * t`` of each element, descending. Tasks keep their own ``k`` first."""
-    signed = stats.join(obs.where("t <> 0").select("element_id", F.signum("t").alias("sign")), "element_id").select("element_id", (F.col("sign") * F.col("t")).alias("v"))
+#: Bytes that a task holds of largest draws, and the share of permutations (one in so many) that a pilot takes.
+TAIL_BYTES, PILOT = 64 << 20, 16
+
+
+def tail_topk(stats: DataFrame, obs: DataFrame, k: int, most_bytes: int = TAIL_BYTES, prune: bool = False) -> DataFrame:
+    """``element_id, top``: the ``k`` largest ``sign * t`` of each element, descending.
+
+    Tasks reduce their own draws first, within ``most_bytes``: what does not fit is given on and merged later, so the rows are the same at any
+    bound. ``prune``: a pilot over one permutation in PILOT sets a threshold for each element (its ``k``-th largest there, which no
+    larger set can fall below), and draws under it are passed over before they are reduced; it comes with the observed statistics, in
+    the same join.
+    """
+    o = obs.where("t <> 0").select("element_id", F.signum("t").alias("sign"))
     kind = stats.schema["element_id"].dataType.simpleString()
 
-    def partial(batches):
-        held: dict = {}
-        for pdf in batches:
-            for e, own in pdf.groupby("element_id")["v"]:
-                v = own.to_numpy() if e not in held else np.concatenate([held[e], own.to_numpy()])
-                held[e] = v if len(v) <= k else np.partition(v, len(v) - k)[-k:]
-        yield pd.DataFrame({"element_id": list(held), "part": [v.tolist() for v in held.values()]})
+    def reduced(s: DataFrame, o: DataFrame) -> DataFrame:
+        signed = s.join(o, "element_id").withColumn("v", F.col("sign") * F.col("t"))
+        signed = (signed.where("floor_v is null or v >= floor_v") if "floor_v" in o.columns else signed).select("element_id", "v")
 
-    parts = signed.mapInPandas(partial, f"element_id {kind}, part array<double>")
-    return parts.groupBy("element_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("part")), asc=False), 1, k).alias("top"))
+        def rows(pair):
+            e, v = pair
+            if len(e):
+                cut = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+                yield pd.DataFrame({"element_id": e[cut], "part": [p.tolist() for p in np.split(v, cut[1:])]})
+
+        def partial(batches):
+            held = tails.LargestDraws(k, most_bytes)
+            for pdf in batches:
+                if (given := held.add(pdf["element_id"].to_numpy(), pdf["v"].to_numpy(float))) is not None:
+                    # An element given up twice within one call has two runs: they are rows of their own.
+                    yield from rows(given)
+            yield from rows(held.rest())
+
+        parts = signed.mapInPandas(partial, f"element_id {kind}, part array<double>")
+        return parts.groupBy("element_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("part")), asc=False), 1, k).alias("top"))
+
+    if prune:
+        pilot = reduced(stats.where(F.pmod(F.xxhash64("perm_id"), F.lit(PILOT)) == 0), o).where(F.size("top") == k)
+        o = o.join(pilot.select("element_id", F.col("top")[k - 1].alias("floor_v")), "element_id", "left")
+    return reduced(stats, o)
 
 
 def null_map(stats: DataFrame) -> DataFrame:
@@ -312,7 +337,11 @@ def parametric_agreement(p: DataFrame, obs: DataFrame, kind: str = "t", df1: flo
     """
     fitted = parametric_p(obs.select("element_id", F.abs("t").alias("t"), F.signum("t").alias("side")).where("side <> 0"), kind, df1=df1, df2=df2)
     both = fitted.join(p.select("element_id", "p"), "element_id").where("p_param <> 0.5 and p_param <> 1")
-    of = lambda side: F.corr(F.when(F.col("side") == side, F.col("p")), F.when(F.col("side") == side, F.col("p_param")))
+
+    def of(side: int) -> Column:
+        a, b = (F.when(F.col("side") == side, F.col(name)) for name in ("p", "p_param"))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
     return both.agg(of(1).alias("corr_p"), of(-1).alias("corr_n"))
 
 

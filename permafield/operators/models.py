@@ -49,60 +49,39 @@ def fit_glm(rows: DataFrame, x, c, perms=None, signs=None, shrink: float = 0.0,
     ``rows`` are ``element_id, y``; blocks of elements are independent, so nothing is shuffled. Shrinkage takes the largest
     residual variance over all elements, found first by one aggregation for each exchange.
     """
-    x, exchanges = np.asarray(x, float), [(-1, None, None)]
-    if perms is not None:
-        exchanges = [(k, np.asarray(p), None) for k, p in enumerate(perms)]
-    elif signs is not None:
-        exchanges = [(k, None, np.asarray(s)) for k, s in enumerate(signs)]
-    linear.PermutedGLM(np.zeros((1, len(x))), x, c)  # shapes and degrees of freedom are checked here
-
-    def stat(y: np.ndarray, perm, sign, add: float) -> np.ndarray:
-        if perm is not None and method not in ("raw", "freedman_lane"):
-            glm_y, glm_x = y, x
-            if method == "freedman_lane_exact":
-                z = x[:, linear.partition(x, c)[1]]
-                r = linear.residual_maker(z)
-                glm_y, perm = (y @ r)[:, perm] + y @ (np.eye(len(r)) - r), None
-            else:
-                glm_x, perm = linear.permuted_design(x, c, perm, method), None
-            glm = linear.PermutedGLM(glm_y, glm_x, c, eps_inside=eps_inside)
-        else:
-            glm = linear.PermutedGLM(y, x, c, eps_inside=eps_inside)
-        inverse = glm.inverse if perm is None and sign is None else glm.inverse[:, np.argsort(perm)] if perm is not None else glm.inverse * sign
-        if not add and not want_ms[0]:
-            return glm.statistic(inverse)
-        beta = glm.y @ inverse.T
-        ms = np.maximum(glm.norms - ((beta @ glm.xtx) * beta).sum(1), 0) / glm.df
-        if want_ms[0]:
-            return ms
-        ms = ms + add
-        if glm.is_t:
-            up = beta @ glm.c[:, 0]
-            return up / np.sqrt(ms * glm.variance + linear.EPS) if eps_inside else up / (linear.EPS + np.sqrt(ms * glm.variance))
-        part = beta @ glm.basis
-        return ((part @ glm.between) * part).sum(1) / glm.basis.shape[1] / ms
-
-    want_ms = [False]
-    added = {k: 0.0 for k, _, _ in exchanges}
-
-    def task(ms_only: bool, adds: dict):
-        def run(batches):
-            want_ms[0] = ms_only
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+    x = np.asarray(x, float)
+    ids, exchanges = [-1], [None]
+    if perms is not None or signs is not None:
+        exchanges = list(np.asarray(perms if perms is not None else signs))
+        ids = list(range(len(exchanges)))
+    options = {"signs": perms is None and signs is not None, "method": method, "eps_inside": eps_inside, "shrink": shrink}
+    linear.prepared(x, c, [None], **options)  # shapes and degrees of freedom are checked here
+
+    def largest(batches):
+        fits, most = linear.prepared(x, c, exchanges, **options), np.zeros(len(exchanges))
+        for pdf in batches:
+            if len(pdf):
                 y = np.stack(pdf["y"].to_numpy())
-                for k, perm, sign in exchanges:
-                    yield pd.DataFrame({"perm_id": np.int32(k), "element_id": pdf["element_id"], "t": stat(y, perm, sign, adds[k])})
+                norms = (y * y).sum(1)
+                most = np.maximum(most, [f.largest(y, norms) for f in fits])
+        yield pd.DataFrame({"perm_id": np.asarray(ids, np.int32), "m": most})
+
+    added: list[float | None] = [None] * len(ids)
+    if shrink:  # one row a task and exchange
+        found = {r["perm_id"]: r["m"] for r in rows.mapInPandas(largest, "perm_id int, m double").groupBy("perm_id").agg(F.max("m").alias("m")).collect()}
+        added = [found.get(k, 0.0) for k in ids]
 
-        return run
+    def run(batches):
+        fits = linear.prepared(x, c, exchanges, **options)
+        for pdf in batches:
+            if len(pdf):
+                y = np.stack(pdf["y"].to_numpy())
+                norms = (y * y).sum(1)
+                for k, f, most in zip(ids, fits, added):
+                    yield pd.DataFrame({"perm_id": np.int32(k), "element_id": pdf["element_id"], "t": f.statistic(y, norms, most)})
 
     kind = rows.schema["element_id"].dataType.simpleString()
-    schema = f"perm_id int, element_id {kind}, t double"
-    if shrink:
-        most = rows.mapInPandas(task(True, added), schema).groupBy("perm_id").agg(F.max("t").alias("m")).collect()  # a row for each exchange
-        added = {r["perm_id"]: shrink * r["m"] for r in most}
-    return rows.mapInPandas(task(False, added), schema)
+    return rows.mapInPandas(run, f"perm_id int, element_id {kind}, t double")
 
 
 def fit_voxel_covariate(rows: DataFrame, x, columns, c, perm=None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permafield.functions import linear, tree
-from permafield.operators import inference, models
+from permafield.operators import inference
 
 #: Bytes of data that are sent to every task at most, and of stored tails before only counts are kept.
 BROADCAST, TAIL_BYTES = 256 << 20, 4 << 30
@@ -27,26 +27,27 @@ class Outcome:
     info: dict
 
 
-def statistics(y, x, c, signs: bool = False, method: str = "raw", interaction: bool = False, **options):
-    """A function from one exchange (a row of ids, or of signs) to the statistic of every element.
+def statistics(y, x, c, signs: bool = False, method: str = "raw", interaction: bool = False, cov=None, columns=None, rz=None, **options):
+    """A function from one exchange (a row of ids, or of signs) to the statistic of every element, and whether it is t; see
+    :class:`permafield.functions.linear.Exchanged` for the methods. Norms of the data and the design's factors are made once."""
+    y = np.atleast_2d(np.asarray(y, float))
+    norms = (y * y).sum(1)
+    kind = {"signs": signs, "method": method, "interaction": interaction, "rz": rz, "columns": columns, **options}
+    base = None if columns is not None else linear.PermutedGLM(np.zeros((0, y.shape[1])), x, c, **options)
+    linear.Exchanged(x, c, None, base=base, **kind)  # the method is checked here
+    return lambda e: linear.Exchanged(x, c, e, base=base, **kind).statistic(y, norms, cov=cov), linear.contrast_matrix(c, np.shape(x)[1]).shape[1] == 1
 
-    ``raw`` and ``freedman_lane`` exchange the data under the full design, whose pseudo-inverse is factorised once. ``ds`` and ``smith``
-    leave the data and the nuisance columns where they are and exchange the tested columns, so each exchange has a design of its
-    own; only the norms of the data are shared.
-    """
-    glm = linear.PermutedGLM(y, x, c, **options)
-    if signs:
-        return glm.fit_signs, glm.is_t
-    if method in ("raw", "freedman_lane"):
-        return glm.fit, glm.is_t
-    if method not in ("ds", "smith"):
-        raise ValueError(f"unknown nuisance method {method!r}")
-    return lambda perm: linear.PermutedGLM(y, linear.permuted_design(x, c, perm, method, interaction), c, norms=glm.norms, **options).fit(), glm.is_t
+
+def moved_by(x, exchanges, method: str, interaction: bool = False, rz=None, columns=None) -> dict:
+    """What :func:`statistics` needs besides data and design. ``rz`` is left out where it changes nothing."""
+    if rz is not None and (method not in ("raw", "freedman_lane") or linear.fast_form_holds(x, rz, exchanges)):
+        rz = None
+    return {"method": method, "interaction": interaction, "rz": rz, "columns": None if columns is None else list(columns)}
 
 
-def _partials(rows: np.ndarray, ids: list[int], y, x, c, signs: bool, t0, e0, space, E, H, k, method, options):
+def _partials(rows: np.ndarray, ids: list[int], y, x, c, signs: bool, t0, e0, space, E, H, k, method, options, cov=None):
     """Maxima of each permutation, and counts, largest draws and sums of each element, over a task's permutations."""
-    fit, is_t = statistics(y, x, c, signs, **method, **options)
+    fit, is_t = statistics(y, x, c, signs, **method, cov=cov, **options)
     n = len(t0)
     s = np.sign(t0)
     on = s != 0
@@ -94,39 +95,51 @@ def permutation_test(
     method: str = "raw",
     interaction: bool = False,
     tail_bytes: int = TAIL_BYTES,
+    rz=None,
+    columns=None,
+    break_after: int | None = None,
 ) -> Outcome:
     """Test every element of ``rows(element_id, y)``, numbered from 0 without gaps, under ``exchanges`` (a row each, the identity first).
 
     ``wave``: permutations in a wave; after each the sequential rule is applied to the ordered maxima, and if it stops the test
     is reduced to the permutations up to the stop, as if they had been run one by one. ``half``: each exchange stands for its
     mirror image too. ``method``: what the exchanges move, see :func:`statistics`. ``tail_bytes``: what a task may hold of the largest
-    draws; where ``n_tail`` of every element need more, one is stored, uncorrected p are counted, and ``info["tail"]`` is 1.
+    draws; where ``n_tail`` of every element need more, one is stored, uncorrected p are counted, and ``info["tail"]`` is 1. ``rz``: the residual
+    maker of nuisance columns that the design need not span. ``columns``: design columns that a covariate of each element's own,
+    ``rows.c``, replaces. ``break_after``: with no family-wise p below 0.05 after so many exchanges, no more are run; else the rest follow.
+
+    Data of more than BROADCAST bytes are tested by :func:`permafield.plans.blocks.test_by_blocks`.
     """
     spark: SparkSession = rows.sparkSession
     x = np.asarray(x, float)
     options = {"shrink": shrink}
     n = rows.count()
-    if n * len(x) * 8 > BROADCAST:
-        raise ValueError("data this large are tested by permutation_test_by_blocks")
+    if n * len(x) * 8 * (1 if columns is None else 2) > BROADCAST:
+        from permafield.plans import blocks
+
+        return blocks.test_by_blocks(rows, x, c, exchanges, space, E, H, signs, n_tail, shrink, fwe, floor, wave, alpha, contrast_id, half, method, interaction, rz, columns, break_after)
     local = rows.orderBy("element_id").toPandas()  # its size is checked above
     if not (local["element_id"].to_numpy() == np.arange(n)).all():
         raise ValueError("elements must be numbered from 0 without gaps")
     y = np.stack(local["y"].to_numpy()) if n else np.zeros((0, len(x)))
-    moved = {"method": method, "interaction": interaction}
-    t0 = statistics(y, x, c, signs, **moved, **options)[0](exchanges[0])
+    cov = None if columns is None else np.stack(local["c"].to_numpy()) if n else np.zeros((0, len(x)))
+    moved = moved_by(x, exchanges, method, interaction, rz, columns)
+    fit0, is_t = statistics(y, x, c, signs, **moved, cov=cov, **options)
+    t0 = fit0(exchanges[0])
     t0 = np.where(np.isfinite(t0), t0, 0.0)
+    t0 = t0 if is_t else np.maximum(t0, 0)
     e0 = tree.tfce(t0, space, E, H).astype(float) if space is not None else t0
     k = min(n_tail, len(exchanges) - 1) if len(exchanges) > 1 else 1
     if n * 2 * k * 8 * 2 > tail_bytes:
         k = 1
-    sent = spark.sparkContext.broadcast((y, x, np.asarray(c, float), np.asarray(exchanges), t0, e0))
+    sent = spark.sparkContext.broadcast((y, x, np.asarray(c, float), np.asarray(exchanges), t0, e0, cov))
 
     def run(batches):
-        y, x, c, exchanges, t0, e0 = sent.value
+        y, x, c, exchanges, t0, e0, cov = sent.value
         ids = [int(i) for pdf in batches for i in pdf["id"]]
         if not ids:
             return
-        maxima, cnt, tops, total = _partials(exchanges[ids], ids, y, x, c, signs, t0, e0, space, E, H, k, moved, options)
+        maxima, cnt, tops, total = _partials(exchanges[ids], ids, y, x, c, signs, t0, e0, space, E, H, k, moved, options, cov)
         yield pd.DataFrame([(0, "null", i, *m, 0, None, 0.0) for i, *m in maxima], columns=cols)
         for name in ("stat", "enh"):
             own = tops[name][:, -k:] if tops[name].shape[1] <= k else np.partition(tops[name], tops[name].shape[1] - k, 1)[:, -k:]
@@ -142,36 +155,62 @@ def permutation_test(
         got = spark.range(first, last, 1, min(tasks, max(1, last - first))).mapInPandas(run, schema)
         return scratch(got, "partials")
 
-    used, info = len(exchanges), {"stopped": False, "elements": n, "tail": k}
-    if wave:
-        pieces, null, at = [], None, 0
-        while at < len(exchanges):
-            part = reduced(at, min(at + wave, len(exchanges)))
-            pieces.append(part)
-            at = min(at + wave, len(exchanges))
-            maxima = part.where("kind = 0")
-            null = maxima if null is None else null.unionByName(maxima)
-            m = null.select(F.col("id").alias("perm_id"), F.col("e_max").alias("t_max"), F.col("e_min").alias("t_min"))
-            up, down = (float(e0.max()), float(e0.min())) if n else (0.0, 0.0)
-            rule = inference.sequential_stop(m, up, alpha, observed_min=down if down < 0 < up else None) if up > 0 else inference.sequential_stop(m.select("perm_id", (-F.col("t_min")).alias("t_max"), "t_min"), -down, alpha)
-            stop = rule.where("stop").agg(F.min("perm_id")).first()[0]
-            if stop is not None:
-                used, info["stopped"] = int(stop) + 1, True
-                break
-        if info["stopped"] and used < at:  # the last wave again, up to the stop
-            pieces[-1] = reduced(at - min(wave, at), used)
+    observed = spark.createDataFrame(pd.DataFrame({"element_id": np.arange(n), "stat": t0.astype(np.float32), "enh": e0.astype(np.float32), "t0": t0, "e0": e0}), OBSERVED)
+    info = {"stopped": False, "elements": n, "tail": k}
+    pieces: list[DataFrame] = []
+
+    def outcome(used: int) -> Outcome:
         partial = pieces[0]
         for p in pieces[1:]:
             partial = partial.unionByName(p)
-    else:
-        partial = reduced(0, len(exchanges))
+        null = partial.where("kind = 0").select(F.col("id").alias("perm_id"), "t_max", "t_min", "e_max", "e_min")
+        per = partial.where("kind = 1").groupBy("measure", F.col("id").alias("element_id")).agg(F.sum("cnt").alias("cnt"), F.slice(F.sort_array(F.flatten(F.collect_list("part")), asc=False), 1, k).alias("top"), F.sum("total").alias("total"))
+        return finish(observed, per, null, used, contrast_id, half, fwe, floor, info)
+
+    at = 0
+    if break_after and break_after < len(exchanges):
+        pieces.append(reduced(0, break_after))
+        at = break_after
+        early = outcome(at)
+        if early.result.where("p_fwe < 0.05").isEmpty():
+            early.info["stopped"] = True
+            return early
+    while at < len(exchanges):
+        end = min(at + (wave or len(exchanges)), len(exchanges))
+        pieces.append(reduced(at, end))
+        if wave:
+            maxima = pieces[0]
+            for p in pieces[1:]:
+                maxima = maxima.unionByName(p)
+            up, down = (float(e0.max()), float(e0.min())) if n else (0.0, 0.0)
+            stop = stopped_at(maxima.where("kind = 0").select(F.col("id").alias("perm_id"), "e_max", "e_min"), up, down, alpha)
+            if stop is not None:
+                if stop + 1 < end:  # the last wave again, up to the stop
+                    pieces[-1] = reduced(at, stop + 1) if stop >= at else pieces[-1]
+                at, info["stopped"] = max(stop + 1, at), True
+                break
+        at = end
+    return outcome(at)
+
+
+OBSERVED = "element_id long, stat float, enh float, t0 double, e0 double"
+
+
+def stopped_at(maxima: DataFrame, up: float, down: float, alpha: float) -> int | None:
+    """The permutation after which the sequential rule stops, from ``perm_id, e_max, e_min`` and the largest and least observed value."""
+    m = maxima.select("perm_id", F.col("e_max").alias("t_max"), F.col("e_min").alias("t_min"))
+    rule = inference.sequential_stop(m, up, alpha, observed_min=down if down < 0 < up else None) if up > 0 else inference.sequential_stop(m.select("perm_id", (-F.col("t_min")).alias("t_max"), "t_min"), -down, alpha)
+    stop = rule.where("stop").agg(F.min("perm_id")).first()[0]
+    return None if stop is None else int(stop)
+
+
+def finish(observed: DataFrame, per: DataFrame, null: DataFrame, used: int, contrast_id: int, half: bool, fwe: str, floor: float | None, info: dict) -> Outcome:
+    """p-values of both measures from OBSERVED, ``per(measure, element_id, cnt, top, total)`` and ``null(perm_id, t_max, t_min, e_max, e_min)``."""
+    from permafield.sources.files import scratch
 
-    null = partial.where("kind = 0").select(F.col("id").alias("perm_id"), "t_max", "t_min", "e_max", "e_min")
     if half:
         null = null.withColumn("half", F.lit(0)).unionByName(null.select("perm_id", (-F.col("t_min")).alias("t_max"), (-F.col("t_max")).alias("t_min"), (-F.col("e_min")).alias("e_max"), (-F.col("e_max")).alias("e_min"), F.lit(1).alias("half")))
-    per = partial.where("kind = 1").groupBy("measure", F.col("id").alias("element_id")).agg(F.sum("cnt").alias("cnt"), F.slice(F.sort_array(F.flatten(F.collect_list("part")), asc=False), 1, k).alias("top"), F.sum("total").alias("total"))
     draws = used * (2 if half else 1)
-    observed = spark.createDataFrame(pd.DataFrame({"element_id": np.arange(n), "stat": t0.astype(np.float32), "enh": e0.astype(np.float32), "t0": t0, "e0": e0}), "element_id long, stat float, enh float, t0 double, e0 double")
     out = None
     for measure, v, hi, lo in (("stat", "t0", "t_max", "t_min"), ("enh", "e0", "e_max", "e_min")):
         own = per.where(F.col("measure") == measure).withColumn("cnt", F.col("cnt") * (2 if half else 1))
@@ -191,24 +230,13 @@ def permutation_test(
 
 
 def permutation_test_by_blocks(rows: DataFrame, x, c, exchanges: np.ndarray, space=None, E: float = 0.5, H: float = 2.0, signs: bool = False, k: int = 100, shrink: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For data too large for every task: statistics by blocks of elements, one shuffle by permutation, then the reductions.
-
-    Returns ``obs(element_id, t)``, the maxima, and ``element_id, cnt, top`` of the enhanced statistic. Map-major and
-    element-major data meet in that one exchange; everything after it is aggregated where it stands.
-    """
-    from permafield.operators.maps import tfce
-    from permafield.sources.files import scratch
+    """The reductions of :func:`permafield.plans.blocks.test_by_blocks` before p-values: ``obs(element_id, t)``, the maxima, and
+    ``element_id, cnt, top`` of the enhanced statistic."""
+    from permafield.plans import blocks
 
-    stats = models.fit_glm(rows, x, c, **({"signs": exchanges} if signs else {"perms": exchanges}), shrink=shrink)
-    if space is not None:
-        stats = tfce(stats.select(F.col("perm_id").alias("map_id"), "element_id", F.col("t").cast("float").alias("value")), adjacency=space, E=E, H=H) if isinstance(space, tree.Mesh) else tfce(stats.select(F.col("perm_id").alias("map_id"), "element_id", F.col("t").cast("float").alias("value")), grid=space.shape, connectivity={3: 6, 9: 18, 13: 26}[len(space.offsets)], E=E, H=H)
-        stats = stats.select(F.col("map_id").alias("perm_id"), "element_id", F.col("enh").cast("double").alias("t"))
-    stats = scratch(stats, "stats")
-    obs = stats.where("perm_id = 0").select("element_id", "t")
-    null = inference.max_null(stats, obs)
-    cnt = inference.exceedances(stats, obs)
-    top = inference.tail_topk(stats, obs, k)
-    return obs, null, cnt.join(top, "element_id")
+    observed, null, per, _ = blocks.reductions(rows, x, c, exchanges, space, E, H, signs, k, shrink)
+    own = per.where("measure = 'enh'").join(observed.where("t0 <> 0").select("element_id"), "element_id")
+    return observed.select("element_id", F.col("e0").alias("t")), null.select("perm_id", F.col("e_max").alias("t_max"), F.col("e_min").alias("t_min")), own.select("element_id", "cnt", "top")
 
 
 __all__ = ["Outcome", "permutation_test", "permutation_test_by_blocks"]

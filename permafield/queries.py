@@ -811,3 +811,41 @@ def design_source(spark, d):
     effect = xty.join(c, ["year", "col"]).groupBy("year", "k").agg(r(F.sum(F.col("v") * F.col("w")), 2).alias("effect")).join(names, ["year", "k"]).drop("k")
     mask = mat5.mask_elements(load("SPM.xVol")).groupBy(year).agg(F.count("*").alias("n_elements"), F.max("element_id").alias("last_element"))
     return effect.join(mask, "year")
+
+
+# --- the large plan ---------------------------------------------------------------------------------------------------
+
+MONTHS, SHIFTS = 12, 30
+#: Revenue of parts by month; a cent times a power of two for each month keeps different groupings of months apart where sums are 0.
+PARTS_SQL = f"""py AS (SELECT CAST(p_partkey AS BIGINT) AS element_id, m.i AS obs_id, coalesce(v, 0) + 0.01 * (2 ** m.i) AS y FROM part CROSS JOIN (SELECT unnest(range({MONTHS})) AS i) m
+  LEFT JOIN (SELECT l_partkey, month(l_shipdate) - 1 AS i, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2) s ON s.l_partkey = p_partkey AND s.i = m.i),
+mk AS (SELECT p AS perm_id, i AS obs_id, md5('months:' || p || ':' || i) AS k FROM (SELECT unnest(range(1, {SHIFTS})) AS p), (SELECT unnest(range({MONTHS})) AS i)),
+mp AS (SELECT perm_id, row_number() OVER (PARTITION BY perm_id ORDER BY k, obs_id) - 1 AS obs_id, obs_id AS src FROM mk UNION ALL SELECT 0, i, i FROM (SELECT unnest(range({MONTHS})) AS i)),
+my AS (SELECT perm_id, element_id, mp.obs_id, y FROM mp JOIN py ON py.obs_id = src), ms AS ({two_group('my', 'perm_id, element_id')}), m0 AS (SELECT element_id, t AS t0, sign(t) AS s FROM ms WHERE perm_id = 0)"""
+
+
+def months_test(spark, d):
+    """The reductions of a test over all parts, by blocks of elements and waves of exchanges: revenue in odd against even months."""
+    from permafield.plans import blocks
+
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("element_id"), (F.month("l_shipdate") - 1).cast("long").alias("obs_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("element_id"))
+    rows_ = parts.join(models.element_rows(sums, MONTHS), "element_id", "left")
+    filled = rows_.select("element_id", F.transform(F.coalesce("y", F.array_repeat(F.lit(0.0), MONTHS)), lambda v, i: v + 0.01 * F.pow(F.lit(2.0), i)).alias("y"))
+    perms = np.tile(np.arange(MONTHS), (SHIFTS, 1))
+    for p in models.hashed_permutations(spark.range(MONTHS).withColumnRenamed("id", "obs_id"), SHIFTS, "months").where("perm_id > 0").collect():  # a fixed number
+        perms[p["perm_id"], p["obs_id"]] = p["src"]
+    x = np.array([[k % 2, 1 - k % 2] for k in range(MONTHS)], float)
+    return blocks.reductions(filled, x, [1, -1], perms, n_tail=5, wave=12, block=1024)
+
+
+@query(f"WITH {PARTS_SQL} SELECT element_id, CAST(count(*) FILTER (s * t >= s * t0) AS BIGINT) AS cnt, round(max(s * t), 4) AS top FROM ms JOIN m0 USING (element_id) GROUP BY 1")
+def blocks_counts(spark, d):
+    _, _, per, _ = months_test(spark, d)
+    return per.where("measure = 'stat'").select("element_id", "cnt", r(F.get("top", F.lit(0))).alias("top"))
+
+
+@query(f"WITH {PARTS_SQL} SELECT CAST(perm_id AS BIGINT) AS perm_id, round(max(t), 4) AS t_max, round(min(t), 4) AS t_min FROM ms GROUP BY 1")
+def blocks_maxima(spark, d):
+    _, null, _, _ = months_test(spark, d)
+    return null.select(F.col("perm_id").cast("long").alias("perm_id"), r("t_max").alias("t_max"), r("t_min").alias("t_min"))

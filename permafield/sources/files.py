@@ -34,7 +34,17 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to :func:`scratch_path` and read back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def drop_scratch(df: DataFrame | None) -> None:
+    """Remove what :func:`scratch` wrote for ``df``; nothing may read it any more."""
+    if path := getattr(df, "_written_at", None):
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def maps_from_array(spark: SparkSession, data, mesh: bool = False) -> DataFrame:
