@@ -82,18 +82,20 @@ class Mesh:
         return best
 
 
-def _positive_pass(values: np.ndarray, space, e: float, h: float) -> np.ndarray:
-    """The transform of the positive part of a float32 map; 0 elsewhere."""
-    out = np.zeros(len(values))
+def basins(values: np.ndarray, space):
+    """The basins of the positive part of a map, or None without one.
+
+    Returned are ``order`` (the positive elements by falling value, then id), their ``rank`` (of every element; others have the number of positive
+    ones), ``basin`` of each rank, the ranks of the ``peaks``, and the highest saddle ``a, b, low`` between each two basins, by rank.
+    """
     with np.errstate(invalid="ignore"):
         inside = np.flatnonzero(values > 0)
     n = len(inside)
     if not n:
-        return out
+        return None
     order = inside[np.argsort(-values[inside], kind="stable")]
     rank = np.full(len(values), n, np.int64)
     rank[order] = np.arange(n)
-    height = values[order].astype(float)
 
     top = space.lowest(rank)[order]
     while True:
@@ -123,13 +125,24 @@ def _positive_pass(values: np.ndarray, space, e: float, h: float) -> np.ndarray:
     first = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.empty(0, bool)
     pair, low = pair[first], low[first]
     by = np.argsort(low, kind="stable")
+    return order, rank, basin, peaks, pair[by] // k, pair[by] % k, low[by]
+
+
+def _positive_pass(values: np.ndarray, space, e: float, h: float) -> np.ndarray:
+    """The transform of the positive part of a float32 map; 0 elsewhere."""
+    out = np.zeros(len(values))
+    found = basins(values, space)
+    if found is None:
+        return out
+    order, _, basin, peaks, first_of, second_of, low = found
+    n, k, height = len(order), len(peaks), values[order].astype(float)
 
     # Branches: one for each basin, and one for each union; a branch starts at the rank of the element that made it.
     parent, start = list(range(k)), peaks.tolist()
     left, right = [-1] * k, [-1] * k
     root = list(range(k))
     branch = list(range(k))
-    for a, b, at in zip((pair[by] // k).tolist(), (pair[by] % k).tolist(), low[by].tolist()):
+    for a, b, at in zip(first_of.tolist(), second_of.tolist(), low.tolist()):
         while root[a] != a:
             root[a] = root[root[a]]
             a = root[a]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permafield.functions import design, linear, tails, tree
-from permafield.operators import inference, maps, models, results
+from permafield.operators import inference, maps, models, results, tiles
 from permafield.plans.permutation import permutation_test
 from permafield.sources import files, mat5
 
@@ -824,19 +824,23 @@ mp AS (SELECT perm_id, row_number() OVER (PARTITION BY perm_id ORDER BY k, obs_i
 my AS (SELECT perm_id, element_id, mp.obs_id, y FROM mp JOIN py ON py.obs_id = src), ms AS ({two_group('my', 'perm_id, element_id')}), m0 AS (SELECT element_id, t AS t0, sign(t) AS s FROM ms WHERE perm_id = 0)"""
 
 
+def months_rows(spark, d):
+    """``element_id, y``: revenue of every part in each month of the year."""
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("element_id"), (F.month("l_shipdate") - 1).cast("long").alias("obs_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("element_id"))
+    rows_ = parts.join(models.element_rows(sums, MONTHS), "element_id", "left")
+    return rows_.select("element_id", F.transform(F.coalesce("y", F.array_repeat(F.lit(0.0), MONTHS)), lambda v, i: v + 0.01 * F.pow(F.lit(2.0), i)).alias("y"))
+
+
 def months_test(spark, d):
     """The reductions of a test over all parts, by blocks of elements and waves of exchanges: revenue in odd against even months."""
     from permafield.plans import blocks
 
-    sums = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("element_id"), (F.month("l_shipdate") - 1).cast("long").alias("obs_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
-    parts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("element_id"))
-    rows_ = parts.join(models.element_rows(sums, MONTHS), "element_id", "left")
-    filled = rows_.select("element_id", F.transform(F.coalesce("y", F.array_repeat(F.lit(0.0), MONTHS)), lambda v, i: v + 0.01 * F.pow(F.lit(2.0), i)).alias("y"))
     perms = np.tile(np.arange(MONTHS), (SHIFTS, 1))
     for p in models.hashed_permutations(spark.range(MONTHS).withColumnRenamed("id", "obs_id"), SHIFTS, "months").where("perm_id > 0").collect():  # a fixed number
         perms[p["perm_id"], p["obs_id"]] = p["src"]
     x = np.array([[k % 2, 1 - k % 2] for k in range(MONTHS)], float)
-    return blocks.reductions(filled, x, [1, -1], perms, n_tail=5, wave=12, block=1024)
+    return blocks.reductions(months_rows(spark, d), x, [1, -1], perms, n_tail=5, wave=12, block=1024)
 
 
 @query(f"WITH {PARTS_SQL} SELECT element_id, CAST(count(*) FILTER (s * t >= s * t0) AS BIGINT) AS cnt, round(max(s * t), 4) AS top FROM ms JOIN m0 USING (element_id) GROUP BY 1")
@@ -849,3 +853,19 @@ def blocks_counts(spark, d):
 def blocks_maxima(spark, d):
     _, null, _, _ = months_test(spark, d)
     return null.select(F.col("perm_id").cast("long").alias("perm_id"), r("t_max").alias("t_max"), r("t_min").alias("t_min"))
+
+
+# --- maps by tiles ----------------------------------------------------------------------------------------------------
+
+ACROSS = 40
+PART_EDGES = "SELECT a.id AS src, b.id AS dst FROM xyz a, (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dx, dy), xyz b WHERE b.x = a.x + dx AND b.y = a.y + dy"
+PART_MAP = f"{PARTS_SQL}, tmap AS (SELECT element_id AS id, CAST(round(t0, 1) AS FLOAT) AS t FROM m0), xyz AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey % {ACROSS} AS x, p_partkey // {ACROSS} AS y FROM part)"
+
+
+@query(tfce_sql("tmap", PART_EDGES, PART_MAP) + ENH)
+def tfce_tiled(spark, d):
+    """The transform of a map of all parts, rows of 40 to a plane, cut into tiles of 16 by 16: no task holds the map."""
+    rows_, n = months_rows(spark, d), table(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+    x = np.array([[k % 2, 1 - k % 2] for k in range(MONTHS)], float)
+    t = models.fit_glm(rows_, x, [1, -1]).select(F.lit(0).alias("map_id"), "element_id", r("t", 1).cast("float").alias("value"))
+    return enhanced(tiles.tfce_tiled(t, (ACROSS, -(-n // ACROSS), 1), (16, 16, 1), 26))
