@@ -141,8 +141,8 @@ def place(names: list[bytes], columns: list[np.ndarray], split: list[bytes]) ->
 BLOCKS = "lang string, first binary, last binary, leaves long, trie binary"
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """``lang, first, last, leaves, trie``: the tries of all shards as sorted blocks of leaves. A shard is up to about SHARD words of one task."""
+def blocks(docs: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """``lang, first, last, leaves, trie``: the tries of all shards as sorted blocks of leaves. A shard is up to about ``shard`` words of one task."""
 
     def run(batches):
         known: dict[str, dict] = {}
@@ -152,11 +152,13 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def flush():
             for lang, ids in stream.items():
+                if len(known[lang]) == 1:
+                    continue  # no word
                 names, columns, n = shard_leaves(ids, known[lang])
                 rows = []
-                for a in range(0, len(n), BLOCK):
-                    part = [c[a : a + BLOCK] for c in columns]
-                    rows.append((lang, path(names, part, 0), path(names, part, -1), len(part[0]), dump(names, part, n[a : a + BLOCK])))
+                for a in range(0, len(n), block):
+                    part = [c[a : a + block] for c in columns]
+                    rows.append((lang, path(names, part, 0), path(names, part, -1), len(part[0]), dump(names, part, n[a : a + block])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["lang", "first", "last", "leaves", "trie"])
             known.clear()
@@ -172,7 +174,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 for part in words(text.as_py()):
                     ids.append(np.fromiter(map(number, part), np.uint32, len(part)))
                     held += len(part)
-                    if held >= SHARD and ids[-1].size and not ids[-1][-1]:  # between pieces
+                    if held >= shard and ids[-1].size and not ids[-1][-1]:  # between pieces
                         yield from flush()
                         held = 0
                         known[lang] = defaultdict(count().__next__)
@@ -180,7 +182,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                         stream[lang] = []
                         number, ids = known[lang].__getitem__, stream[lang]
                 ids.append(end)
-            if held >= SHARD:
+            if held >= shard:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -189,14 +191,14 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def ranges(written: DataFrame) -> dict[str, list[list[bytes]]]:
-    """For each language the paths, in order, at which it is cut into ranges of about RANGE leaves, by the headers of all blocks (each
+def ranges(written: DataFrame, reach: int = RANGE) -> dict[str, list[list[bytes]]]:
+    """For each language the paths, in order, at which it is cut into ranges of about ``reach`` leaves, by the headers of all blocks (each
     stands for as many leaves of its shard); of more than HEADERS, by a share of them. It sets the balance, not the result."""
     heads = written.select("lang", "first", "leaves")
     total, many = heads.agg(F.sum("leaves"), F.count("*")).first()
     if many > HEADERS:
         heads = heads.where(F.pmod(F.xxhash64("lang", "first"), F.lit(1 << 30)) < int(HEADERS / many * (1 << 30)))
-    share = max(RANGE, (total or 0) / MOST_RANGES) * min(1.0, HEADERS / max(1, many))
+    share = max(reach, (total or 0) / MOST_RANGES) * min(1.0, HEADERS / max(1, many))
     found: dict[str, list[tuple[list[bytes], int]]] = defaultdict(list)
     for r in heads.toLocalIterator():
         found[r["lang"]].append((bytes(r["first"]).split(b" "), r["leaves"]))
@@ -277,11 +279,11 @@ def merge(pieces: DataFrame, least: int) -> DataFrame:
     return pieces.groupBy("lang", "part").applyInArrow(run, COUNTS)
 
 
-def counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int = 30, shard: int = SHARD, block: int = BLOCK, reach: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """Two written tables: ``lang, phrase, depth, n, l1, l2, l3`` of all phrases of up to DEPTH words that occur ``least`` times or more, and
     ``lang, total`` of all words."""
-    written = common.materialise(blocks(docs), "tries", "none")
-    merged = common.materialise(merge(cut(written, ranges(written)), least), "phrases")
+    written = common.materialise(blocks(docs, shard, block), "tries", "none")
+    merged = common.materialise(merge(cut(written, ranges(written, reach)), least), "phrases")
     common.drop_written(written)
     # Nodes at the edges of ranges: at most 2 * DEPTH + 1 a range.
     edges = common.materialise(merged.where("edge >= depth").groupBy("lang", "phrase", "depth").agg(F.sum("n").alias("n")), "edges")
@@ -300,7 +302,7 @@ def counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     return found, totals
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, shard: int = SHARD, block: int = BLOCK, reach: int = RANGE) -> DataFrame:
     """The best ``top`` phrases of 2 to DEPTH words of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and those into words at spaces and tabs. A candidate occurs ``least``
@@ -310,13 +312,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
 
     Every task counts its words into tries (see :func:`blocks`), which are written as sorted blocks, cut into prefix ranges of about equal size
     by their headers, and merged range by range (:func:`merge`), so a very common word or pair is spread over ranges and no task holds
-    more than a range. Left parts come from the walk along the merged trie, right parts from the phrase without its first words. It is
+    more than a range (``shard``, ``block`` and ``reach`` set their sizes, not the result). Left parts come from the walk along the merged trie, right parts from the phrase without its first words. It is
     enough to look at phrases one word longer: what is within a longer candidate is within one of those, which is no rarer.
 
     Null texts are empty, a null ``lang`` is ``und``; ids are not read, so repeated rows count each; extra columns are not read; texts may be of
     any length (they are cut into words a part at a time); an empty table gives no rows.
     """
-    found, totals = counts(docs, least)
+    found, totals = counts(docs, least, shard, block, reach)
     candidates = found.where("depth >= 2")
     cuts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.expr(f"substring_index(phrase, ' ', {k} - depth)").alias("rest"), (F.col("depth") > k).alias("real")) for k in range(1, DEPTH))))
     parts = candidates.select("lang", "phrase", F.col("n").alias("a"), cuts.alias("c")).select("lang", "phrase", "a", "c.*").where("real")
