@@ -280,6 +280,42 @@ def _steps(levels: DataFrame, by: list[str] | None, col: str) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), own_min, F.element_at(back, F.col("_part")))).drop("_v", "_part")
 
 
+def statistic_p(df: DataFrame, kind: str, df1: float = 1.0, df2: float = 1.0, n: int = 1, stat: str = "t", name: str = "p") -> DataFrame:
+    """``name``: the upper-tail p of a statistic of ``kind`` z, t, F, X, R, R2 or P (already a p). A conjunction of ``-n`` statistics under the
+    global null (negative ``n``) takes it to the power ``-n``; under the conjunction null (positive ``n``) it is that of the least one."""
+    power = max(1, -n)
+    if kind == "P":
+        return df.withColumn(name, F.pow(F.col(stat).cast("double"), F.lit(power)))
+    return parametric_p(df, kind, df1, df2, stat, name).withColumn(name, F.pow(name, F.lit(power)))
+
+
+def fdr_at(points: DataFrame, image: DataFrame, by: list[str] | None = None, col: str = "p") -> DataFrame:
+    """``points`` with ``q``: the step-up value, among the p of ``image``, of the smallest one that is no less than the point's own; 1 where none is.
+
+    The image's p are taken once each with their numbers; points find theirs by a running look back over falling p, in ranges of p where
+    the image has many, so no window holds all. NaN and null p of points have no q; those of the image do not count.
+    """
+    by = by or []
+    levels = image.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by, col).agg(F.count("*").alias("_m"))
+    steps = _steps(levels, by or None, col).select(*by, F.col(col).cast("double").alias("_p"), F.col("q").alias("_q"))
+    many = steps.count()
+    pieces = max(1, min(1000, many // (WINDOW_ROWS // 2) + 1))
+    cuts = steps.stat.approxQuantile("_p", [k / pieces for k in range(1, pieces)], 0.001) if pieces > 1 else []
+    both = steps.withColumn("_point", F.lit(0)).unionByName(points.withColumn("_p", F.col(col).cast("double")).withColumn("_point", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("_part", sum((F.when(F.col("_p") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    falling = Window.partitionBy(*by, "_part").orderBy(F.desc("_p"), "_point").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last("_q", ignorenulls=True).over(falling))
+    # Steps do not fall with p: where a part has no level above the point, the least of the parts above is the next.
+    rest = both.groupBy(*by, "_part").agg(F.min("_q").alias("_least"))
+    rest = rest.withColumn("_next", F.min("_least").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(1, Window.unboundedFollowing))).drop("_least")
+    same = F.col("_part") == F.col("_rpart")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_r_{b}"))
+    rest = rest.select(*(F.col(b).alias(f"_r_{b}") for b in by), F.col("_part").alias("_rpart"), "_next")
+    q = F.when(F.col("_p").isNotNull() & ~F.isnan("_p"), F.coalesce("_own", "_next", F.lit(1.0)))
+    return found.where("_point = 1").join(F.broadcast(rest) if not by else rest, same, "left").select(*points.columns, q.alias("q"))
+
+
 def log10_signed(p: Column, stat: Column) -> Column:
     """``-log10(p)`` with the statistic's sign: 0 where it is 0, NaN where it is not a number."""
     return F.when(F.isnan(stat), float("nan")).when(stat == 0, 0.0).otherwise(-F.log10(p) * F.signum(stat))

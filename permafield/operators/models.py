@@ -84,6 +84,11 @@ def fit_glm(rows: DataFrame, x, c, perms=None, signs=None, shrink: float = 0.0,
     return rows.mapInPandas(run, f"perm_id int, element_id {kind}, t double")
 
 
+def residuals(rows: DataFrame, x) -> DataFrame:
+    """``element_id, y`` less what the design explains."""
+    return whiten(rows, linear.residual_maker(np.asarray(x, float)))
+
+
 def fit_voxel_covariate(rows: DataFrame, x, columns, c, perm=None) -> DataFrame:
     """``element_id, t`` with a covariate of each element's own: ``rows`` are ``element_id, y, c``."""
     x = np.asarray(x, float)

@@ -113,18 +113,134 @@ def sphere_labels(points: DataFrame, atlas: DataFrame, radius: float = 10.0) ->
     return inside.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("element_id"))).drop("n")
 
 
+def smoothness(residuals: DataFrame, grid: tuple[int, int, int], col: str = "y") -> DataFrame:
+    """``n, n_inner, resels, fwhm_x, fwhm_y, fwhm_z``: the smoothness of residual fields ``element_id, y`` (one value for each observation), in elements.
+
+    Residuals are scaled to a unit sum of squares at each element; differences to the next element on each axis estimate the covariance of
+    the fields' spatial derivatives, averaged over elements that have all these neighbours. A Gaussian field has a width at half maximum of
+    sqrt(4 ln 2 / variance of its derivative), and its resels follow from the determinant of the covariance. Axes of one element are left
+    out (their width is null); elements without residuals take no part. One equi-join for each axis.
+    """
+    step = {"x": 1, "y": grid[0], "z": grid[0] * grid[1]}
+    place = {"x": F.col("element_id") % grid[0], "y": F.floor(F.col("element_id") / grid[0]) % grid[1], "z": F.floor(F.col("element_id") / (grid[0] * grid[1]))}
+    axes = [a for a, g in zip("xyz", grid) if g > 1]
+    length = F.sqrt(F.aggregate(col, F.lit(0.0), lambda s, v: s + v * v))
+    u = residuals.select("element_id", F.col(col), length.alias("len")).where("len > 0").select("element_id", F.transform(col, lambda v: v / F.col("len")).alias("u"))
+    at = u
+    for a, g in zip("xyz", grid):
+        if a in axes:
+            near = u.select((F.col("element_id") - step[a]).alias("element_id"), F.col("u").alias(f"u{a}"))
+            at = at.where(place[a] < g - 1).join(near, "element_id")
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
+    change = lambda a: F.zip_with(f"u{a}", "u", lambda p, q: p - q)
+    products = [F.avg(F.aggregate(F.zip_with(change(a), change(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)).alias(a + b) for a, b in pairs]
+    one = F.lit(1).alias("one")
+    cov = at.agg(F.count("*").alias("n_inner"), *products).select("*", one).join(u.agg(F.count("*").alias("n")).select("*", one), "one")
+    m = lambda a, b: F.col(a + b if a + b in {p + q for p, q in pairs} else b + a)
+    det = {
+        1: lambda i: m(i, i),
+        2: lambda i, j: m(i, i) * m(j, j) - m(i, j) ** 2,
+        3: lambda i, j, k: m(i, i) * (m(j, j) * m(k, k) - m(j, k) ** 2) - m(i, j) * (m(i, j) * m(k, k) - m(j, k) * m(i, k)) + m(i, k) * (m(i, j) * m(j, k) - m(j, j) * m(i, k)),
+    }
+    four = 4 * np.log(2)
+    density = F.sqrt(F.greatest(det[len(axes)](*axes), F.lit(0.0)) / four ** len(axes)) if axes else F.lit(1.0)
+    width = [(F.sqrt(F.try_divide(F.lit(four), m(a, a))) if a in axes else F.lit(None).cast("double")).alias(f"fwhm_{a}") for a in "xyz"]
+    return cov.select("n", "n_inner", (F.col("n") * density).alias("resels"), *width)
+
+
+def ascents(values: DataFrame, edges: DataFrame, by: str = "map_id", col: str = "value") -> DataFrame:
+    """``values`` with ``peak``: the maximum that steepest ascent over ``edges(src, dst)`` ends in, so elements of one peak are a watershed basin.
+
+    Every element points to its highest neighbour among ``values`` if that is higher than itself (of equal values the smaller id is higher);
+    pointers are doubled, a join and a written table a round, until none moves: as many rounds as the logarithm of the longest ascent.
+    """
+    from permafield.sources.files import drop_scratch, scratch
+
+    near = values.select(F.col(by), F.col("element_id").alias("dst"), F.col(col).alias("other"))
+    own = values.select(by, F.col("element_id").alias("src"), F.col(col).alias("value"))
+    higher = (F.col("other") > F.col("value")) | ((F.col("other") == F.col("value")) & (F.col("dst") < F.col("src")))
+    best = own.join(edges.select("src", "dst"), "src").join(near, [by, "dst"]).where(higher).groupBy(by, "src").agg(F.max_by("dst", F.struct("other", -F.col("dst"))).alias("up"))
+    ways = scratch(own.select(by, "src").join(best, [by, "src"], "left").select(by, "src", F.coalesce("up", "src").alias("up")), "ascent")
+    while True:
+        next_ = ways.select(by, F.col("src").alias("up"), F.col("up").alias("further"))
+        new = scratch(ways.join(next_, [by, "up"]).select(by, "src", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), "ascent")
+        moved = new.where("moved").isEmpty()
+        drop_scratch(ways)
+        ways = new.drop("moved")
+        ways._written_at = new._written_at
+        if moved:
+            break
+    return values.join(ways.select(by, F.col("src").alias("element_id"), F.col("up").alias("peak")), [by, "element_id"])
+
+
+def mesh_peaks(values: DataFrame, edges: DataFrame, space, min_dist: float = 0.0, k: int = 0, by: str = "map_id", col: str = "value") -> DataFrame:
+    """Maxima on a mesh: ``by, cluster, cluster_id, size, rank, element_id, value, basin``, components by their highest peak, peaks by value.
+
+    ``basin`` counts the elements whose steepest ascent ends in the peak. A peak within ``min_dist`` along the mesh (edges have their ``length``, or
+    one) of a higher one that is listed is not listed. Components have ``k`` elements or more. Distances are spread from the peaks no
+    further than ``min_dist``; the choice is made in rounds, in each of which peaks that no open higher peak is near are listed.
+    """
+    from permafield.sources.files import scratch
+
+    found = clusters(values, space, k, by)
+    climbed = ascents(found.select(by, "element_id", col), edges, by, col)
+    basins = climbed.groupBy(by, F.col("peak").alias("element_id")).agg(F.count("*").alias("basin"))
+    peaks = scratch(found.select(by, "element_id", F.col(col).alias("value"), "cluster_id", "size").join(basins, [by, "element_id"]), "peaks")
+    if min_dist > 0:
+        weighted = edges.select("src", "dst", (F.col("length") if "length" in edges.columns else F.lit(1.0)).alias("length"))
+        near = scratch(peaks.select(by, F.col("element_id").alias("peak"), "element_id", F.lit(0.0).alias("dist")), "near")
+        while True:
+            inside = found.select(by, "element_id")
+            step = near.join(weighted, near["element_id"] == weighted["src"]).select(by, "peak", F.col("dst").alias("element_id"), (F.col("dist") + F.col("length")).alias("dist")).where(F.col("dist") <= min_dist)
+            all_ = near.unionByName(step.join(inside, [by, "element_id"], "left_semi").select(near.columns)).groupBy(by, "peak", "element_id").agg(F.min("dist").alias("dist"))
+            new = scratch(all_, "near")
+            before, after = (x.agg(F.count("*"), F.round(F.sum("dist"), 6)).first() for x in (near, new))
+            near = new
+            if before == after:
+                break
+        value = peaks.select(by, "element_id", "value")
+        rival = near.where("peak <> element_id").join(value, [by, "element_id"]).withColumnRenamed("value", "v").join(value.select(by, F.col("element_id").alias("peak"), F.col("value").alias("other")), [by, "peak"])
+        beats = (F.col("other") > F.col("v")) | ((F.col("other") == F.col("v")) & (F.col("peak") < F.col("element_id")))
+        rival = scratch(rival.where(beats).select(by, "element_id", "peak"), "rivals")  # a listed ``peak`` keeps ``element_id`` out
+        open_, listed = peaks.select(by, "element_id"), None
+        while not open_.isEmpty():
+            waits = rival.join(open_.select(by, F.col("element_id").alias("peak")), [by, "peak"], "left_semi").select(by, "element_id").distinct()
+            chosen = open_.join(waits, [by, "element_id"], "left_anti")
+            out = rival.join(chosen.select(by, F.col("element_id").alias("peak")), [by, "peak"], "left_semi").select(by, "element_id").distinct()
+            listed = chosen if listed is None else listed.unionByName(chosen)
+            listed = scratch(listed, "listed")
+            open_ = scratch(open_.join(listed, [by, "element_id"], "left_anti").join(out, [by, "element_id"], "left_anti"), "open")
+        peaks = peaks.join(listed, [by, "element_id"], "left_semi") if listed is not None else peaks
+    order = Window.partitionBy(by, "cluster_id").orderBy(F.desc("value"), "element_id")
+    ranked = peaks.withColumn("rank", F.row_number().over(order))
+    tops = ranked.where("rank = 1").select(by, "cluster_id", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("value"), "element_id")).alias("cluster"))
+    return ranked.join(tops, [by, "cluster_id"]).select(by, "cluster", "cluster_id", "size", "rank", "element_id", "value", "basin")
+
+
+def peaks_of_cluster(peaks: DataFrame, element_id: int, clustered: DataFrame, by: str = "map_id") -> DataFrame:
+    """The rows of :func:`mesh_peaks` or :func:`peak_table` of the clusters that hold an element."""
+    own = clustered.where(F.col("element_id") == element_id).select(by, "cluster_id").distinct()
+    return peaks.join(own, [by, "cluster_id"], "left_semi")
+
+
 def conjunction(maps: DataFrame, cols: list[str]) -> DataFrame:
     """``value``: the least of several statistics of each element."""
     return maps.withColumn("value", F.least(*cols))
 
 
-def table_with_footer(peaks: DataFrame, df: float, n_perm: int, voxel_mm: tuple[float, float, float], n_elements: int, p: str | None = None) -> tuple[pd.DataFrame, dict]:
-    """The peaks as a local table with equivalent Z, and what a printed table states below it. Peaks are bounded by clusters."""
+def table_with_footer(peaks: DataFrame, df: float, n_perm: int, voxel_mm: tuple[float, float, float], n_elements: int, p: str | None = None, smooth: DataFrame | None = None) -> tuple[pd.DataFrame, dict]:
+    """The peaks as a local table with equivalent Z, and what a printed table states below it. Peaks are bounded by clusters. ``smooth``: the row of
+    :func:`smoothness`, whose widths are stated in elements and mm."""
     rows = peaks.orderBy("cluster", "peak").toPandas()
     if p:
         rows["z"] = equivalent_z(rows[p].to_numpy(float))
     size = float(np.prod(voxel_mm))
-    return rows, {"df": df, "permutations": n_perm, "voxel_mm": tuple(voxel_mm), "voxel_mm3": size, "volume_mm3": size * n_elements, "elements": n_elements}
+    footer = {}
+    if smooth is not None:
+        w = smooth.first()
+        fwhm = tuple(w[f"fwhm_{a}"] for a in "xyz")
+        footer = {"fwhm": fwhm, "fwhm_mm": tuple(None if f is None else f * v for f, v in zip(fwhm, voxel_mm)), "resels": w["resels"]}
+    return rows, footer | {"df": df, "permutations": n_perm, "voxel_mm": tuple(voxel_mm), "voxel_mm3": size, "volume_mm3": size * n_elements, "elements": n_elements}
 
 
 def export_map(df: DataFrame, kind: str = "thresholded", by: str = "contrast_id", stat: str = "stat") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permafield.functions import design, linear, tails, tree
@@ -129,6 +129,7 @@ def two_group(source: str, key: str = "element_id", group: str = "obs_id % 2") -
 
 
 TMAP = f"{Y}, tmap AS (SELECT element_id AS id, CAST(round(t, 4) AS FLOAT) AS t FROM ({two_group('y')}))"
+XYZ_OF = "xyz AS (SELECT CAST(i AS BIGINT) AS id, i % 7 AS x, (i // 7) % 12 AS y, i // 84 AS z FROM (SELECT unnest(range(420)) AS i))"
 XYZ = "SELECT CAST(i AS BIGINT) AS id, i % 7 AS x, (i // 7) % 12 AS y, i // 84 AS z FROM (SELECT unnest(range(420)) AS i)"
 
 
@@ -205,30 +206,55 @@ def point_lookup(spark, d):
 
 def _neighbours(c: int):
     def f(spark, d):
-        return maps.grid_edges(spark, GRID, c)
+        filled = cells(spark, d).where("y > 300000").select(F.col("element_id").alias("src")).distinct()
+        return maps.grid_edges(spark, GRID, c).join(filled, "src", "left_semi")
 
     f.__name__ = f"grid_neighbors_{c}"
-    query(f"WITH xyz AS ({XYZ}) {edges_sql({6: 1, 18: 2, 26: 3}[c])}")(f)
+    query(f"WITH {Y}, xyz AS ({XYZ}) {edges_sql({6: 1, 18: 2, 26: 3}[c])} AND a.id IN (SELECT element_id FROM cells WHERE v > 300000)")(f)
 
 
 for _c in (6, 18, 26):
     _neighbours(_c)
 
 
-@query(f"WITH {LATTICE} SELECT src, dst FROM adj")
+WIDE = 20
+
+
+def vector_faces(spark: SparkSession, d: str) -> DataFrame:
+    """``face_id, v1, v2, v3`` of a mesh with a vertex for each vector: rows of WIDE vertices, two triangles for each square whose corners are all there."""
+    v = table(spark, d, "embeddings").where("vec_id is not null").select(F.col("vec_id").cast("long").alias("a")).distinct()
+    square = v.where(F.col("a") % WIDE < WIDE - 1)
+    for step in (1, WIDE, WIDE + 1):
+        square = square.join(v.select((F.col("a") - step).alias("a")), "a", "left_semi")
+    p, q, s_, t = F.col("a") + 1, F.col("a") + 2, F.col("a") + WIDE + 1, F.col("a") + WIDE + 2
+    face = F.explode(F.array(F.struct((2 * F.col("a")).alias("face_id"), p.alias("v1"), q.alias("v2"), s_.alias("v3")), F.struct((2 * F.col("a") + 1).alias("face_id"), q.alias("v1"), t.alias("v2"), s_.alias("v3"))))
+    return square.select(face.alias("f")).select("f.*")
+
+
+def vertices(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+
+VECTOR_MESH = f"""v AS (SELECT DISTINCT vec_id AS a FROM embeddings WHERE vec_id IS NOT NULL), sq AS (SELECT a FROM v WHERE a % {WIDE} < {WIDE - 1} AND a + 1 IN (SELECT a FROM v) AND a + {WIDE} IN (SELECT a FROM v) AND a + {WIDE + 1} IN (SELECT a FROM v)),
+faces AS (SELECT 2*a AS face_id, a+1 AS v1, a+2 AS v2, a+{WIDE + 1} AS v3 FROM sq UNION ALL SELECT 2*a+1, a+2, a+{WIDE + 2}, a+{WIDE + 1} FROM sq),
+adj AS (SELECT DISTINCT CAST(p - 1 AS BIGINT) AS src, CAST(q - 1 AS BIGINT) AS dst FROM (SELECT v1 p, v2 q FROM faces UNION ALL SELECT v2, v3 FROM faces UNION ALL SELECT v3, v1 FROM faces
+  UNION ALL SELECT v2, v1 FROM faces UNION ALL SELECT v3, v2 FROM faces UNION ALL SELECT v1, v3 FROM faces))"""
+
+
+@query(f"WITH {VECTOR_MESH} SELECT src, dst FROM adj")
 def mesh_adjacency(spark, d):
-    return maps.adjacency_from_faces(lattice(spark), 441)
+    return maps.adjacency_from_faces(vector_faces(spark, d), vertices(spark, d))
 
 
-@query(f"WITH {LATTICE} SELECT src AS element_id, count(*) AS degree FROM adj GROUP BY src")
+@query(f"WITH {VECTOR_MESH} SELECT src AS element_id, count(*) AS degree FROM adj GROUP BY src")
 def mesh_degree(spark, d):
-    return maps.csr(maps.adjacency_from_faces(lattice(spark), 441)).select("element_id", F.size("nbrs").cast("long").alias("degree"))
+    return maps.csr(maps.adjacency_from_faces(vector_faces(spark, d), vertices(spark, d))).select("element_id", F.size("nbrs").cast("long").alias("degree"))
 
 
-@query(f"WITH {LATTICE} SELECT count(*) FILTER (least(v1,v2,v3) < 1 OR greatest(v1,v2,v3) > 400) AS bad, count(*) AS n FROM faces")
+@query(f"WITH {VECTOR_MESH} SELECT count(*) FILTER (least(v1,v2,v3) < 1 OR greatest(v1,v2,v3) > (SELECT max(vec_id) FROM embeddings)) AS bad, count(*) AS n FROM faces")
 def face_range_check(spark, d):
-    bad = (F.least("v1", "v2", "v3") < 1) | (F.greatest("v1", "v2", "v3") > 400)
-    return lattice(spark).agg(F.count_if(bad).alias("bad"), F.count("*").alias("n"))
+    bad = (F.least("v1", "v2", "v3") < 1) | (F.greatest("v1", "v2", "v3") > vertices(spark, d) - 1)
+    return vector_faces(spark, d).agg(F.count_if(bad).alias("bad"), F.count("*").alias("n"))
 
 
 # --- the transform ----------------------------------------------------------------------------------------------------
@@ -369,9 +395,9 @@ def peak_table(spark, d):
     return results.peak_table(results.to_mm(maps.with_xyz(m, GRID), AFFINE).withColumn("value", F.col("value").cast("double")), 3, 8.0)
 
 
-@query(f"SELECT id AS element_id, CAST(90 - 3*x AS DOUBLE) AS x_mm, CAST(3*y - 126 AS DOUBLE) AS y_mm, CAST(3*z - 72 AS DOUBLE) AS z_mm FROM ({XYZ})")
+@query(f"WITH {Y}, xyz AS ({XYZ}) SELECT id AS element_id, CAST(90 - 3*x AS DOUBLE) AS x_mm, CAST(3*y - 126 AS DOUBLE) AS y_mm, CAST(3*z - 72 AS DOUBLE) AS z_mm FROM xyz WHERE id IN (SELECT element_id FROM cells WHERE v > 300000)")
 def voxel_to_mm(spark, d):
-    cell = maps.with_xyz(spark.range(N).withColumnRenamed("id", "element_id"), GRID)
+    cell = maps.with_xyz(cells(spark, d).where("y > 300000").select("element_id").distinct(), GRID)
     return results.to_mm(cell, AFFINE).select("element_id", "x_mm", "y_mm", "z_mm")
 
 
@@ -422,11 +448,13 @@ def glm_shrunk(spark, d):
     return models.fit_glm(rows(spark, d), GROUPS, [1, -1], shrink=1e-3).select("element_id", r("t").alias("t"))
 
 
-@query()
+@query(f"""WITH {Y}, c AS (SELECT element_id, y, sqrt(abs(y)) + 1 AS c FROM y), m AS (SELECT element_id, count(*) AS n, regr_sxx(y, c) AS sxx, regr_sxy(y, c) AS sxy, regr_syy(y, c) AS syy FROM c GROUP BY 1)
+SELECT element_id, round(CASE WHEN sxx < 1e-12 THEN 0.0 WHEN syy - sxy * sxy / sxx < 1e-9 * syy THEN sign(sxy) * 1e4 ELSE sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) END, 4) AS t FROM m""")
 def voxel_covariate_t(spark, d):
     x = np.column_stack([np.arange(OBS) % 3 + 1.0, np.ones(OBS)])
     own = rows(spark, d).withColumn("c", F.transform("y", lambda v: F.sqrt(F.abs(v)) + 1))
-    return models.fit_voxel_covariate(own, x, [0], [1, 0]).select("element_id", r("t").alias("t"))
+    t = models.fit_voxel_covariate(own, x, [0], [1, 0])
+    return t.select("element_id", r(F.greatest(F.lit(-1e4), F.least(F.lit(1e4), "t"))).alias("t"))  # an element of one value is fitted perfectly
 
 
 def _nuisance(method: str):
@@ -450,49 +478,67 @@ SIGN = f"{KEYS}, sgn AS (SELECT perm_id, obs_id, CASE WHEN k[1] < '8' THEN 1 ELS
 PSTAT = f"{Y}, {PERM}, py AS (SELECT perm_id, element_id, perm.obs_id, y FROM perm JOIN y ON y.obs_id = src), st AS (SELECT perm_id, element_id, round(t, 6) AS t FROM ({two_group('py', 'perm_id, element_id')})), ob AS (SELECT element_id, round(t, 6) AS t FROM ({two_group('y')}))"
 
 
-@query(f"WITH {PERM} SELECT perm_id, obs_id, src FROM perm")
+FEW = 6
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as observations, their nations as blocks, and whether they owe as labels."""
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("obs_id"), F.col("c_nationkey").cast("long").alias("block"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).cast("long").alias("label"))
+
+
+CUST = f"cust AS (SELECT CAST(c_custkey AS BIGINT) AS obs_id, CAST(c_nationkey AS BIGINT) AS block FROM customer), ck AS (SELECT p AS perm_id, obs_id, block, md5('s42:' || p || ':' || obs_id) AS k FROM cust, (SELECT unnest(range({FEW})) AS p))"
+CPERM = f"{CUST}, cp AS (SELECT a.perm_id, b.obs_id, a.obs_id AS src, b.block AS to_block, a.block AS from_block FROM (SELECT *, row_number() OVER (PARTITION BY perm_id ORDER BY k, obs_id) AS r FROM ck) a JOIN (SELECT *, row_number() OVER (ORDER BY obs_id) AS r FROM cust) b USING (r))"
+
+
+@query(f"WITH {CPERM} SELECT perm_id, obs_id, src FROM cp")
 def perm_draw(spark, d):
-    return big(models.hashed_permutations(obs(spark).select("obs_id"), PERMS), "perm_id")
+    return big(models.hashed_permutations(customers(spark, d).select("obs_id"), FEW), "perm_id")
 
 
-@query(f"WITH {KEYS}, a AS (SELECT *, obs_id % 5 AS b, row_number() OVER (PARTITION BY perm_id, obs_id % 5 ORDER BY k, obs_id) AS r FROM k) SELECT perm_id, b + 5 * (r - 1) AS obs_id, obs_id AS src FROM a")
+@query(f"WITH {CUST} SELECT a.perm_id, a.block, b.obs_id, a.obs_id AS src FROM (SELECT *, row_number() OVER (PARTITION BY perm_id, block ORDER BY k, obs_id) AS r FROM ck) a JOIN (SELECT *, row_number() OVER (PARTITION BY block ORDER BY obs_id) AS r FROM cust) b USING (block, r)")
 def perm_within_blocks(spark, d):
-    return big(models.hashed_permutations(obs(spark).select("obs_id", "block"), PERMS, within="block"), "perm_id")
+    p = models.hashed_permutations(customers(spark, d).select("obs_id", "block"), FEW, within="block")
+    return big(p.join(customers(spark, d).select("obs_id", "block"), "obs_id"), "perm_id").select("perm_id", "block", "obs_id", "src")
 
 
-@query(f"WITH {SIGN} SELECT perm_id, obs_id, CAST(s AS BIGINT) AS s FROM sgn")
+@query(f"WITH {CUST} SELECT perm_id, obs_id, CAST(CASE WHEN k[1] < '8' THEN 1 ELSE -1 END AS BIGINT) AS s FROM ck")
 def sign_draw(spark, d):
-    return big(models.hashed_signs(obs(spark).select("obs_id"), PERMS), "perm_id", "s")
+    return big(models.hashed_signs(customers(spark, d).select("obs_id"), FEW), "perm_id", "s")
 
 
-@query(f"WITH {PERM} SELECT perm_id, count(*) AS n_places, count(DISTINCT src) AS n_sources, count(*) FILTER (obs_id % 5 <> src % 5) AS moved_out FROM perm GROUP BY 1")
+@query(f"WITH {CPERM} SELECT perm_id, count(*) AS n_places, count(DISTINCT src) AS n_sources, count(*) FILTER (to_block <> from_block) AS moved_out FROM cp GROUP BY 1")
 def perm_verify(spark, d):
-    return big(models.violations(models.hashed_permutations(obs(spark).select("obs_id"), PERMS), obs(spark), "block"), "perm_id")
+    return big(models.violations(models.hashed_permutations(customers(spark, d).select("obs_id"), FEW), customers(spark, d), "block"), "perm_id")
+
 
+#: Each vector's first eight components, by rank, are a permutation of eight observations of two labels.
+RANKS = "rk AS (SELECT vec_id AS perm_id, i AS obs_id, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) - 1 AS src FROM (SELECT vec_id, unnest(embedding[1:8]) AS v, unnest(range(8)) AS i FROM embeddings))"
 
-@query(f"WITH {PERM} SELECT min(perm_id) AS perm_id, count(*) AS n_equal FROM (SELECT perm_id, string_agg(CAST(src % 2 AS VARCHAR), '' ORDER BY obs_id) AS sig FROM perm WHERE obs_id < 4 GROUP BY 1) GROUP BY sig")
+
+@query(f"WITH {RANKS}, g AS (SELECT perm_id, string_agg(CAST(src % 2 AS VARCHAR), ',' ORDER BY obs_id) AS sig FROM rk GROUP BY 1) SELECT CAST(min(perm_id) AS BIGINT) AS perm_id, count(*) AS n_equal FROM g GROUP BY sig")
 def perm_dedupe(spark, d):
-    few = models.hashed_permutations(obs(spark).select("obs_id"), PERMS).where("obs_id < 4")
-    return big(models.distinct_permutations(few, obs(spark)).select("perm_id", "n_equal"), "perm_id")
+    parts = table(spark, d, "embeddings").select(F.col("vec_id").alias("perm_id"), F.posexplode(F.slice("embedding", 1, 8)).alias("obs_id", "v"))
+    drawn = parts.select("perm_id", F.col("obs_id").cast("long").alias("obs_id"), (F.row_number().over(Window.partitionBy("perm_id").orderBy("v", "obs_id")) - 1).cast("long").alias("src"))
+    return big(models.distinct_permutations(drawn, spark.range(8).select(F.col("id").alias("obs_id"), (F.col("id") % 2).alias("label"))).select("perm_id", "n_equal"), "perm_id")
 
 
-@query()
+#: Two groups of a region's nations by the number of their suppliers; how many ways there are to draw the first group.
+@query("""WITH s AS (SELECT n_regionkey, n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL), m AS (SELECT n_regionkey, n_nationkey, n > avg(n) OVER (PARTITION BY n_regionkey) AS much FROM s),
+g AS (SELECT n_regionkey, count(*) AS n, count(*) FILTER (much) AS a FROM m GROUP BY 1)
+SELECT CAST(n_regionkey AS BIGINT) AS region, 'groups' AS kind, CAST(factorial(CAST(n AS INT)) // (factorial(CAST(a AS INT)) * factorial(CAST(n - a AS INT))) AS BIGINT) AS possible, n AS n_obs FROM g WHERE a BETWEEN 1 AND n - 1""")
 def perm_schemes(spark, d):
-    """Schemes of five classical designs with their number of exchanges (up to 2**62) and a drawn, verified set."""
-    g2 = np.kron(np.eye(2), np.ones((6, 1)))
+    """The scheme of a two-group design for each region, with its number of exchanges; a set of them is drawn and verified."""
+    s_ = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("n"))
+    much = s_.withColumn("much", F.col("n") > F.avg("n").over(Window.partitionBy("n_regionkey")))
     out = []
-    for name, dz, c in (
-        ("one_sample", design.Design(np.ones((12, 1)), [0]), [1]),
-        ("two_sample", design.Design(g2, [0, 1]), [1, -1]),
-        ("correlation", design.Design(np.column_stack([np.arange(8), np.ones(8)]), [], [0], [], [1]), [1, 0]),
-        ("anova", design.Design(np.kron(np.eye(3), np.ones((4, 1))), [0, 1, 2]), np.eye(3)),
-        ("paired", design.Design(np.column_stack([np.tile(np.eye(2), (6, 1)), np.kron(np.eye(6), np.ones((2, 1)))]), [0, 1], [], [2, 3, 4, 5, 6, 7]), [1, -1, *[0] * 6]),
-    ):
-        s = design.recognise(dz, c)
-        drawn = design.draw(s, 50, seed=1)
-        design.verify(drawn, s.blocks, s.kind == "sign_flip")
-        out.append((name, s.kind, s.n_cond, min(design.possible(s), 2**62), len(drawn), s.half))
-    return spark.createDataFrame(out, "design string, kind string, n_cond long, possible long, drawn long, half boolean")
+    for row in much.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "much"))).alias("o")).collect():  # a design for each region
+        g = np.array([[float(x["much"]), float(not x["much"])] for x in row["o"]])
+        if 0 < g[:, 0].sum() < len(g):
+            scheme = design.recognise(design.Design(g, [0, 1]), [1, -1])
+            drawn = design.draw(scheme, 50, seed=1)
+            design.verify(drawn, scheme.blocks, scheme.kind == "sign_flip")
+            out.append((row["n_regionkey"], scheme.kind, design.possible(scheme), len(g)))
+    return spark.createDataFrame(out, "region long, kind string, possible long, n_obs long")
 
 
 @query(f"WITH {PSTAT} SELECT perm_id, element_id, t FROM st")
@@ -869,3 +915,47 @@ def tfce_tiled(spark, d):
     x = np.array([[k % 2, 1 - k % 2] for k in range(MONTHS)], float)
     t = models.fit_glm(rows_, x, [1, -1]).select(F.lit(0).alias("map_id"), "element_id", r("t", 1).cast("float").alias("value"))
     return enhanced(tiles.tfce_tiled(t, (ACROSS, -(-n // ACROSS), 1), (16, 16, 1), 26))
+
+
+# --- step-up values of any statistic, smoothness, meshes --------------------------------------------------------------
+
+#: The normal upper tail by its series.
+TAIL_Z = "0.5 - 0.3989422804014327 * list_sum(list_transform(range(0, 45), lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END) * power(z, 2 * i + 1) / (power(2.0, i) * gamma(i + 1.0) * (2 * i + 1))))"
+
+
+@query(f"""WITH {DRAW}, im AS (SELECT 8 * t AS z FROM dr), ip AS (SELECT unnest([1, 2, 3]) AS n, {TAIL_Z} AS p FROM im), lv AS (SELECT n, p ** n AS p FROM ip), st AS (SELECT n, p, p * count(*) OVER (PARTITION BY n) / row_number() OVER (PARTITION BY n ORDER BY p) AS v FROM lv),
+q AS (SELECT n, p, least(1.0, min(v) OVER (PARTITION BY n ORDER BY p DESC)) AS q FROM st), pt AS (SELECT element_id, 8 * t0 + 0.05 AS z FROM fd), pp AS (SELECT element_id, unnest([1, 2, 3]) AS n, {TAIL_Z} AS p FROM pt), po AS (SELECT element_id, n, p ** n AS p FROM pp)
+SELECT element_id, CAST(n AS INT) AS n, round(coalesce((SELECT min(q.q) FROM q WHERE q.n = po.n AND q.p >= po.p), 1.0), 6) AS q FROM po""")
+def fdr_conjunction(spark, d):
+    """Step-up values of z under the global null of 1 to 3 statistics, looked up in the image of all draws."""
+    out = None
+    for n in (1, 2, 3):
+        image = inference.statistic_p(draws(spark, d).withColumn("z", 8 * F.col("t")), "z", n=-n, stat="z")
+        points = inference.statistic_p(first_draw(spark, d).where("t <> 0").withColumn("z", 8 * F.col("t") + 0.05), "z", n=-n, stat="z")
+        own = inference.fdr_at(points, image.select("p")).select("element_id", F.lit(n).alias("n"), r("q", 6).alias("q"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH {Y}, {XYZ_OF}, g AS (SELECT element_id, obs_id, y - avg(y) OVER (PARTITION BY element_id, obs_id % 2) AS e FROM y), l AS (SELECT element_id, sqrt(sum(e * e)) AS len FROM g GROUP BY 1), u AS (SELECT element_id AS id, obs_id, e / len AS u FROM g JOIN l USING (element_id) WHERE len > 0),
+dd AS (SELECT o.id, o.obs_id, a.u - o.u AS dx, b.u - o.u AS dy, c.u - o.u AS dz FROM u o JOIN xyz USING (id) JOIN u a ON a.id = o.id + 1 AND a.obs_id = o.obs_id AND xyz.x < 6 JOIN u b ON b.id = o.id + 7 AND b.obs_id = o.obs_id AND xyz.y < 11 JOIN u c ON c.id = o.id + 84 AND c.obs_id = o.obs_id AND xyz.z < 4),
+m AS (SELECT count(DISTINCT id) AS k, sum(dx*dx)/count(DISTINCT id) AS xx, sum(dy*dy)/count(DISTINCT id) AS yy, sum(dz*dz)/count(DISTINCT id) AS zz, sum(dx*dy)/count(DISTINCT id) AS xy, sum(dx*dz)/count(DISTINCT id) AS xz, sum(dy*dz)/count(DISTINCT id) AS yz FROM dd), w AS (SELECT 4 * ln(2.0) AS f)
+SELECT (SELECT count(DISTINCT id) FROM u) AS n, k AS n_inner, round((SELECT count(DISTINCT id) FROM u) * sqrt((xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz)) / f**3), 4) AS resels, round(sqrt(f/xx), 6) AS fwhm_x, round(sqrt(f/yy), 6) AS fwhm_y, round(sqrt(f/zz), 6) AS fwhm_z FROM m, w""")
+def smoothness(spark, d):
+    s_ = results.smoothness(models.residuals(rows(spark, d), GROUPS), GRID)
+    return s_.select("n", "n_inner", r("resels").alias("resels"), *(r(f"fwhm_{a}", 6).alias(f"fwhm_{a}") for a in "xyz"))
+
+
+@query(f"""WITH RECURSIVE {VECTOR_MESH}, val AS (SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE), 2) AS v FROM embeddings), on_ AS (SELECT * FROM val WHERE v > 0),
+up AS (SELECT o.id, n.id AS up FROM on_ o JOIN adj ON src = o.id JOIN on_ n ON n.id = dst WHERE n.v > o.v OR (n.v = o.v AND n.id < o.id) QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY n.v DESC, n.id) = 1),
+walk(id, pos) AS (SELECT id, id FROM on_ UNION SELECT walk.id, up.up FROM walk JOIN up ON up.id = walk.pos), ends AS (SELECT id, pos AS peak FROM walk WHERE pos NOT IN (SELECT id FROM up)), bas AS (SELECT peak, count(*) AS basin FROM ends GROUP BY 1),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM on_ UNION SELECT b.id, min(a.comp) FROM cc a JOIN adj ON src = a.id JOIN recurring.cc b ON b.id = dst WHERE a.comp < b.comp GROUP BY ALL), sz AS (SELECT comp, count(*) AS size FROM cc GROUP BY 1),
+pk AS (SELECT o.id, v, comp, size, basin, row_number() OVER (PARTITION BY comp ORDER BY v DESC, o.id) AS rank FROM bas JOIN on_ o ON o.id = peak JOIN cc ON cc.id = o.id JOIN sz USING (comp) WHERE size >= 3),
+top AS (SELECT comp, row_number() OVER (ORDER BY v DESC, id) AS cluster FROM pk WHERE rank = 1)
+SELECT cluster, CAST(comp AS BIGINT) AS cluster_id, size, rank, CAST(id AS BIGINT) AS element_id, v AS value, basin FROM pk JOIN top USING (comp)""")
+def mesh_peaks(spark, d):
+    """Maxima of a map on the mesh of all vectors, with their watershed basins, by component."""
+    edges = files.scratch(maps.adjacency_from_faces(vector_faces(spark, d), vertices(spark, d)), "edges")
+    value = table(spark, d, "embeddings").select(F.lit(0).alias("map_id"), F.col("vec_id").cast("long").alias("element_id"), F.round(F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(1)).cast("double"), 2).alias("value"))
+    found = results.mesh_peaks(value.where("value > 0"), edges, maps.neighbourhood(None, edges, 26, vertices(spark, d)), k=3)
+    return big(found.drop("map_id"), "cluster", "cluster_id", "size", "rank", "element_id", "basin")
