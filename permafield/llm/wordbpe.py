@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Words that one worker remembers: those met twice or more, and those met once lately (about 150 MB together).
-OFTEN, ONCE = 400_000, 300_000
+#: Characters of the longest word that a worker remembers, and about the bytes of the words met twice or more, and of those met once lately.
+LONGEST, OFTEN, ONCE = 64, 96_000_000, 64_000_000
 
 #: A full stop or comma before white space and not after a Latin letter or digit: the pattern may take it with its neighbours.
 _JOINED = re.compile(r"[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ].)[ \n]")
@@ -40,6 +40,8 @@ class WordEncoder:
         #: Of lowered Latin-1 words, and of other pieces.
         self.often: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.once: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        #: About the bytes of each.
+        self.held_often, self.held_once = [0, 0], [0, 0]
 
     def check(self) -> None:
         probe = ["it's a 'Test' of", "Große Öfen,", "ÇA-VA?", "12 34"]
@@ -92,20 +94,27 @@ class WordEncoder:
         often = self.often[not plain]
         got = list(map(often.get, words))
         if None in got:
-            once = self.once[not plain]
-            if len(often) > OFTEN:
+            once, kind = self.once[not plain], int(not plain)
+            if self.held_often[kind] > OFTEN:
                 often.clear()
-            if len(once) > ONCE:
+                self.held_often[kind] = 0
+            if self.held_once[kind] > ONCE:
                 once.clear()
-            new = []
+                self.held_once[kind] = 0
+            new, long, moved = [], [], {}
             for w in {w for w, g in zip(words, got) if g is None}:
                 if w in once:
-                    often[w] = once.pop(w)
+                    moved[w] = once.pop(w)
                 else:
-                    new.append(w)
+                    (new if len(w) <= LONGEST else long).append(w)
             tokenizer = self.bare if plain else self.tokenizer
-            once.update(zip(new, self.new(tokenizer, new)))
-            got = [g if g is not None else once[w] if w in once else often[w] for w, g in zip(words, got)]
+            found = dict(zip(new, self.new(tokenizer, new)))
+            for held, words_ in ((self.held_often, moved), (self.held_once, found)):
+                held[kind] += sum(200 + 2 * len(w) + len(g) for w, g in words_.items())
+            often.update(moved)
+            once.update(found)
+            found |= moved | dict(zip(long, self.new(tokenizer, long)))  # long words are not remembered
+            got = [g if g is not None else found[w] for w, g in zip(words, got)]
         return b"".join(got)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from permafield.llm import ann, bpe, common, packing, store, urls, warc
+from permafield.llm import ann, bpe, common, packing, store, urls, warc, wordbpe
 from permafield.llm.queries import URL_RULES, op9_warc
 from permafield.llm.wordbpe import WordEncoder
 
@@ -38,6 +38,21 @@ def test_words_with_the_mark_go_to_the_library_alone():
         assert enc.encode(t) == np.asarray(enc.whole(t), "<u4").tobytes()
 
 
+def test_remembered_words_are_short_and_bounded_in_bytes(monkeypatch):
+    enc, rng = WordEncoder(WORDS), random.Random(11)
+    blobs = ["".join(rng.choice("abcdef0123456789") for _ in range(200_000)) for _ in range(6)]
+    for blob in [*blobs, *blobs]:
+        text = f"a few words {blob} and more {blob[:70]}"
+        assert enc.encode(text) == np.asarray(enc.whole(text), "<u4").tobytes()
+    assert sum(len(w) + len(g) for d in (*enc.often, *enc.once) for w, g in d.items()) < 10_000
+    monkeypatch.setattr(wordbpe, "OFTEN", 20_000)
+    monkeypatch.setattr(wordbpe, "ONCE", 10_000)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("etaoinß") for _ in range(rng.randint(1, 5))) for _ in range(100))
+        assert enc.encode(text) == np.asarray(enc.whole(text), "<u4").tobytes()
+        assert max(sum(200 + 2 * len(w) + len(g) for w, g in d.items()) for d in (*enc.often, *enc.once)) < 60_000
+
+
 def test_packing_is_whole_and_tight(docs, empty):
     got = packing.pack(docs, WORDS, 256, 1, with_ids=True).collect()
     want = sorted(zlib.crc32(np.asarray(whole_ids(r["text"], 1), "<u4").tobytes()) for r in docs.collect())
