@@ -81,9 +81,9 @@ def merkle(leaves: list[bytes]) -> bytes:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Tokenise whole documents, append ``end_id`` to each, and write the store at ``path`` (a folder every executor reaches).
 
-    One pass over the texts; a task sends a chunk's bytes once, and only chunk bytes and recipes are shuffled, by
-    digest and by the document's own root, so a chunk or text that a third of all documents share is one row from each
-    task. Null texts are the end id alone; null ids come first; rows with equal ids are separate documents, in the order
+    One pass over the texts; a task sends a chunk's bytes once, and only chunk bytes and recipes are shuffled: chunks by
+    digest, so one that a third of all documents share is one row from each task, and recipes by root and id, so that equal documents are dealt
+    out evenly. Null texts are the end id alone; null ids come first; rows with equal ids are separate documents, in the order
     of their roots. Returns the manifest.
     """
     spark = docs.sparkSession
@@ -149,7 +149,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(chunked, row)
     # A pack's rows come sorted by kind and digest: equal chunks of several tasks are neighbours, and one is stored.
-    all_rows = materialise(rows.repartition("key").sortWithinPartitions(F.col("bytes").isNull(), "key").mapInArrow(stored, out), "store")
+    # Recipes are not looked up by their root, so they are dealt out by id too, and equal documents lie in many packs.
+    dealt = F.when(F.col("bytes").isNull(), F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key"))
+    all_rows = materialise(rows.repartition(dealt).sortWithinPartitions(F.col("bytes").isNull(), "key").mapInArrow(stored, out), "store")
     all_rows.where("file is not null").select(F.col("key").alias("digest"), "file", "offset", "n", "width").write.parquet(f"{path}/index")
 
     recipe = T.StructType([T.StructField("doc_id", kind), T.StructField("within", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()), T.StructField("part", T.IntegerType())])

@@ -88,6 +88,16 @@ def test_best_fit_takes_the_tightest_window():
         assert sum(sum(n for _, _, n in w) < 16 for w in found) <= 1
 
 
+def test_equal_documents_are_dealt_out(spark):
+    rows = [(k, "the same text in a third of all documents" if k % 3 == 0 else f"text {k} of its own") for k in range(3000)]
+    path = common.new_path(spark, "test")
+    store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), path, WORDS, 2)
+    held = sorted(r["n"] for r in spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n")).collect())
+    assert held[-1] < 3 * held[len(held) // 2]
+    got = {r["doc_id"]: r["ids_crc32"] for r in store.read(spark, path).collect()}
+    assert got == {k: zlib.crc32(np.asarray(whole_ids(t, 2), "<u4").tobytes()) for k, t in rows}
+
+
 def test_store_round_trip(spark, docs, empty):
     path = common.new_path(spark, "test")
     manifest = store.write(docs, path, WORDS, 2)
