@@ -463,7 +463,22 @@ def _nuisance(method: str):
         return big(models.fit_glm(rows(spark, d), x, [1, 0, 0], perms=hashed(spark, 5), method=method), "perm_id").select("perm_id", "element_id", r("t").alias("t"))
 
     f.__name__ = f"nuisance_{method}"
-    query()(f)
+    # t of x in y ~ x + 1 + z by sums of squares about the means, less what z explains; ``d`` holds y, x and z of each exchange.
+    perm = f"k AS (SELECT p AS perm_id, i AS obs_id, md5('s42:' || p || ':' || i) AS k FROM (SELECT unnest(range(5)) AS p), (SELECT unnest(range({OBS})) AS i)), perm AS (SELECT perm_id, row_number() OVER (PARTITION BY perm_id ORDER BY k, obs_id) - 1 AS obs_id, obs_id AS src FROM k)"
+    fixed = f"{Y}, {perm}, o AS (SELECT i AS obs_id, CAST(i % 2 AS DOUBLE) AS x, i / {OBS}.0 AS z FROM (SELECT unnest(range({OBS})) AS i)), fit AS (SELECT regr_slope(x, z) AS b, avg(x) AS mx, avg(z) AS mz FROM o), res AS (SELECT obs_id, x - mx - b * (z - mz) AS x FROM o, fit)"
+    data = {
+        # The data come from elsewhere; the design stays.
+        "freedman_lane": "SELECT p.perm_id, y.element_id, y.y, o.x, o.z FROM perm p JOIN o ON o.obs_id = p.obs_id JOIN y ON y.obs_id = p.src",
+        # The tested column comes from elsewhere, whole or without what z explains.
+        "ds": "SELECT p.perm_id, y.element_id, y.y, m.x, o.z FROM perm p JOIN o ON o.obs_id = p.obs_id JOIN o m ON m.obs_id = p.src JOIN y ON y.obs_id = p.obs_id",
+        "smith": "SELECT p.perm_id, y.element_id, y.y, m.x, o.z FROM perm p JOIN o ON o.obs_id = p.obs_id JOIN res m ON m.obs_id = p.src JOIN y ON y.obs_id = p.obs_id",
+        # Residuals of y ~ 1 + z come from elsewhere, and the fit stays.
+        "freedman_lane_exact": "SELECT p.perm_id, e.element_id, e.e + g.fit AS y, o.x, o.z FROM perm p JOIN o ON o.obs_id = p.obs_id JOIN ry e ON e.obs_id = p.src JOIN ry g ON g.obs_id = p.obs_id AND g.element_id = e.element_id",
+    }[method]
+    ry = ", yz AS (SELECT element_id, regr_slope(y, z) AS b, avg(y) AS my, avg(z) AS mz FROM y JOIN o USING (obs_id) GROUP BY 1), ry AS (SELECT y.element_id, y.obs_id, my + b * (z - mz) AS fit, y - my - b * (z - mz) AS e FROM y JOIN o USING (obs_id) JOIN yz USING (element_id))"
+    query(f"""WITH {fixed}{ry}, d AS ({data}), s AS (SELECT perm_id, element_id, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_sxx(x, y) AS yy, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS yz, regr_sxy(x, z) AS xz FROM d GROUP BY 1, 2),
+q AS (SELECT perm_id, element_id, yy, xx - xz * xz / zz AS xx, yy - yz * yz / zz AS yyz, xy - xz * yz / zz AS xy FROM s)
+SELECT perm_id, element_id, round(CASE WHEN yy = 0 THEN 0.0 ELSE xy / xx / sqrt((yyz - xy * xy / xx) / ({OBS} - 3) / xx) END, 4) AS t FROM q""")(f)
 
 
 for _m in ("ds", "smith", "freedman_lane", "freedman_lane_exact"):
