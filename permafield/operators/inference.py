@@ -257,7 +257,8 @@ def _steps(levels: DataFrame, by: list[str] | None, col: str) -> DataFrame:
             return out
         w = Window.partitionBy(*by)
         ranked = levels.withColumn("_v", F.col(col) * F.sum("_m").over(w) / F.sum("_m").over(w.orderBy(col)))
-        return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(w.orderBy(col).rowsBetween(0, Window.unboundedFollowing)))).drop("_v")
+        # Looking back over falling p is a running minimum; looking ahead over rising p would begin anew at every row.
+        return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(w.orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, 0)))).drop("_v")
     many, total = levels.agg(F.count("*"), F.coalesce(F.sum("_m"), F.lit(0))).first()
     parts = max(1, min(1000, many // (WINDOW_ROWS // 2) + 1))
     split = levels.stat.approxQuantile(col, [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
@@ -276,7 +277,7 @@ def _steps(levels: DataFrame, by: list[str] | None, col: str) -> DataFrame:
         after[k] = m
         m = min(m, least.get(k, float("inf")))
     back = F.create_map(*[F.lit(v) for k in after for v in (k, after[k])])
-    own_min = F.min("_v").over(w.rowsBetween(0, Window.unboundedFollowing))
+    own_min = F.min("_v").over(Window.partitionBy("_part").orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("q", F.least(F.lit(1.0), own_min, F.element_at(back, F.col("_part")))).drop("_v", "_part")
 
 
@@ -295,9 +296,11 @@ def fdr_at(points: DataFrame, image: DataFrame, by: list[str] | None = None, col
     The image's p are taken once each with their numbers; points find theirs by a running look back over falling p, in ranges of p where
     the image has many, so no window holds all. NaN and null p of points have no q; those of the image do not count.
     """
+    from permafield.sources.files import scratch
+
     by = by or []
-    levels = image.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by, col).agg(F.count("*").alias("_m"))
-    steps = _steps(levels, by or None, col).select(*by, F.col(col).cast("double").alias("_p"), F.col("q").alias("_q"))
+    levels = scratch(image.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by, col).agg(F.count("*").alias("_m")), "levels")
+    steps = scratch(_steps(levels, by or None, col).select(*by, F.col(col).cast("double").alias("_p"), F.col("q").alias("_q")), "steps")
     many = steps.count()
     pieces = max(1, min(1000, many // (WINDOW_ROWS // 2) + 1))
     cuts = steps.stat.approxQuantile("_p", [k / pieces for k in range(1, pieces)], 0.001) if pieces > 1 else []

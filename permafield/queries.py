@@ -738,7 +738,16 @@ def p_summary(spark, d):
     return p.agg(r(F.avg("p"), 6).alias("mean_p"), F.count_if(F.col("p") <= 0.05).alias("hits"))
 
 
-@query()
+#: The normal upper tail by its series.
+TAIL_Z = "0.5 - 0.3989422804014327 * list_sum(list_transform(range(0, 45), lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END) * power(z, 2 * i + 1) / (power(2.0, i) * gamma(i + 1.0) * (2 * i + 1))))"
+#: Student's t with 23 degrees of freedom in closed form; the equivalent z by halving.
+T_23 = "atan(abs(t) / sqrt(23.0))"
+SUM_23 = f"list_sum(list_transform(range(0, 11), lambda j: power(4.0, j) * gamma(j + 1.0) ** 2 / gamma(2.0 * j + 2) * power(cos({T_23}), 2 * j + 1)))"
+
+
+@query(f"""WITH RECURSIVE {Y}, ob AS (SELECT element_id, round(t, 6) AS t FROM ({two_group('y')})), a AS (SELECT element_id, t, 2 / pi() * ({T_23} + sin({T_23}) * {SUM_23}) AS a FROM ob), p AS (SELECT element_id, t, CASE WHEN t >= 0 THEN (1 - a) / 2 ELSE (1 + a) / 2 END AS p FROM a),
+h(element_id, p, lo, hi, k) AS (SELECT element_id, p, -6.0::DOUBLE, 6.0::DOUBLE, 0 FROM p UNION ALL SELECT element_id, p, CASE WHEN sf > p THEN z ELSE lo END, CASE WHEN sf > p THEN hi ELSE z END, k + 1 FROM (SELECT *, {TAIL_Z} AS sf FROM (SELECT *, (lo + hi) / 2 AS z FROM h WHERE k < 40)))
+SELECT element_id, round(t, 4) AS t, round(p.p, 6) AS p_param, round((lo + hi) / 2, 4) AS z FROM h JOIN p USING (element_id) WHERE k = 40""")
 def parametric_p(spark, d):
     t = inference.parametric_p(observed(spark, d), "t", df2=23.0)
     return inference.z_equivalent(t, "p_param").select("element_id", r("t").alias("t"), r("p_param", 6).alias("p_param"), r("z").alias("z"))
@@ -934,10 +943,6 @@ def tfce_tiled(spark, d):
 
 # --- step-up values of any statistic, smoothness, meshes --------------------------------------------------------------
 
-#: The normal upper tail by its series.
-TAIL_Z = "0.5 - 0.3989422804014327 * list_sum(list_transform(range(0, 45), lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END) * power(z, 2 * i + 1) / (power(2.0, i) * gamma(i + 1.0) * (2 * i + 1))))"
-
-
 @query(f"""WITH {DRAW}, im AS (SELECT 8 * t AS z FROM dr), ip AS (SELECT unnest([1, 2, 3]) AS n, {TAIL_Z} AS p FROM im), lv AS (SELECT n, p ** n AS p FROM ip), st AS (SELECT n, p, p * count(*) OVER (PARTITION BY n) / row_number() OVER (PARTITION BY n ORDER BY p) AS v FROM lv),
 q AS (SELECT n, p, least(1.0, min(v) OVER (PARTITION BY n ORDER BY p DESC)) AS q FROM st), pt AS (SELECT element_id, 8 * t0 + 0.05 AS z FROM fd), pp AS (SELECT element_id, unnest([1, 2, 3]) AS n, {TAIL_Z} AS p FROM pt), po AS (SELECT element_id, n, p ** n AS p FROM pp)
 SELECT element_id, CAST(n AS INT) AS n, round(coalesce((SELECT min(q.q) FROM q WHERE q.n = po.n AND q.p >= po.p), 1.0), 6) AS q FROM po""")
