@@ -43,14 +43,15 @@ def _shape(segment: Column) -> Column:
     return F.when(tail != "", F.concat(star, F.lit("."), F.lower(tail))).otherwise(star)
 
 
-def templates(paths: DataFrame, depth: int = 4, few: int = 8, share: float = 0.05, least: int = 5, z: float = 1.96) -> DataFrame:
+def templates(paths: DataFrame, depth: int | None = None, few: int = 8, share: float = 0.05, least: int = 5, z: float = 1.96) -> DataFrame:
     """``host, path, n, bad, good`` rows with ``template`` added: the tree is grown level by level for every host.
 
     A child of a node stays literal if it is no number and either the node has at most ``few`` children or the child holds at
     least ``share`` of the node's urls; the others become one wildcard. So that a small section labelled otherwise than its siblings is
     not averaged with them, a child also stays literal if it holds at least ``least`` examples and ``share`` of the node's blocked
     or allowed ones, and its blocked share is more than ``z`` standard errors from the node's. A node has at most ``few + 3 / share``
-    literal children. Segments beyond ``depth`` become ``**``.
+    literal children. With a ``depth``, segments beyond it become ``**``; without one the tree has as many levels as two paths of a host share,
+    as a node of one path takes the rest of it at once (each segment would be the only child of its node).
     """
     unit = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
     most = unit.agg(F.max(F.size("segments"))).first()[0] or 0
@@ -59,18 +60,30 @@ def templates(paths: DataFrame, depth: int = 4, few: int = 8, share: float = 0.0
     apart = (examples >= least) & (F.abs(F.try_divide("c_bad", examples) - p) > z * F.sqrt(F.try_divide(p * (1 - p), examples)))
     held_much = lambda x: (F.col(f"c_{x}") > 0) & (F.col(f"c_{x}") >= share * F.col(f"all_{x}"))
     large = (F.col("k") <= few) | held_much("n") | (apart & (held_much("bad") | held_much("good")))
-    for level in range(min(depth, most)):
+    number = lambda segment: segment.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")
+    level, unit = 0, unit.withColumn("deep", F.lit(False) if depth is None else F.size("segments") > depth)
+    while level < (most if depth is None else min(depth, most)):
         child = F.get("segments", F.lit(level))
         here = unit.where(child.isNotNull()).withColumn("child", child)
-        children = here.where(~child.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")).groupBy("host", "template", "child").agg(*[F.sum(x).alias(f"c_{x}") for x in held])
+        children = here.where(~number(child)).groupBy("host", "template", "child").agg(*[F.sum(x).alias(f"c_{x}") for x in held])
         nodes = here.groupBy("host", "template").agg(*[F.sum(x).alias(f"all_{x}") for x in held])
         wide = children.groupBy("host", "template").agg(F.count("*").alias("k"))
         literal = children.join(wide, ["host", "template"]).join(nodes, ["host", "template"]).where(large).select("host", "template", "child", F.lit(True).alias("literal"))
         grown = unit.withColumn("child", child).join(literal, ["host", "template", "child"], "left")
         step = F.when(F.col("literal"), F.col("child")).otherwise(_shape(F.col("child")))
-        unit = materialise(grown.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("child", "literal"), "templates")
-    deep = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return unit.withColumn("template", deep).drop("segments")
+        grown = grown.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
+        level += 1
+        if depth is None:
+            going = F.size("segments") > level
+            alone = grown.where(going).groupBy("host", "template").agg(F.count("*").alias("paths")).where("paths = 1").select("host", "template", F.lit(True).alias("alone"))
+            rest = F.transform(F.slice("segments", level + 1, F.greatest(F.lit(1), F.size("segments"))), lambda x: F.when(number(x), _shape(x)).otherwise(x))
+            grown = grown.join(alone, ["host", "template"], "left").withColumn("alone", going & F.coalesce("alone", F.lit(False)))
+            grown = grown.withColumn("template", F.when(F.col("alone"), F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("template")))
+            grown = grown.withColumn("segments", F.when(F.col("alone"), F.array().cast("array<string>")).otherwise(F.col("segments"))).drop("alone")
+        unit = materialise(grown.drop("child", "literal"), "templates")
+        if depth is None:
+            most = unit.agg(F.max(F.size("segments"))).first()[0] or 0
+    return unit.withColumn("template", F.when(F.col("deep"), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments", "deep")
 
 
 def merged(leaves: DataFrame, prior_weight: float, z: float) -> DataFrame:
@@ -90,7 +103,7 @@ def merged(leaves: DataFrame, prior_weight: float, z: float) -> DataFrame:
     return out.unionByName(alone)
 
 
-def judge(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, prior_weight: float = 4.0, z: float = 1.96, block_at: float = 0.5) -> DataFrame:
+def judge(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, prior_weight: float = 4.0, z: float = 1.96, block_at: float = 0.5, depth: int | None = None) -> DataFrame:
     """Judge every url: ``id, host, path, rule, verdict, template, purity``.
 
     Urls with a rule take its verdict, and are the labelled examples unless ``label`` (a column of 'allow', 'block' or null)
@@ -100,7 +113,8 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id"
 
     All counts are over distinct (host, path) pairs with partial sums, so one host with a third of the urls is as many rows as
     it has paths, spread by path; only its literal templates, bounded by ``share`` and ``few`` at a node, meet in one window.
-    Null urls: empty host and path, judged by the share of all. Null and repeated ids: a row each.
+    Null urls: empty host and path, judged by the share of all. Null and repeated ids: a row each. Urls may be of any length, other
+    columns are not read, so their names cannot clash, and an empty table gives no rows. ``depth``: see :func:`templates`.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), (label if label is not None else F.lit(None).cast("string")).alias("given"))
@@ -109,7 +123,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id"
     example = F.col("given") if label is not None else F.col("ruled")
     parsed = materialise(parsed.withColumn("example", example).drop("given"), "urls")
     pairs = parsed.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("example") == "block").alias("bad"), F.count_if(F.col("example") == "allow").alias("good"))
-    pairs = materialise(templates(materialise(pairs, "paths")), "tree")
+    pairs = materialise(templates(materialise(pairs, "paths"), depth), "tree")
     leaves = pairs.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
     branches = materialise(merged(leaves, prior_weight, z), "branches")
     total = branches.agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).first()

@@ -287,3 +287,60 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == components({x for e in real for x in e}, real)
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_url_sections_part_at_any_depth(spark, empty):
+    """Sections that part below the fourth level are judged apart; one path far deeper than all others costs no levels."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"http://h.org/a/b/c/d/{'good' if k % 2 else 'bad'}/x{k}") for k in range(400)]
+    rows += [(400, "http://h.org/" + "/".join(f"s{k}" for k in range(3000))), (401, "http://h.org/a/b/c/d/good/7/8.html"), (402, None), (403, "http://h.org")]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    label = F.when((F.col("page_id") < 400) & (F.floor(F.col("page_id") / 2) % 2 == 0), F.when(F.col("page_id") % 2 == 1, "allow").otherwise("block"))
+    got = {r["id"]: r for r in urls.judge(table, [], label=label).collect()}
+    assert all(got[k]["verdict"] == ("allow" if k % 2 else "block") for k in range(400)) and len(got) == 404
+    assert got[400]["template"].count("/") == 3000 and got[401]["template"] == "/a/b/c/d/good/{n}/{n}.html"
+    cut = {r["id"]: r["template"] for r in urls.judge(table, [], label=label, depth=4).collect()}
+    assert cut[0] == "/a/b/c/d/**" and cut[403] == ""
+    assert urls.judge(empty.select("doc_id", F.col("text").alias("url")), [], "doc_id").count() == 0
+
+
+def test_templates_are_those_of_a_tree_grown_by_hand(spark):
+    """Random trees against the rules of ``templates``, node by node."""
+    import re
+
+    number = re.compile(r"^[0-9]+(\.[A-Za-z0-9]+)?$")
+
+    def shape(x):
+        tail = re.search(r"\.([A-Za-z]{2,5})$", x)
+        return ("{n}" if number.match(x) else "*") + ("." + tail[1].lower() if tail else "")
+
+    def grow(rows, at, out, template, few=3, share=0.2, least=3, z=1.96):
+        groups = defaultdict(list)
+        for r in rows:
+            if len(r[0]) > at:
+                groups[r[0][at]].append(r)
+            else:
+                out[r[0]] = template
+        total = [sum(r[i] for g in groups.values() for r in g) for i in (1, 2, 3)]
+        literal = [c for c in groups if not number.match(c)]
+        nodes = defaultdict(list)
+        for c, g in groups.items():
+            n, bad, good = (sum(r[i] for r in g) for i in (1, 2, 3))
+            stays = c in literal and (len(literal) <= few or n >= share * total[0])
+            if c in literal and not stays and bad + good >= least:
+                p = total[1] / (total[1] + total[2])
+                stays = abs(bad / (bad + good) - p) > z * (p * (1 - p) / (bad + good)) ** 0.5 and (0 < bad >= share * total[1] or 0 < good >= share * total[2])
+            nodes[f"{template}/{c if stays else shape(c)}"] += g
+        for t, g in nodes.items():
+            grow(g, at + 1, out, t, few, share, least, z)
+
+    rng = random.Random(12)
+    for _ in range(3):
+        paths = {tuple(rng.choice(["a", "b", "c", "d", "e", "f", "12", "7.html", "x.html", "q"]) for _ in range(rng.randint(0, 6))) for _ in range(150)}
+        rows = [(p, rng.randint(1, 9), rng.choice([0, 0, 2, 5]), rng.choice([0, 0, 3])) for p in sorted(paths)]
+        want: dict = {}
+        grow(rows, 0, want, "")
+        frame = spark.createDataFrame([("h", "/" + "/".join(p), n, b, g) for p, n, b, g in rows], "host string, path string, n long, bad long, good long")
+        got = {r["path"]: r["template"] for r in urls.templates(frame, few=3, share=0.2, least=3).collect()}
+        assert got == {"/" + "/".join(p): t for p, t in want.items()}
