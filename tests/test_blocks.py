@@ -62,6 +62,28 @@ def test_blocks_and_waves_equal_the_small_plan(spark, x, c, exchanges, options):
     assert waves.info["waves"] == 3
 
 
+def test_draws_of_the_same_sum_count_as_equal(spark):
+    """Sums in whole cents say which draws reach the observed one; t in doubles differs in its last bits where they are equal."""
+    rng, n, m = np.random.default_rng(8), 12, 300
+    perms = np.array([np.arange(n), *(rng.permutation(n) for _ in range(29))])
+    odd = np.arange(n) % 2 == 1
+    cents = rng.integers(10**6, 10**7, (m, n))
+    for e in range(m):  # one value makes the sum of one draw's group that of the observed group
+        drawn = perms[1 + e % 29][odd]
+        own = np.setdiff1d(drawn, np.flatnonzero(odd))
+        cents[e, own[:1]] += cents[e, odd].sum() - cents[e, drawn].sum()
+    sums = np.stack([cents[:, p[odd]].sum(1) for p in perms], 1)
+    sign = np.sign(2 * sums[:, :1] - cents.sum(1, keepdims=True))
+    right = (sign * sums >= sign * sums[:, :1]).sum(1)
+    x = np.column_stack([odd, ~odd]).astype(float)
+    _, _, per, _ = blocks.reductions(frame(spark, cents / 100), x, [1, -1], perms, n_tail=5, wave=12, block=64)
+    found = per.where("measure = 'stat'").orderBy("element_id").toPandas()["cnt"].to_numpy()
+    assert (found == right).all()
+    assert (sums[:, 1:] == sums[:, :1]).sum() >= m
+    small = permutation_test(frame(spark, cents / 100), x, [1, -1], perms, n_tail=5).result.where("measure = 'stat'").orderBy("element_id").toPandas()
+    assert (small["cnt"].to_numpy() == right).all()
+
+
 def test_waves_stop_where_the_small_plan_stops(spark):
     y = RNG.normal(size=(40, N_OBS))
     signs = np.array([np.ones(N_OBS), *(RNG.choice([-1, 1], N_OBS) for _ in range(799))])
