@@ -23,7 +23,7 @@ def by_sql(folder: str, name: str, *tables: str) -> list[tuple]:
         return sorted(c.execute(driver.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name, n", [("grid_neighbors_6", 2162)])
+@pytest.mark.parametrize("name, n", [("grid_neighbors_6", 2162), ("voxel_to_mm", 420)])
 def test_cells_with_little_or_nothing_are_in_the_result(spark, sparse, name, n):
     found = sorted(map(tuple, driver.queries()[name](spark, sparse).collect()))
     assert len(found) == n and found == by_sql(sparse, name, "orders", "customer")
