@@ -180,16 +180,21 @@ def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def allowed(pairs: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
+    """Those of ``a, b`` whose sizes and parity maps allow a link."""
+    return pairs.join(_printed(printed, "a", "x"), "a").join(_printed(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
+
+
+def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, found: DataFrame | None = None) -> DataFrame:
     """``node, component`` of all links between members of one bucket: ``shared`` holds ``key, node, pivot`` (the key's smallest node),
-    ``printed`` each node's size ``n`` and parity ``map``, and ``verify`` keeps the linked of ``a, b`` pairs.
+    ``printed`` each node's size ``n`` and parity ``map``, and ``verify`` keeps the linked of ``a, b`` pairs. ``found``: components of
+    links that are known, written; they are part of the result.
 
     Every member meets its bucket's pivot, then in further rounds PIVOTS others, from the bucket's largest component, as long as
     that finds links: what is in one component by then needs no comparison. Members of many and large buckets, which most others
     are like, are the likelier pivots. What stays in several components is compared across them in full, so no link is lost and
     no group of copies is expanded into all its pairs: pairs whose maps forbid a link are never written.
     """
-    allowed = lambda pairs: pairs.join(_printed(printed, "a", "x"), "a").join(_printed(printed, "b", "y"), "b").where(may_link("x", "y", percent)).select("a", "b")
     inner = shared.where("node <> pivot")
 
     def linked(pairs: DataFrame, found: DataFrame | None) -> tuple[DataFrame, int]:
@@ -208,7 +213,7 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
         release(printed.sparkSession)
         return new, many
 
-    found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), None)
+    found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), printed, percent), found)
     many_held = shared.groupBy("key").agg(F.count("*").alias("held"))
     weights = materialise(shared.select("key", "node").join(many_held, "key").groupBy("node").agg(F.sum("held").alias("weight")), "weights")
     inner = inner.select("key", "node").join(weights, "node")
@@ -220,7 +225,7 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
             of = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.array_distinct(F.array(*chosen)).alias("ps"))
             best = of.groupBy("key").agg(F.max_by(F.struct("ps", "component"), F.struct("m", "component")).alias("best"))
             met = rest.join(best, "key").where("component <> best.component").select("node", F.explode("best.ps").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-            found, many = linked(allowed(met.distinct()), found)
+            found, many = linked(allowed(met.distinct(), printed, percent), found)
             if many * SLOW > left:
                 drop_written(rest)
                 continue

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise
+from permafield.llm.common import WORDS, allowed, bucket_components, connected_components, drop_written, free_name, materialise, release
 
 #: Hash collections, sub-keys in each, and minima in a sub-key. Tables are keyed by pairs of sub-keys of two different
 #: collections: 150 tables of 6 minima each from 60 minima in all. At a similarity of 0.8 a pair of documents meets in no table
@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     ``doc_id, n_shingles, component_id`` (the smallest id reachable), ``kept`` (the document is that one).
 
     Equal sets are one class from the start. Sub-keys that only one class has are left out before the tables are made of pairs
-    of the others: a table's key that two classes share is a pair of shared sub-keys, so that loses none. Within the tables'
+    of the others: a table's key that two classes share is a pair of shared sub-keys, so that loses none. So are, once each class
+    has met the smallest class of each of its sub-keys, those whose classes are one component by then. Within the tables'
     buckets links are found as :func:`~permafield.llm.common.bucket_components` says, and verified on the full sets.
 
     Null texts and texts without words: no shingles, linked with nothing. Null ids: in no component, kept. Rows with one id
@@ -197,21 +198,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = known.groupBy("n_shingles", "fa", "fb").agg(F.min("doc_id").alias("node"), F.first("subkeys").alias("k"), F.first("map").alias("map"))
     classes = materialise(classes, "classes")
     each = classes.select("node", F.posexplode("k").alias("i", "k")).repartition("i", "k")
-    several = each.groupBy("i", "k").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("i", "k")
+    several = each.groupBy("i", "k").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").select("i", "k", "pivot")
     # The hash table is of the shared sub-keys' side, a row for each, so the many others need no sort.
-    alive = each.join(several.hint("shuffle_hash"), ["i", "k"]).groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias("ks"))
+    alive = materialise(each.join(several.hint("shuffle_hash"), ["i", "k"]), "alive")
+    prints = classes.select("node", F.col("n_shingles").alias("n"), "map")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        made = materialise(_sets(texts, n).dropDuplicates(["node"]), "sets")
+        release(docs.sparkSession)
+        return made
+
+    # Each class meets the first of its sub-keys' others, so that large groups of near copies are one component before tables are made.
+    pairs = materialise(allowed(alive.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), prints, percent), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = sets_of(met)
+    links = materialise(_verified(pairs, first, percent), "links")
+    found = connected_components(links)
+    # Sub-keys of one component are left out: every table made with them lies within it.
+    labelled = alive.join(found, "node", "left").select("node", "i", "k", F.coalesce("component", "node").alias("component"))
+    apart = labelled.groupBy("i", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("i", "k")
+    kept = alive.select("node", "i", "k").join(apart.hint("shuffle_hash"), ["i", "k"]).groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias("ks"))
     side = lambda x: F.floor(x["i"] / SIDE)
     tables = F.flatten(F.transform("ks", lambda x: F.transform(F.filter("ks", lambda y: (x["i"] < y["i"]) & (side(x) != side(y))), lambda y: F.xxhash64(x["i"], y["i"], x["k"], y["k"]))))
-    keyed = alive.select("node", F.explode(tables).alias("key")).repartition("key")
+    keyed = kept.select("node", F.explode(tables).alias("key")).repartition("key")
     many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
     shared = materialise(keyed.join(many.select("key", "pivot").hint("shuffle_hash"), "key"), "shared")  # members of buckets with two classes or more
 
-    involved = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(involved, "doc_id", "left_semi")
-    sets = materialise(_sets(texts, n).dropDuplicates(["node"]), "sets")
-    printed = materialise(classes.select("node", F.col("n_shingles").alias("n"), "map").join(involved, F.col("node") == F.col("doc_id"), "left_semi"), "prints")
-    final = bucket_components(shared, printed, lambda pairs: _verified(pairs, sets, percent), percent)
-    for written in (sets, shared, printed):
+    involved = shared.select("node").distinct()
+    more = sets_of(involved.join(met, "node", "left_anti"))
+    sets = first.unionByName(more)
+    for written in (pairs, links, alive):
+        drop_written(written)
+    printed = materialise(prints.join(involved, "node", "left_semi"), "prints")
+    final = bucket_components(shared, printed, lambda pairs: _verified(pairs, sets, percent), percent, found)
+    for written in (first, more, shared, printed):
         drop_written(written)
 
     of_class = classes.select("n_shingles", "fa", "fb", "node").join(final, "node", "left").select("n_shingles", "fa", "fb", F.coalesce("component", "node").alias("component_id"))

@@ -16,6 +16,8 @@ from permafield.llm.neardup import near_duplicates
 SYMBOLS, RUN = b"#*$%&|<>", 8
 #: Similarity in percent, and words of a shingle, from which two texts count as copies of one document.
 COPY, COPY_WORDS = 70, 5
+#: Lines shared by many documents that are sent to every task at most.
+MOST_OFTEN = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _COEFFICIENTS = np.random.Generator(np.random.Philox(7)).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,8 +144,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_do
         return measured, lines, often.select("host", "line")
     # Only texts that hold such a line can change its count by being copies of each other.
     held = materialise(lines.join(often, ["host", "line"]).select("host", "line", "limit", F.xxhash64("key").alias("node")), "held")
-    texts = docs.select(F.xxhash64(content_key(host_col, text_col)).alias("node"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(held.select("node").distinct(), "node", "left_semi"), "held-texts")
+    texts = materialise(_holders(docs, often, held, text_col, host_col), "held-texts")
     copies = near_duplicates(texts, COPY_WORDS, COPY, "node", "text").select(F.col("doc_id").alias("node"), "component_id").where("component_id <> node").distinct()
     of_copy = held.join(copies, "node", "left").select("host", "line", "limit", F.coalesce("component_id", "node").alias("document")).distinct()
     removed = materialise(of_copy.groupBy("host", "line").agg(F.count("*").alias("n"), F.first("limit").alias("limit")).where(F.col("n") > F.col("limit")).select("host", "line"), "removed")
@@ -153,6 +154,33 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_do
     return measured, lines, removed
 
 
+def _holders(docs: DataFrame, often: DataFrame, held: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """``node, text`` of the rows that hold one of the ``often`` lines of their host.
+
+    At most MOST_OFTEN of these lines go to every task, and no text is shuffled. A line is often above a thousandth of its host's documents, so
+    they grow with the lines of a text and with the hosts, not with the documents; where they are more, the rows are joined with ``held``.
+    """
+    node = F.xxhash64(content_key(host_col, text_col)).alias("node")
+    if often.count() > MOST_OFTEN:
+        return docs.select(node, F.col(text_col).alias("text")).join(held.select("node").distinct(), "node", "left_semi")
+    wanted: dict[str, set[int]] = {}
+    for row in often.select("host", "line").collect():
+        wanted.setdefault(row["host"], set()).add(row["line"])
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        wanted, none = sent.value, frozenset()
+        for b in batches:
+            keep = []
+            for host, text in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+                own = wanted.get(host, none)
+                keep.append(bool(own and text) and any(n and h in own for h, n in normalised(text.encode())))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(node, F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+    return rows.mapInArrow(run, "node long, text string")
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns, whose texts stay whole; see there for nulls, repeats and ties.
 

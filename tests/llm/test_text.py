@@ -359,3 +359,13 @@ def test_words_of_one_kind_have_the_same_features():
             features = tuple(map(sorted, secrets.token_features(t)))
             assert seen.setdefault(kind, (t, features))[1] == features, (t, seen[kind][0])
     assert len(seen) > 300
+
+
+def test_near_copies_are_one_component_before_tables_are_made(spark, monkeypatch):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(d, " ".join([*base[:100], f"own{d}", *base[100:]])) for d in range(60)]
+    seen, real = [], neardup.bucket_components
+    monkeypatch.setattr(neardup, "bucket_components", lambda shared, *rest: seen.append(shared.count()) or real(shared, *rest))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert seen == [0]
