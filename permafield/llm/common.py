@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: 64-bit words of a parity map; most rounds of pivots within buckets, which end sooner where a round links fewer than one of SLOW
-#: members; pivots of a bucket in a round; comparisons of one group when what they leave is compared in full.
-WORDS, ROUNDS, SLOW, PIVOTS, WORK = 16, 8, 200, 3, 10_000_000
+#: members; pivots of a bucket in a round; comparisons of one group when what they leave is compared in full, and comparisons of all
+#: buckets together from which pivots are worth their rounds.
+WORDS, ROUNDS, SLOW, PIVOTS, WORK, FEW = 16, 8, 200, 3, 10_000_000, 20_000_000
 
 _written: dict[str, list[str]] = {}
 
@@ -103,19 +104,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` of distinct ``u > v`` edges has one ``v``, and none is a ``v``: the components are known then."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph as ``node, component`` (its smallest node), by alternating large and small stars.
 
     Only nodes with an edge to another node are returned; null ends and loops are ignored. Every round is two
     aggregations and two equi-joins, so a node with very many neighbours is pre-aggregated and its join can be
-    split; no neighbour list is gathered. Each round ends in a written table. The rounds grow with the logarithm
-    of the longest path.
+    split; no neighbour list is gathered. Each round ends in a written table, and the last as soon as all components
+    are stars. The rounds grow with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     e = materialise(e, "edges")
-    before = None
-    while True:
+    while not _stars(e):
         # Large star: every larger neighbour of u links to the smallest of u and its neighbours.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -125,11 +130,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = materialise(small, "edges")
         drop_written(e)
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         e = new
-        if now == before:
-            break
-        before = now
     done = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     done._written_at = e._written_at
     return done
@@ -146,28 +147,43 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return sizes & (differ * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent))
 
 
+def buckets(keyed: DataFrame, label: str = "node") -> DataFrame:
+    """``key, node, pivot`` (the key's smallest node) of the buckets of ``node, key`` rows that hold two nodes or more, or two
+    values of the column ``label``.
+
+    Of keys that hold the same nodes one is kept: it has all their pairs. So a pair that meets in many tables, or a group of
+    copies, is one bucket. Members are compared by their number, ends and two 64-bit sums without a list of them.
+    """
+    keyed = keyed.repartition("key")
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    held = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far"), F.count("*").alias("held"), F.min(label).alias("low"), F.max(label).alias("high"), *sums).where("low < high")
+    several = held.groupBy("pivot", "far", "held", "s1", "s2").agg(F.min("key").alias("key")).select("key", "pivot")
+    # The hash table is of the buckets' side, a row for each, so the many keys of one node need no sort.
+    return keyed.select("key", "node").join(several.hint("shuffle_hash"), "key")
+
+
 def _printed(printed: DataFrame, node: str, prefix: str) -> DataFrame:
     return printed.select(F.col("node").alias(node), F.col("n").alias(f"{prefix}n"), F.col("map").alias(f"{prefix}map"))
 
 
 def _open(inner: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, node, weight, component`` of the members of buckets that hold more than one component."""
-    labelled = inner.join(found, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return labelled.join(several, "key")
+    """``key, node, component`` of the members of buckets that hold more than one component, with the bucket's largest component
+    ``top``, its members ``all`` and those of the largest, ``most``."""
+    labelled = inner.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
+    sizes = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    return labelled.join(sizes.where(F.col("most") < F.col("all")), "key")
 
 
 def across(rest: DataFrame, printed: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: members of a bucket that lie in different components and whose parity maps allow a link.
+    """``a, b``: members of a bucket of :func:`_open` that lie in different components and whose parity maps allow a link.
 
     A bucket's largest component stands on one side only. Where the two sides would need more than WORK comparisons, both are dealt
     into parts, and each two parts are a group of their own, so that no task holds more, whatever a bucket's size.
     """
-    members = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
     keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    top = members.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"))
     parts = F.ceil(F.sqrt((F.col("all") - F.col("most")) * F.col("all") / WORK)).cast("int")
-    placed = rest.join(printed, "node").join(keys, "node").join(top.select("key", "top", F.greatest(F.lit(1), parts).alias("parts")), "key")
+    placed = rest.withColumn("parts", F.greatest(F.lit(1), parts)).join(printed, "node").join(keys, "node")
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     x = placed.where("component <> top").select("key", part.alias("i"), all_parts.alias("j"), "top", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("map").alias("xmap"), F.col("keys").alias("xkeys"))
@@ -190,8 +206,8 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
     ``printed`` each node's size ``n`` and parity ``map``, and ``verify`` keeps the linked of ``a, b`` pairs. ``found``: components of
     links that are known, written; they are part of the result.
 
-    Every member meets its bucket's pivot, then in further rounds PIVOTS others, from the bucket's largest component, as long as
-    that finds links: what is in one component by then needs no comparison. Members of many and large buckets, which most others
+    Every member meets its bucket's pivot, then, where more than FEW comparisons are left, in further rounds PIVOTS others, from the
+    bucket's largest component, as long as that finds links: what is in one component by then needs no comparison. Members of many and large buckets, which most others
     are like, are the likelier pivots. What stays in several components is compared across them in full, so no link is lost and
     no group of copies is expanded into all its pairs: pairs whose maps forbid a link are never written.
     """
@@ -214,28 +230,27 @@ def bucket_components(shared: DataFrame, printed: DataFrame, verify: Callable[[D
         return new, many
 
     found, _ = linked(allowed(inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), printed, percent), found)
-    many_held = shared.groupBy("key").agg(F.count("*").alias("held"))
-    weights = materialise(shared.select("key", "node").join(many_held, "key").groupBy("node").agg(F.sum("held").alias("weight")), "weights")
-    inner = inner.select("key", "node").join(weights, "node")
-    for turn in range(ROUNDS):
-        rest = materialise(_open(inner, found), "open")
-        left = rest.count()
-        if left:
-            chosen = [F.max_by("node", F.col("weight") * F.pmod(F.xxhash64("node", F.lit(turn * PIVOTS + k)), F.lit(1000))) for k in range(PIVOTS)]
-            of = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.array_distinct(F.array(*chosen)).alias("ps"))
-            best = of.groupBy("key").agg(F.max_by(F.struct("ps", "component"), F.struct("m", "component")).alias("best"))
-            met = rest.join(best, "key").where("component <> best.component").select("node", F.explode("best.ps").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-            found, many = linked(allowed(met.distinct(), printed, percent), found)
-            if many * SLOW > left:
-                drop_written(rest)
-                continue
-            rest = materialise(_open(rest.drop("component"), found), "open") if many else rest
-            found, _ = linked(across(rest, printed, percent), found)
-        for x in (rest, weights):
-            drop_written(x)
-        return found
+    inner, weights = inner.select("key", "node"), None
     rest = materialise(_open(inner, found), "open")
-    found, _ = linked(across(rest, printed, percent), found)
+    for turn in range(ROUNDS):
+        left, work = rest.agg(F.count("*"), F.sum(F.col("all") - F.col("most"))).first()
+        if not left or work <= FEW:
+            break
+        if weights is None:
+            many_held = shared.groupBy("key").agg(F.count("*").alias("held"))
+            weights = materialise(shared.select("key", "node").join(many_held, "key").groupBy("node").agg(F.sum("held").alias("weight")), "weights")
+        chosen = [F.max_by("node", F.col("weight") * F.pmod(F.xxhash64("node", F.lit(turn * PIVOTS + k)), F.lit(1000))) for k in range(PIVOTS)]
+        of = rest.join(weights, "node").groupBy("key", "component").agg(F.count("*").alias("m"), F.array_distinct(F.array(*chosen)).alias("ps"))
+        best = of.groupBy("key").agg(F.max_by(F.struct("ps", "component"), F.struct("m", "component")).alias("best"))
+        met = rest.join(best, "key").where("component <> best.component").select("node", F.explode("best.ps").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        found, many = linked(allowed(met.distinct(), printed, percent), found)
+        if many:
+            before, rest = rest, materialise(_open(rest.select("key", "node"), found), "open")
+            drop_written(before)
+        if many * SLOW <= left:
+            break
+    if left:
+        found, _ = linked(across(rest, printed, percent), found)
     for x in (rest, weights):
         drop_written(x)
     return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permafield.llm.common import WORDS, allowed, bucket_components, connected_components, drop_written, free_name, materialise, release
+from permafield.llm.common import WORDS, allowed, bucket_components, buckets, connected_components, drop_written, free_name, materialise, release
 
 #: Hash collections, sub-keys in each, and minima in a sub-key. Tables are keyed by pairs of sub-keys of two different
 #: collections: 150 tables of 6 minima each from 60 minima in all. At a similarity of 0.8 a pair of documents meets in no table
@@ -175,8 +175,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    # Only the sets of these pairs are shuffled.
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(pairs.select("a"), "a", "left_semi")
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y")).join(pairs.select("b"), "b", "left_semi")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
@@ -215,15 +216,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     first = sets_of(met)
     links = materialise(_verified(pairs, first, percent), "links")
     found = connected_components(links)
-    # Sub-keys of one component are left out: every table made with them lies within it.
+    # Sub-keys of one component are left out, as every table made with them lies within it, and so are tables of one component.
     labelled = alive.join(found, "node", "left").select("node", "i", "k", F.coalesce("component", "node").alias("component"))
     apart = labelled.groupBy("i", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("i", "k")
-    kept = alive.select("node", "i", "k").join(apart.hint("shuffle_hash"), ["i", "k"]).groupBy("node").agg(F.collect_list(F.struct("i", "k")).alias("ks"))
+    kept = labelled.join(apart.hint("shuffle_hash"), ["i", "k"]).groupBy("node", "component").agg(F.collect_list(F.struct("i", "k")).alias("ks"))
     side = lambda x: F.floor(x["i"] / SIDE)
     tables = F.flatten(F.transform("ks", lambda x: F.transform(F.filter("ks", lambda y: (x["i"] < y["i"]) & (side(x) != side(y))), lambda y: F.xxhash64(x["i"], y["i"], x["k"], y["k"]))))
-    keyed = kept.select("node", F.explode(tables).alias("key")).repartition("key")
-    many = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far")
-    shared = materialise(keyed.join(many.select("key", "pivot").hint("shuffle_hash"), "key"), "shared")  # members of buckets with two classes or more
+    shared = materialise(buckets(kept.select("node", "component", F.explode(tables).alias("key")), "component"), "shared")  # members of buckets with two classes or more
+    release(docs.sparkSession)
 
     involved = shared.select("node").distinct()
     more = sets_of(involved.join(met, "node", "left_anti"))

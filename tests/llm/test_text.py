@@ -369,3 +369,29 @@ def test_near_copies_are_one_component_before_tables_are_made(spark, monkeypatch
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert {r["component_id"] for r in got} == {0}
     assert seen == [0]
+
+
+def test_keys_of_the_same_nodes_are_one_bucket(spark):
+    rows = [(n, k) for k in range(40) for n in (1, 2)] + [(n, 100 + k) for k in range(15) for n in (1, 2, 3)] + [(7, 200), (8, 201)]
+    got = defaultdict(set)
+    for r in common.buckets(spark.createDataFrame(rows, "node long, key long")).collect():
+        got[r["key"], r["pivot"]].add(r["node"])
+    assert got == {(0, 1): {1, 2}, (100, 1): {1, 2, 3}}
+    one = spark.createDataFrame([(n, k, 1 if n < 3 else n) for n, k in rows], "node long, key long, component long")
+    assert {r["key"] for r in common.buckets(one, "component").collect()} == {100}
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    written, real = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name, *rest: written.append(name) or real(df, name, *rest))
+    found = common.connected_components(spark.createDataFrame([(1, 2), (1, 3), (9, 8)], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert written == ["edges"]
+
+
+def test_only_the_sets_of_pairs_are_verified(spark):
+    sets = spark.createDataFrame([(k, bytes([k] * 8 + [9] * 72)) for k in range(50)], "node long, items binary")
+    pairs = common.materialise(spark.createDataFrame([(1, 2)], "a long, b long"), "pairs")
+    plan = neardup._verified(pairs, sets, 80)
+    assert [tuple(r) for r in plan.collect()] == [(1, 2)]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
