@@ -6,14 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permafield.llm.common import WORDS, bucket_components, drop_written, free_name, materialise, release
+from permafield.llm.common import WORDS, bucket_components, buckets, drop_written, free_name, materialise, release
 
 #: Characters in a shingle; sub-keys of a line and minima in each. Every two sub-keys key a table, so 12 minima give 15 tables of four.
 #: Two lines with a similarity of 0.8 share a table with a probability of 0.975, of 0.9 with 0.999; unlike lines of one language
 #: (0.03) with 1e-5.
 SHINGLE, SUBKEYS, ROWS = 8, 6, 2
 #: Shingles that one generated row holds where minima are taken, and where sets are gathered.
-STEP, CHUNK = 4, 128
+STEP, CHUNK = 4, 16
 #: Lines whose hashes are sent to every task (8 bytes each) to pick their texts; of more, the texts are shuffled.
 SENT = 5_000_000
 #: What a line is trimmed by: the white space that separates words, but for the line feed.
@@ -55,10 +55,9 @@ def minima(lines: DataFrame) -> DataFrame:
 
 
 def _pieces(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, xs``: the hashes of all shingles of every ``norm``, in pieces of CHUNK, so that a long line takes no longer for each."""
-    held = _units(lines, keys, CHUNK).select(*keys, F.explode(F.array(F.expr(f"substring(units, at, {2 * (CHUNK + SHINGLE - 1)})"))).alias("piece"))
-    starts = F.expr(f"sequence(1, greatest(1, length(piece) - {2 * SHINGLE - 1}), 2)")
-    return held.select(*keys, F.transform(starts, lambda i: F.xxhash64(F.substring("piece", i, 2 * SHINGLE))).alias("xs"))
+    """``keys, xs``: the hashes of all shingles of every ``norm``, CHUNK to a row (the last again where a row has fewer of its own)."""
+    cut = [F.xxhash64(F.expr(f"substring(units, least(at + {2 * j}, last), {2 * SHINGLE})")) for j in range(CHUNK)]
+    return _units(lines, keys, CHUNK).select(*keys, F.array(*cut).alias("xs"))
 
 
 def prints(texts: DataFrame) -> DataFrame:
@@ -66,9 +65,10 @@ def prints(texts: DataFrame) -> DataFrame:
     sets = _pieces(texts.repartition("line"), ["line"]).groupBy("line").agg(F.flatten(F.collect_list("xs")).alias("all"))
     own = sets.select("line", F.explode(F.array_distinct("all")).alias("x"))
     bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
-    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return own.groupBy("line").agg(F.count("*").alias("n"), *words).select(F.col("line").alias("node"), "n", F.array(*[f"w{k}" for k in range(WORDS)]).alias("map"))
+    # One sum for each word first, so that a shingle meets two sums rather than one for every word of the map.
+    by_word = own.select("line", F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"), bit.alias("bit")).groupBy("line", "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("bits"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return by_word.groupBy("line").agg(F.sum("n").alias("n"), *words).select(F.col("line").alias("node"), "n", F.array(*[f"w{k}" for k in range(WORDS)]).alias("map"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -87,9 +87,7 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     mins = minima(lines).select("line", *[F.xxhash64(*[f"m{s + r * SUBKEYS}" for r in range(ROWS)]).alias(f"k{s}") for s in range(SUBKEYS)])
     tables = [(i, j) for i in range(SUBKEYS) for j in range(i + 1, SUBKEYS)]
     keys = F.array(*[F.xxhash64(F.lit(t), f"k{i}", f"k{j}") for t, (i, j) in enumerate(tables)])
-    keyed = mins.select(F.col("line").alias("node"), F.explode(keys).alias("key")).repartition("key")
-    several = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).where("pivot < far").select("key", "pivot")
-    shared = materialise(keyed.join(several.hint("shuffle_hash"), "key"), "shared")
+    shared = materialise(buckets(mins.select(F.col("line").alias("node"), F.explode(keys).alias("key"))), "shared")
     release(lines.sparkSession)
     need = materialise(shared.select(F.col("node").alias("line")).distinct(), "need")
     if need.count() <= SENT:

@@ -395,3 +395,13 @@ def test_only_the_sets_of_pairs_are_verified(spark):
     plan = neardup._verified(pairs, sets, 80)
     assert [tuple(r) for r in plan.collect()] == [(1, 2)]
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_two_similar_lines_are_one_bucket(spark, monkeypatch):
+    base = "".join(random.Random(5).choices("abcdefghij klm", k=300))
+    rows = [(k, base + tail, k) for k, tail in enumerate(("x", "y"))]
+    seen, real = [], linededup.bucket_components
+    monkeypatch.setattr(linededup, "bucket_components", lambda shared, *rest: seen.append(shared.count()) or real(shared, *rest))
+    lines = linededup.lines_of(spark.createDataFrame(rows, "d long, t string, r long"), "d", "t", F.col("r"))
+    assert len({r["component"] for r in linededup.classes(lines, 80).collect()}) == 1
+    assert seen == [2]
